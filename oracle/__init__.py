@@ -1,5 +1,6 @@
 """SQL that DuckDB runs on the same tables to check the registered queries."""
 
+from .queries_quality import SQL as _quality
 from .queries_reports import SQL as _reports
 
-SQL: dict[str, str] = {**_reports}
+SQL: dict[str, str] = {**_reports, **_quality}

@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .functions.calc import money
-from .operators import billing, calendar, changes, filters, occupancy, reports
+from functools import reduce
+
+from pyspark.sql import DataFrame
+
+from .operators import billing, calendar, changes, filters, occupancy, quality, reports
 from .sources.adapter import AS_OF, derived_tables, source
 from .sources.tables import literal_relation
 
@@ -125,4 +129,66 @@ REPORTS = {
     "assignment_overlaps": _core(calendar.assignment_overlaps),
 }
 
-QUERIES = {**REPORTS}
+
+
+def _dirty(t):
+    """The tables with faults planted, so the checks have something to find."""
+
+    def put(name, **exprs):
+        df = t[name]
+        return df.withColumns({c: F.expr(e).cast(df.schema[c].dataType) for c, e in exprs.items()})
+
+    return t.replaced(
+        bookings=put(
+            "bookings",
+            customer_id="IF(id % 79 = 0, -1, customer_id)",
+            status="IF(id % 97 = 0, 'Unknown', status)",
+            idempotency_key="IF(id % 71 = 0, CONCAT('dup-', CAST(CAST(FLOOR(id / 500) AS BIGINT) AS STRING)), idempotency_key)",
+            check_out="IF(id % 89 = 0, check_in, check_out)",
+            total_amount="IF(id % 73 = 0, total_amount + 5, total_amount)",
+            amount_paid="IF(id % 83 = 0, total_amount + 1, amount_paid)",
+        ),
+        services=put(
+            "services", hotel_id="IF(id % 60 = 0, NULL, hotel_id)", unit_price="IF(id % 50 = 0, -1, unit_price)",
+            category="IF(id % 70 = 0, REPEAT('x', 51), category)",
+        ),
+        invoices=put("invoices", balance="IF(id % 7 = 0, balance + 1, balance)"),
+        booking_details=put("booking_details", quantity="IF(id % 77 = 0, 0, quantity)"),
+        room_type_inventory=put("room_type_inventory", total_reserved="IF(room_type_id % 40 = 0, total_inventory + 1, total_reserved)"),
+        customers=put(
+            "customers", full_name="IF(id % 31 = 0, NULL, full_name)",
+            phone_number="IF(id % 37 = 0, CONCAT('09', LPAD(CAST(id - 1 AS STRING), 8, '0')), phone_number)",
+        ),
+    )
+
+
+def _check(fn):
+    return lambda spark, sf_dir: fn(_dirty(derived_tables(spark, sf_dir)))
+
+
+def _cascade(t):
+    state = quality.cascade_delete(t, t["bookings"].filter("id % 10 = 3").select(F.col("id").alias("booking_id")))
+    counts = [df.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table_name"), "rows") for n, df in state.items()]
+    return reduce(DataFrame.unionByName, counts)
+
+
+QUALITY = {
+    "dq_checks": _check(quality.dq_checks),
+    "dq_unique": _check(quality.dq_unique),
+    "dq_foreign_keys": _check(quality.dq_foreign_keys),
+    "dq_not_null": _check(quality.dq_not_null),
+    "dq_enums": _check(quality.dq_enums),
+    "dq_lengths": _check(quality.dq_lengths),
+    "dq_adult": _check(lambda t: quality.dq_adult(t, AS_OF)),
+    "dq_no_overlap": _check(quality.dq_no_overlap),
+    "dq_inventory_drift": _check(quality.dq_inventory_drift),
+    "inventory_drift": _core(quality.inventory_drift),
+    "dq_total_drift": _check(quality.dq_total_drift),
+    "integrity_report": _check(lambda t: quality.integrity_report(t, AS_OF)),
+    "cascade_delete": _core(_cascade),
+    "delete_blockers": _core(
+        lambda t: quality.delete_blockers(t, "room_types", t["room_types"].filter("type_name = 'Suite'").select("id"))
+    ),
+}
+
+QUERIES = {**REPORTS, **QUALITY}
