@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
-from .functions.calc import money
+import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
+from .functions.windows import flag_first
 from .operators import billing, calendar, changes, filters, occupancy, quality, reports
-from .sources.adapter import AS_OF, derived_tables, source
+from .plans import admission, bookings, money as money_jobs, pipeline, rooms
+from .session import shared_dir
+from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source
 from .sources.tables import literal_relation
+from .streaming import jobs as streams
 
 
 def _on_tables(fn):
@@ -191,4 +193,207 @@ QUALITY = {
     ),
 }
 
-QUERIES = {**REPORTS, **QUALITY}
+
+def _job(fn, out="results", money_columns=True):
+    """Run a batch job on the derived tables and give one of its outputs."""
+
+    def run(spark, sf_dir):
+        t = derived_tables(spark, sf_dir)
+        if not money_columns:
+            t = t.replaced(bookings=t["bookings_core"])
+        state = fn(t)
+        return out(state) if callable(out) else state[out]
+
+    return run
+
+
+def _reserve(t):
+    """Pending bookings ask for their rooms again, on the inventory without them."""
+    pending = t["bookings"].filter("status = 'Pending'").select(F.col("id").alias("booking_id"))
+    req = t["booking_details"].join(pending, "booking_id").selectExpr(
+        "booking_id AS seq", "booking_id", "room_type_id", "IF(booking_id % 49 = 0, 0, quantity) AS quantity", "is_breakfast_included"
+    )
+    rest = t["booking_details"].join(pending, "booking_id", "left_anti")
+    return admission.reserve_inventory(t.replaced(room_type_inventory=t["inventory_open"], booking_details=rest), req, AS_OF)
+
+
+def _without_pending_rooms(t):
+    pending = t["bookings"].filter("status = 'Pending'").select(F.col("id").alias("booking_id"))
+    return t.replaced(room_assignments=t["room_assignments"].join(pending, "booking_id", "left_anti"))
+
+
+def _assign(t):
+    req = t["finalizations"].join(t["bookings"].filter("status = 'Pending'").select("id"), F.col("booking_id") == F.col("id")).select("seq", "booking_id")
+    return admission.assign_rooms_first_fit(_without_pending_rooms(t), req, AS_OF)
+
+
+def _all_hotels(t):
+    return t["hotels"].select(F.col("id").alias("hotel_id"))
+
+
+def _spots(state):
+    none = F.lit(None).cast("bigint")
+    return state["placed"].unionByName(state["unplaced"].withColumn("room_id", none))
+
+
+def _create(t):
+    """Pending bookings come in again as requests, on tables without them."""
+    fresh = _without_pending_rooms(t)
+    known = t["bookings"].filter("status <> 'Pending'")
+    kept = lambda n: t[n].join(known.select(F.col("id").alias("booking_id")), "booking_id", "left_semi")
+    now = fresh.replaced(
+        bookings=known, booking_details=kept("booking_details"), service_usage=kept("service_usage"), room_type_inventory=t["inventory_open"]
+    )
+    return pipeline.create_bookings(now, t["booking_requests"], t["booking_request_rooms"], t["booking_request_services"], AS_OF)
+
+
+def _changed(name, *columns):
+    return lambda state: state[name].select(*columns)
+
+
+def _add_services(t):
+    req = t["service_usage"].selectExpr(
+        "booking_id AS seq", "booking_id", "IF(booking_id % 9 = 0, -service_id, service_id) AS service_id", "quantity", "CAST(1 AS BIGINT) AS staff_id"
+    ).filter("booking_id % 3 = 0")
+    return bookings.add_services(t, req, AS_OF)
+
+
+def _totals_after_change(t):
+    changes = t["service_usage"].selectExpr("IF(booking_id % 2 = 0, booking_id, NULL) AS old_booking_id", "IF(booking_id % 2 = 0, NULL, booking_id) AS new_booking_id")
+    return bookings.totals_after_change(t, changes)
+
+
+def _touch(t):
+    rooms = t["rooms"].withColumn("updated_at", F.lit("2024-01-01").cast("timestamp_ntz"))
+    new = rooms.withColumn("status", F.when(F.col("id") % 3 == 0, "Available").otherwise(F.col("status")))
+    return bookings.touch_updated(rooms, new, ["id"], AS_OF).select("id", "status", "updated_at")
+
+
+def _upsert(t):
+    src = t["bookings"].filter("status IN ('Completed', 'Checked-in')").selectExpr(
+        "id", "id AS booking_id", "total_amount", "amount_paid", "CAST(total_amount - amount_paid AS DECIMAL(18,2)) AS balance", "'Issued' AS status"
+    )
+    target = t["invoices"].withColumn("status", F.expr("IF(id % 5 = 1, 'Void', status)")).withColumn("amount_paid", F.lit(0).cast("decimal(18,2)"))
+    cols = ["total_amount", "amount_paid", "balance", "status"]
+    return changes.upsert_by_key(target, src, ["booking_id"], cols, "status <> 'Void'").select("id", "booking_id", *cols)
+
+
+def _insert_if_absent(t):
+    src = t["booking_requests"].select("seq", "idempotency_key", "customer_id")
+    return changes.insert_if_absent(t["bookings"], src, ["idempotency_key"], "seq")
+
+
+def _update_from_join(t):
+    busy = t["room_assignments"].join(
+        t["bookings"].filter("status = 'Active'").select(F.col("id").alias("booking_id")), "booking_id", "left_semi"
+    ).select("id")
+    return changes.update_from_join(t["room_assignments"], busy, ["id"], {"is_cancelled": F.lit(True)}).select("id", "booking_id", "room_id", "is_cancelled")
+
+
+def _append(t):
+    new = t["booking_requests"].select(F.col("seq").alias("id"), "hotel_id", "customer_id", F.lit("Pending").alias("status"))
+    return changes.append_rows(t["bookings"].select("id", "hotel_id", "customer_id", "status", "check_in"), new)
+
+
+JOBS = {
+    "append_rows": _core(_append),
+    "upsert_by_key": _on_tables(_upsert),
+    "insert_if_absent": _core(_insert_if_absent),
+    "update_from_join": _core(_update_from_join),
+    "delete_where": _core(lambda t: changes.delete_where(t["room_assignments"], F.col("is_cancelled")).select("id", "booking_id", "room_id")),
+    "first_arrival": _core(lambda t: flag_first(t["booking_requests"], ["idempotency_key"], "seq").select("seq", "request_id", "idempotency_key", "is_first")),
+    "booking_intake": _job(lambda t: bookings.booking_intake(t, t["booking_requests"], AS_OF), money_columns=False),
+    "customer_intake": _job(lambda t: bookings.customer_intake(t, t["customer_requests"], AS_OF), money_columns=False),
+    "reserve_inventory": _job(_reserve, money_columns=False),
+    "reserve_inventory_nights": _job(_reserve, "room_type_inventory", money_columns=False),
+    "finalize_bookings": _job(lambda t: bookings.finalize_bookings(t, t["finalizations"], AS_OF), money_columns=False),
+    "finalize_bookings_totals": _job(lambda t: bookings.finalize_bookings(t, t["finalizations"], AS_OF), "totals", money_columns=False),
+    "finalize_with_repack": _job(
+        lambda t: pipeline.finalize_with_repack(_without_pending_rooms(t), t["finalizations"], AS_OF), money_columns=False
+    ),
+    "assign_rooms_first_fit": _job(_assign, money_columns=False),
+    "defragment_rooms": _job(lambda t: admission.defragment_rooms(t, _all_hotels(t), AS_OF), _spots, money_columns=False),
+    "pre_assign_rooms": _job(lambda t: admission.pre_assign_rooms(t, t["room_moves"], AS_OF), money_columns=False),
+    "check_in_batch": _job(lambda t: rooms.check_in_batch(t, t["check_ins"], AS_OF), money_columns=False),
+    "check_in_batch_rooms": _job(
+        lambda t: rooms.check_in_batch(t, t["check_ins"], AS_OF), _changed("rooms", "id", "status"), money_columns=False
+    ),
+    "check_out_batch": _job(lambda t: rooms.check_out_batch(t, t["check_outs"], AS_OF)),
+    "check_out_batch_assignments": _job(
+        lambda t: rooms.check_out_batch(t, t["check_outs"], AS_OF), _changed("room_assignments", "id", "booking_id", "check_out")
+    ),
+    "check_out_batch_rooms": _job(lambda t: rooms.check_out_batch(t, t["check_outs"], AS_OF), _changed("rooms", "id", "status")),
+    "housekeeping_batch": _job(lambda t: rooms.housekeeping_batch(t, t["housekeeping"], AS_OF), money_columns=False),
+    "cancel_bookings": _job(lambda t: bookings.cancel_bookings(t, t["cancellations"], AS_OF), money_columns=False),
+    "cancel_bookings_inventory": _job(
+        lambda t: bookings.cancel_bookings(t, t["cancellations"], AS_OF), "room_type_inventory", money_columns=False
+    ),
+    "cancel_bookings_assignments": _job(
+        lambda t: bookings.cancel_bookings(t, t["cancellations"], AS_OF),
+        _changed("room_assignments", "id", "booking_id", "is_cancelled"), money_columns=False,
+    ),
+    "add_services": _job(_add_services, money_columns=False),
+    "add_services_totals": _job(_add_services, "totals", money_columns=False),
+    "issue_invoices": _job(
+        lambda t: money_jobs.issue_invoices(t, t["invoice_requests"], AS_OF),
+        _changed("invoices", "booking_id", "total_amount", "amount_paid", "balance", "status"),
+    ),
+    "apply_payments": _job(lambda t: money_jobs.apply_payments(t, t["payments"], AS_OF)),
+    "apply_payments_invoices": _job(
+        lambda t: money_jobs.apply_payments(t, t["payments"], AS_OF), _changed("invoices", "booking_id", "amount_paid", "balance", "status")
+    ),
+    "totals_after_change": _core(_totals_after_change),
+    "touch_updated": _core(_touch),
+    "create_booking_pipeline": _job(_create, money_columns=False),
+    "create_booking_pipeline_totals": _job(_create, "totals", money_columns=False),
+}
+
+
+def _stream_dirs(spark, name):
+    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    return f"{base}/out", f"{base}/checkpoint"
+
+
+def _stream_of(spark, sf_dir, name):
+    """A given table as a stream of files."""
+    schema = source(spark, sf_dir, name).schema
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/[{name[0]}]{name[1:]}.parquet")
+
+
+def _stream_totals(spark, sf_dir):
+    out, checkpoint = _stream_dirs(spark, "totals")
+    t = derived_tables(spark, sf_dir)
+    t = t.replaced(bookings=t["bookings_core"])
+    changed = _stream_of(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+        "CAST(NULL AS BIGINT) AS old_booking_id", "l_orderkey AS new_booking_id"
+    )
+    streams.stream_totals(changed, lambda: t, out, checkpoint).awaitTermination()
+    return streams.read_totals(spark, out)
+
+
+def _stream_dedup(spark, sf_dir):
+    out, checkpoint = _stream_dirs(spark, "dedup")
+    orders = _stream_of(spark, sf_dir, "orders")
+    asked = orders.selectExpr(
+        "CONCAT('req-', CAST(CAST(FLOOR(o_orderkey / 3) AS BIGINT) AS STRING)) AS idempotency_key",
+        "TIMESTAMP '2024-01-01 00:00:00' + MAKE_DT_INTERVAL(0, 0, 0, o_orderkey % 1000) AS arrived_at",
+    )
+    streams.stream_intake_dedup(asked, out, checkpoint).awaitTermination()
+    return spark.read.schema("idempotency_key string").parquet(out)
+
+
+def _stream_occupancy(spark, sf_dir):
+    """Every booking reserves; cancelled and completed ones release again."""
+    out, checkpoint = _stream_dirs(spark, "occupancy")
+    t = derived_tables(spark, sf_dir)
+    lines = t["booking_details"].select("booking_id", "room_type_id", "quantity")
+    b = booking_core(_stream_of(spark, sf_dir, "orders"), row_count(spark, sf_dir, "supplier"))
+    ops = F.when(F.col("status").isin("Cancelled", "Completed"), F.array(F.lit("reserve"), F.lit("release"))).otherwise(F.array(F.lit("reserve")))
+    feed = b.select(F.col("id").alias("booking_id"), "check_in", "check_out", F.explode(ops).alias("op")).join(lines, "booking_id")
+    streams.stream_occupancy(feed, out, checkpoint).awaitTermination()
+    return streams.read_occupancy(spark, out)
+
+
+STREAMS = {"stream_totals": _stream_totals, "stream_intake_dedup": _stream_dedup, "stream_occupancy": _stream_occupancy}
+
+QUERIES = {**REPORTS, **QUALITY, **JOBS, **STREAMS}

@@ -81,9 +81,9 @@ def _customers(spark, d):
     )
 
 
-def _booking_core(spark, d):
-    hotels = row_count(spark, d, "supplier")
-    keys = source(spark, d, "orders").selectExpr(
+def booking_core(orders: DataFrame, hotels: int) -> DataFrame:
+    """Bookings without money from order rows; works on a stream of orders too."""
+    keys = orders.selectExpr(
         "o_orderkey AS id",
         "o_custkey AS customer_id",
         f"o_custkey % {hotels}L AS hotel_id",
@@ -305,7 +305,7 @@ def derived_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
         "surcharge_policies": lambda t: literal_relation(
             spark, POLICIES, "id int, policy_type string, description string, multiplier string, start_sec int, end_sec int, is_active boolean"
         ).withColumn("multiplier", F.col("multiplier").cast("decimal(5,2)")),
-        "bookings_core": lambda t: _booking_core(spark, sf_dir),
+        "bookings_core": lambda t: booking_core(source(spark, sf_dir, "orders"), row_count(spark, sf_dir, "supplier")),
         "bookings": _bookings,
         "booking_details": lambda t: _booking_details(spark, sf_dir, t["bookings_core"]),
         "booking_surcharges": _booking_surcharges,
