@@ -3,18 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from functools import partial
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calc import held_nights, live, timestamp, touched_days
 from ..functions.windows import seq_bucket
 from ..operators.changes import append_rows, update_from_join
+from ..session import cut_lineage
 from .common import (
     BAD_QUANTITY, NO_INVENTORY, NOT_FOUND, OVERBOOKED, ROOM_TAKEN, WRONG_TYPE,
     State, accepted, in_runs, max_id, number_rows, runs, state_code, verdict, with_booking, with_run,
 )
-from .ordered import GROUP_ROWS, admit, as_rows, claim, day_number, decide_in_order, micros, place
+from .ordered import ASK, BUSY, CELL, GROUP_ROWS, ROOM, Admit, AdmitNights, Claim, Place, as_rows, day_number, decide_in_order, micros
 
 SEQ_ORDER = ["seq", "ask_id"]
 ALWAYS_OK = "OK"
@@ -30,13 +30,13 @@ def _span(**more) -> dict:
 def _room_rows(t: Mapping, hotels_of_runs: DataFrame, group: list[str]) -> DataFrame:
     rooms = t["rooms"].select("hotel_id", "room_type_id", F.col("id").alias("room_id"), "room_number")
     joined = rooms.join(hotels_of_runs, group[:-1])
-    return as_rows(joined, "room", group, **{c: F.col(c) for c in ("room_type_id", "room_id", "room_number")})
+    return as_rows(joined, ROOM, group, **{c: F.col(c) for c in ("room_type_id", "room_id", "room_number")})
 
 
 def _busy_rows(stays: DataFrame, run_days: DataFrame, group: list[str]) -> DataFrame:
     """Busy spans (room_id, check_in, check_out and the group's keys) per run; copies of a span count once."""
     spans = in_runs(stays.select(*group[:-1], "room_id", "check_in", "check_out"), run_days, group[:-1])
-    return as_rows(spans, "busy", group, room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"))
+    return as_rows(spans, BUSY, group, room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"))
 
 
 def _live_with_room(t: Mapping, *columns: str) -> DataFrame:
@@ -53,13 +53,18 @@ def night_demand(lines: DataFrame) -> DataFrame:
     return lines.select("seq", "ask_id", "hotel_id", "room_type_id", "quantity", F.explode(held_nights()).alias("date"))
 
 
-def impossible_lines(lines: DataFrame, inventory: DataFrame) -> DataFrame:
+def with_free(nights: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Nights with the free count of their cell, null where there is no inventory."""
+    free = inventory.select("room_type_id", "date", (F.col("total_inventory") - F.col("total_reserved")).alias("free"))
+    return nights.join(free, ["room_type_id", "date"], "left")
+
+
+def impossible_asks(nights: DataFrame) -> DataFrame:
     """Asks that fail whatever the others do: a night without inventory, or fewer free rooms than asked.
 
     The code is the one of the first such (room type, night).
     """
-    free = inventory.select("room_type_id", "date", (F.col("total_inventory") - F.col("total_reserved")).alias("free"))
-    bad = night_demand(lines).join(free, ["room_type_id", "date"], "left").filter("free IS NULL OR free < quantity")
+    bad = nights.filter("free IS NULL OR free < quantity")
     code = F.when(F.col("free").isNull(), NO_INVENTORY).otherwise(OVERBOOKED)
     return bad.groupBy("ask_id").agg(F.min_by(code, F.struct("room_type_id", "date")).alias("fixed_code"))
 
@@ -69,23 +74,22 @@ def admit_nights(lines: DataFrame, inventory: DataFrame, group_rows: int = GROUP
 
     ``lines``: seq, ask_id, hotel_id, room_type_id, quantity, check_in, check_out, one row per ask and type.
     Only asks that meet a contended night (total possible demand above the free count) depend on the
-    order and go to the ordered step; all others are decided by joins and sums.
+    order and go to the ordered step; all others are decided by joins and sums. The asked nights are
+    joined with the inventory once and written, as everything below reads them.
     """
-    never = impossible_lines(lines, inventory)
-    possible = lines.join(never, "ask_id", "left_anti")
-    free = inventory.select("room_type_id", "date", (F.col("total_inventory") - F.col("total_reserved")).alias("free"))
-    wanted = night_demand(possible)
-    demand = wanted.groupBy("room_type_id", "date").agg(F.sum("quantity").alias("demand"))
-    tight = demand.join(free, ["room_type_id", "date"]).filter("demand > free").select("room_type_id", "date", "free")
+    nights = cut_lineage(with_free(night_demand(lines), inventory))
+    never = impossible_asks(nights)
+    wanted = nights.join(never, "ask_id", "left_anti")
+    cells = wanted.groupBy("hotel_id", "room_type_id", "date").agg(F.sum("quantity").alias("demand"), F.first("free").alias("free"))
+    tight = cut_lineage(cells.filter("demand > free").drop("demand"))
     ordered_asks = wanted.join(tight, ["room_type_id", "date"], "left_semi").select("ask_id").distinct()
-    rows = possible.join(ordered_asks, "ask_id", "left_semi")
+    rows = lines.join(ordered_asks, "ask_id", "left_semi")
     group = ["hotel_id", "run"]
     run_days = runs(rows, ["hotel_id"])
     asks = as_rows(
-        with_run(rows, run_days, ["hotel_id"]), "ask", group,
+        with_run(rows, run_days, ["hotel_id"]), ASK, group,
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
     )
-    hotel_of = lines.select("room_type_id", "hotel_id").distinct()
 
     def state(decided: DataFrame | None) -> DataFrame:
         cells = tight
@@ -93,15 +97,13 @@ def admit_nights(lines: DataFrame, inventory: DataFrame, group_rows: int = GROUP
             won = decided.filter(F.col("code") == ALWAYS_OK).select("ask_id")
             used = wanted.join(won, "ask_id", "left_semi").groupBy("room_type_id", "date").agg(F.sum("quantity").alias("used"))
             cells = tight.join(used, ["room_type_id", "date"], "left").withColumn("free", F.expr("free - COALESCE(used, 0)"))
-        cells = cells.join(hotel_of, "room_type_id").withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
-        return as_rows(cells, "cell", group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
+        cells = cells.withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
+        return as_rows(cells, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
 
-    decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), partial(admit, with_rooms=False), group_rows)
+    decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), AdmitNights, group_rows)
     late = decided.select("ask_id", F.nullif("code", F.lit(ALWAYS_OK)).alias("late_code"))
-    return (
-        lines.select("ask_id").distinct().join(never, "ask_id", "left").join(late, "ask_id", "left")
-        .select("ask_id", F.coalesce("fixed_code", "late_code").alias("code"))
-    )
+    failed = never.withColumnRenamed("fixed_code", "code").unionByName(late.filter("late_code IS NOT NULL").withColumnRenamed("late_code", "code"))
+    return lines.select("ask_id").distinct().join(failed, "ask_id", "left")
 
 
 def inventory_after(inventory: DataFrame, lines: DataFrame, sign: int = 1) -> DataFrame:
@@ -131,12 +133,10 @@ def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int =
         "guard", F.coalesce(state_code(["Pending"]), F.when(F.col("bad_quantity"), BAD_QUANTITY), F.when(~F.coalesce(own, F.lit(False)), WRONG_TYPE))
     )
     stays = guarded.filter(F.col("guard").isNull()).select(
-        "seq", "booking_id", F.col("b_check_in").alias("check_in"), F.col("b_check_out").alias("check_out")
+        "seq", "booking_id", F.col("b_hotel_id").alias("hotel_id"), F.col("b_check_in").alias("check_in"), F.col("b_check_out").alias("check_out")
     )
-    lines = (
-        req.select("booking_id", "room_type_id", "quantity").join(stays, "booking_id")
-        .join(guarded.select("booking_id", F.col("b_hotel_id").alias("hotel_id")), "booking_id")
-        .withColumnRenamed("booking_id", "ask_id")
+    lines = cut_lineage(
+        req.select("booking_id", "room_type_id", "quantity").join(stays, "booking_id").withColumnRenamed("booking_id", "ask_id")
     )
     codes = admit_nights(lines, t["room_type_inventory"], group_rows).withColumnRenamed("ask_id", "booking_id")
     judged = guarded.join(codes, "booking_id", "left").withColumn("code", F.coalesce("guard", "code"))
@@ -166,7 +166,7 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
     group = ["hotel_id", "run"]
     run_days = runs(lines, ["hotel_id"])
     asks = as_rows(
-        with_run(lines, run_days, ["hotel_id"]), "ask", group,
+        with_run(lines, run_days, ["hotel_id"]), ASK, group,
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
     )
     run_heads = run_days.select(*group).distinct()
@@ -189,10 +189,10 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
             free = free.join(used, ["room_type_id", "date"], "left").withColumn("free", F.expr("free - COALESCE(used, 0)"))
         free = free.join(hotel_of, "room_type_id").withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
         return rows.unionByName(
-            as_rows(free, "cell", group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
+            as_rows(free, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
         )
 
-    return decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), partial(admit, with_rooms=True), group_rows)
+    return decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), Admit, group_rows)
 
 
 def new_assignments(t: Mapping, placed: DataFrame, as_of) -> DataFrame:
@@ -247,7 +247,7 @@ def defragment_rooms(t: Mapping, hotel_ids: DataFrame, as_of, group_rows: int =
     stays, pinned = keyed(stays), keyed(pinned)
     run_days = runs(stays, ["key"])
     asks = as_rows(
-        with_run(stays, run_days, ["key"]), "ask", group, ask_id=F.col("booking_id"), room_type_id=F.col("room_type_id"),
+        with_run(stays, run_days, ["key"]), ASK, group, ask_id=F.col("booking_id"), room_type_id=F.col("room_type_id"),
         quantity=F.col("quantity"), start_us=micros("check_in"), end_us=micros("check_out"),
     )
     rooms = t["rooms"].select(F.col("id").alias("room_id"), "room_type_id", "hotel_id", "room_number").join(types, "room_type_id")
@@ -262,12 +262,12 @@ def defragment_rooms(t: Mapping, hotel_ids: DataFrame, as_of, group_rows: int =
                 .select("key", "room_id", "check_in", "check_out")
             )
         known = as_rows(
-            rooms.join(run_days.select(*group).distinct(), "key"), "room", group,
+            rooms.join(run_days.select(*group).distinct(), "key"), ROOM, group,
             **{c: F.col(c) for c in ("room_type_id", "room_id", "room_number")},
         )
         return known.unionByName(_busy_rows(spans, run_days, group))
 
-    decided = decide_in_order(asks, state, group, ["start_us", "ask_id"], F.col("start_us"), place, group_rows)
+    decided = decide_in_order(asks, state, group, ["start_us", "ask_id"], F.col("start_us"), Place, group_rows)
     spots = decided.select(F.col("ask_id").alias("booking_id"), "room_type_id", "unit", "room_id")
     placed = spots.filter("room_id IS NOT NULL").join(
         stays.select("booking_id", "room_type_id", "check_in", "check_out"), ["booking_id", "room_type_id"]
@@ -308,7 +308,7 @@ def pre_assign_rooms(t: Mapping, moves: DataFrame, as_of, group_rows: int = GROU
     open_moves = open_moves.withColumn("key", F.col("room_id"))
     run_days = runs(open_moves, ["key"])
     asks = as_rows(
-        with_run(open_moves, run_days, ["key"]), "ask", group, seq=F.col("seq"), ask_id=F.col("seq"),
+        with_run(open_moves, run_days, ["key"]), ASK, group, seq=F.col("seq"), ask_id=F.col("seq"),
         room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"),
     )
 
@@ -318,7 +318,7 @@ def pre_assign_rooms(t: Mapping, moves: DataFrame, as_of, group_rows: int = GROU
         )
         return _busy_rows(spans, run_days, group)
 
-    decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), claim, group_rows)
+    decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), Claim, group_rows)
     late = decided.select(F.col("ask_id").alias("seq"), F.nullif("code", F.lit(ALWAYS_OK)).alias("late"))
     judged = (
         judged.join(blocked.withColumn("hit", F.lit(ROOM_TAKEN)), "seq", "left").join(late, "seq", "left")

@@ -39,19 +39,24 @@ def booking_intake(t: Mapping, req: DataFrame, as_of) -> State:
     judged = first_wins(judged, ["_key"], DUPLICATE).drop("_key")
     new_id = max_id(t["bookings"]) + 1 + F.col("seq")
     judged = judged.withColumn("booking_id", F.when(F.col("code").isNull(), F.coalesce("known_id", new_id)))
-    fresh = accepted(judged).filter("known_id IS NULL")
-    rows = fresh.select(
-        F.col("booking_id").alias("id"), "hotel_id", "customer_id", F.lit("Pending").alias("status"), "idempotency_key", "check_in", "check_out",
-        money(F.lit(0)).alias("total_amount"), money(F.lit(0)).alias("amount_paid"),
-        timestamp(as_of).alias("created_at"), timestamp(as_of).alias("updated_at"),
-    )
+    judged = judged.withColumn("resumed", F.col("code").isNull() & F.col("known_id").isNotNull())
+    rows = new_bookings(accepted(judged).filter("NOT resumed"), as_of)
     old = t["bookings"]
     return {
-        "results": judged.select("seq", "request_id", "booking_id", F.col("code").isNull().alias("accepted"), "code"),
+        "results": judged.select("seq", "request_id", "booking_id", "resumed", F.col("code").isNull().alias("accepted"), "code"),
         "bookings": append_rows(old, rows.select(*[c for c in old.columns if c in rows.columns])),
     }
 
 
+def new_bookings(rows: DataFrame, as_of) -> DataFrame:
+    """Booking rows in state Pending for opened requests."""
+    return rows.select(
+        F.col("booking_id").alias("id"), "hotel_id", "customer_id", F.lit("Pending").alias("status"), "idempotency_key", "check_in", "check_out",
+        money(F.lit(0)).alias("total_amount"), money(F.lit(0)).alias("amount_paid"),
+        timestamp(as_of).alias("created_at"), timestamp(as_of).alias("updated_at"),
+    )
+
+
 GUEST_KEYS = {"phone_number": "DUPLICATE_PHONE", "email": "DUPLICATE_EMAIL", "identity_card": "DUPLICATE_IDENTITY"}
 
 
@@ -111,13 +116,19 @@ def customer_intake(t: Mapping, req: DataFrame, as_of) -> State:
 def with_time_surcharges(t: Mapping, booking_ids: DataFrame, as_of) -> DataFrame:
     """Surcharges after the time surcharges of some bookings are worked out again; others keep theirs."""
     old = t["booking_surcharges"]
-    stale = old.filter(F.col("surcharge_type").isin(TIME_SURCHARGES)).join(booking_ids.select("booking_id"), "booking_id", "left_semi").select("id")
-    kept = old.join(stale, "id", "left_anti")
     rows = number_rows(time_surcharges(t, booking_ids), max_id(old), "booking_id", "detail_id", "policy_id")
     rows = rows.withColumn("created_at", timestamp(as_of))
+    kept = without_time_surcharges(old, booking_ids)
     return append_rows(kept, rows.select(*[c for c in old.columns if c in rows.columns]))
 
 
+def without_time_surcharges(surcharges: DataFrame, booking_ids: DataFrame) -> DataFrame:
+    """Surcharges less the time surcharges of the given bookings."""
+    renewed = booking_ids.select("booking_id").distinct().withColumn("_renewed", F.lit(True))
+    stale = F.col("_renewed").isNotNull() & F.col("surcharge_type").isin(TIME_SURCHARGES)
+    return surcharges.join(renewed, "booking_id", "left").filter(~stale).select(*surcharges.columns)
+
+
 def finalize_bookings(t: Mapping, req: DataFrame, as_of) -> State:
     """Pending bookings become Active with their time surcharges and total."""
     judged = first_wins(with_booking(req, t, "status").withColumn("code", state_code(["Pending"])), ["booking_id"], BAD_STATE)

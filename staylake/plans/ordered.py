@@ -1,30 +1,34 @@
 """Order-dependent placement: decide requests one after another inside independent groups.
 
-Spark finds the groups (runs of connected days), shuffles them, and bounds their size;
-the step functions below only walk one bounded group in memory.
+Spark finds the groups (runs of connected days), shuffles and sorts them, and bounds their
+size. The walkers below see sorted rows stream by and keep only the state a request meets:
+free counts, rooms, busy spans.
 """
 
 from __future__ import annotations
 
 from bisect import bisect_left, insort
-from collections.abc import Callable
-from itertools import groupby
-from operator import itemgetter
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.windows import running
 from ..session import cut_lineage
 
-GROUP_ROWS = 100_000
+GROUP_ROWS = 1_000_000
 
-# one relation carries requests and the state they meet; `kind` tells the rows apart
+# one relation carries requests and the state they meet; state sorts before requests
+BUSY, CELL, ROOM, ASK = 0, 1, 2, 3
 ROW = {
-    "kind": "string", "seq": "bigint", "ask_id": "bigint", "room_type_id": "bigint", "quantity": "int", "first_day": "int",
+    "kind": "int", "seq": "bigint", "ask_id": "bigint", "room_type_id": "bigint", "quantity": "int", "first_day": "int",
     "last_day": "int", "start_us": "bigint", "end_us": "bigint", "free": "bigint", "room_id": "bigint", "room_number": "string",
 }
+SORT = ["kind", "room_number", "seq", "start_us", "ask_id", "room_id", "room_type_id"]
 DECISION = "ask_id bigint, room_type_id bigint, unit int, room_id bigint, code string"
+_ARROW = pa.schema(
+    [("ask_id", pa.int64()), ("room_type_id", pa.int64()), ("unit", pa.int32()), ("room_id", pa.int64()), ("code", pa.string())]
+)
 
 
 def micros(c: str) -> Column:
@@ -35,31 +39,42 @@ def day_number(c) -> Column:
     return F.unix_date(F.col(c) if isinstance(c, str) else c)
 
 
-def as_rows(df: DataFrame, kind: str, group: list[str], **values) -> DataFrame:
-    # unused columns are 0 or '', not null: pandas would turn a null integer column into floats
-    empty = {"string": ""}
+def as_rows(df: DataFrame, kind: int, group: list[str], **values) -> DataFrame:
+    """Bring ``df`` into ROW form; columns a kind does not use are 0 or empty."""
     cols = [F.lit(kind).alias("kind")] + [
-        values.get(c, F.lit(empty.get(t, 0))).cast(t).alias(c) for c, t in ROW.items() if c != "kind"
+        values.get(c, F.lit("" if t == "string" else 0)).cast(t).alias(c) for c, t in ROW.items() if c != "kind"
     ]
     return df.select(*group, *cols)
 
 
-class Rooms:
-    """Rooms of one group in number order with the disjoint busy intervals of each."""
+class Walker:
+    """State of one group: free counts per (type, night), rooms in number order, disjoint busy spans per room."""
 
-    def __init__(self, rows: pd.DataFrame):
-        self.by_type: dict = {}
-        rooms = rows[rows.kind == "room"].sort_values(["room_number", "room_id"])
-        for type_id, room in zip(rooms.room_type_id, rooms.room_id):
-            self.by_type.setdefault(int(type_id), []).append(int(room))
+    def __init__(self):
+        self.cells: dict = {}
+        self.rooms: dict = {}
         self.busy: dict = {}
-        taken = rows[rows.kind == "busy"].sort_values("start_us")
-        for room, a, b in zip(taken.room_id, taken.start_us, taken.end_us):
-            spans = self.busy.setdefault(int(room), [])
-            if spans and a < spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], int(b)))
+
+    def add(self, row: tuple, out: list) -> None:
+        kind, _, _, type_id, _, day, _, start, end, free, room, _ = row
+        if kind == BUSY:
+            spans = self.busy.setdefault(room, [])
+            if spans and start < spans[-1][1]:
+                spans[-1] = (spans[-1][0], max(spans[-1][1], end))
             else:
-                spans.append((int(a), int(b)))
+                spans.append((start, end))
+        elif kind == CELL:
+            self.cells[type_id, day] = free
+        elif kind == ROOM:
+            self.rooms.setdefault(type_id, []).append(room)
+        else:
+            self.ask(row, out)
+
+    def ask(self, row: tuple, out: list) -> None:
+        raise NotImplementedError
+
+    def finish(self, out: list) -> None:
+        pass
 
     def is_free(self, room: int, a: int, b: int) -> bool:
         spans = self.busy.get(room)
@@ -71,84 +86,115 @@ class Rooms:
     def take(self, room: int, a: int, b: int) -> None:
         insort(self.busy.setdefault(room, []), (a, b))
 
-    def release(self, room: int, a: int, b: int) -> None:
-        self.busy[room].remove((a, b))
-
     def first_free(self, type_id: int, a: int, b: int) -> int | None:
-        return next((r for r in self.by_type.get(type_id, ()) if self.is_free(r, a, b)), None)
+        return next((r for r in self.rooms.get(type_id, ()) if self.is_free(r, a, b)), None)
 
 
-def admit(rows: pd.DataFrame, with_rooms: bool) -> list[tuple]:
-    """Admit requests in arrival order, each with all its lines or not at all.
+class Admit(Walker):
+    """Admit requests in arrival order, each with all its lines or not at all: nights first, then rooms.
 
-    Nights first (listed cells only; free = -1 marks a missing one), rooms after.
+    Only listed nights are counted; a free count of -1 marks a night without inventory.
     """
-    cells = {
-        (int(k), int(d)): int(n)
-        for k, d, n in rows[rows.kind == "cell"][["room_type_id", "first_day", "free"]].itertuples(index=False)
-    }
-    rooms = Rooms(rows) if with_rooms else None
-    asks = rows[rows.kind == "ask"].sort_values(["seq", "ask_id", "room_type_id"])
-    out: list[tuple] = []
-    columns = ["ask_id", "room_type_id", "quantity", "first_day", "last_day", "start_us", "end_us"]
-    for ask_id, group in groupby(asks[columns].itertuples(index=False, name=None), key=itemgetter(0)):
-        lines = [line[1:] for line in group]
-        code = None
-        for k, n, first, last, _, _ in lines:
-            for d in range(first, last):
-                left = cells.get((k, d))
-                if left is not None and left < n:
-                    code = code or ("MISSING_INVENTORY" if left < 0 else "OVERBOOKING")
-        placed: list[tuple] = []
-        if code is None and rooms is not None:
-            for k, n, _, _, a, b in lines:
-                for u in range(n):
-                    room = rooms.first_free(k, a, b)
-                    if room is None:
-                        code = "ROOM_ASSIGN_FAILED"
-                        break
-                    rooms.take(room, a, b)
-                    placed.append((k, u + 1, room, a, b))
-                if code:
-                    break
+
+    with_rooms = True
+
+    def __init__(self):
+        super().__init__()
+        self.lines: list[tuple] = []
+
+    def ask(self, row: tuple, out: list) -> None:
+        if self.lines and self.lines[0][2] != row[2]:
+            self.finish(out)
+        self.lines.append(row)
+
+    def finish(self, out: list) -> None:
+        if not self.lines:
+            return
+        ask_id, code, placed = self.lines[0][2], self._shortage(), []
+        if code is None and self.with_rooms:
+            placed, code = self._rooms()
         if code is None:
-            for k, n, first, last, _, _ in lines:
+            for _, _, _, k, n, first, last, *_ in self.lines:
                 for d in range(first, last):
-                    if (k, d) in cells:
-                        cells[(k, d)] -= n
+                    if (k, d) in self.cells:
+                        self.cells[k, d] -= n
             out.extend((ask_id, k, u, room, None) for k, u, room, _, _ in placed)
         else:
             for _, _, room, a, b in placed:
-                rooms.release(room, a, b)
+                self.busy[room].remove((a, b))
         out.append((ask_id, None, None, None, code or "OK"))
-    return out
+        self.lines = []
+
+    def _shortage(self) -> str | None:
+        for _, _, _, k, n, first, last, *_ in self.lines:
+            for d in range(first, last):
+                left = self.cells.get((k, d))
+                if left is not None and left < n:
+                    return "MISSING_INVENTORY" if left < 0 else "OVERBOOKING"
+        return None
+
+    def _rooms(self) -> tuple[list[tuple], str | None]:
+        placed: list[tuple] = []
+        for _, _, _, k, n, _, _, a, b, *_ in self.lines:
+            for u in range(n):
+                room = self.first_free(k, a, b)
+                if room is None:
+                    return placed, "ROOM_ASSIGN_FAILED"
+                self.take(room, a, b)
+                placed.append((k, u + 1, room, a, b))
+        return placed, None
 
 
-def place(rows: pd.DataFrame) -> list[tuple]:
+class AdmitNights(Admit):
+    with_rooms = False
+
+
+class Place(Walker):
     """First-fit of single units by (start, request): a unit without a free room stays unplaced."""
-    rooms = Rooms(rows)
-    asks = rows[rows.kind == "ask"].sort_values(["start_us", "ask_id"])
-    out = []
-    for ask_id, k, n, a, b in asks[["ask_id", "room_type_id", "quantity", "start_us", "end_us"]].itertuples(index=False, name=None):
+
+    def ask(self, row: tuple, out: list) -> None:
+        _, _, ask_id, k, n, _, _, a, b, *_ = row
         for u in range(n):
-            room = rooms.first_free(k, a, b)
+            room = self.first_free(k, a, b)
             if room is not None:
-                rooms.take(room, a, b)
+                self.take(room, a, b)
             out.append((ask_id, k, u + 1, room, None if room is not None else "UNPLACED"))
-    return out
 
 
-def claim(rows: pd.DataFrame) -> list[tuple]:
+class Claim(Walker):
     """Requests for a named room in arrival order; a room already taken refuses."""
-    rooms = Rooms(rows)
-    asks = rows[rows.kind == "ask"].sort_values(["seq", "ask_id"])
-    out = []
-    for ask_id, room, a, b in asks[["ask_id", "room_id", "start_us", "end_us"]].itertuples(index=False, name=None):
-        free = rooms.is_free(room, a, b)
+
+    def ask(self, row: tuple, out: list) -> None:
+        ask_id, a, b, room = row[2], row[7], row[8], row[10]
+        free = self.is_free(room, a, b)
         if free:
-            rooms.take(room, a, b)
+            self.take(room, a, b)
         out.append((ask_id, None, None, room, "OK" if free else "ROOM_OVERLAP"))
-    return out
+
+
+def _walk(walker: type[Walker], n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def emit(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state = None, None
+        for batch in batches:
+            out: list = []
+            for row in zip(*[c.to_pylist() for c in batch.columns]):
+                if row[:n_keys] != key:
+                    if state is not None:
+                        state.finish(out)
+                    key, state = row[:n_keys], walker()
+                state.add(row[n_keys:], out)
+            if out:
+                yield emit(out)
+        out = []
+        if state is not None:
+            state.finish(out)
+        if out:
+            yield emit(out)
+
+    return run
 
 
 def decide_in_order(
@@ -157,39 +203,38 @@ def decide_in_order(
     group: list[str],
     order: list[str],
     bucket: Column,
-    step: Callable[[pd.DataFrame], list[tuple]],
+    walker: type[Walker],
     group_rows: int = GROUP_ROWS,
 ) -> DataFrame:
-    """Run ``step`` over every group; groups above ``group_rows`` are cut along ``order``.
+    """Walk every group in order and write down the decisions.
 
-    ``asks`` are ROW rows whose ask is one or more rows; ``state(decided)`` gives the ROW rows the
-    asks meet, after the decisions so far. A large group is worked off in slices, each slice one
-    job on bounded groups with the written decisions of the earlier slices as its state. All other
-    groups are done in the first slice.
+    ``asks`` are ROW rows, one or more per ask; ``state(decided)`` gives the ROW rows the asks meet
+    after the decisions so far. Groups are spread by hash and sorted by Spark, so a task holds the
+    state of one group at a time, not its asks. A group above ``group_rows`` asks is cut along
+    ``order`` into slices: each slice is one job that meets the written decisions of the earlier
+    ones. All other groups are done in the first slice.
     """
+    names = [*group, *ROW]
 
-    def apply(part: DataFrame, meets: DataFrame) -> DataFrame:
-        def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            decided = pd.DataFrame(step(pdf), columns=["ask_id", "room_type_id", "unit", "room_id", "code"])
-            return decided.astype({"ask_id": "int64", "room_type_id": "Int64", "unit": "Int32", "room_id": "Int64"})
-
-        names = [*group, *ROW]
-        return part.select(*names).unionByName(meets.select(*names)).groupBy(*group).applyInPandas(run, DECISION)
+    def walk(part: DataFrame, meets: DataFrame) -> DataFrame:
+        rows = part.select(*names).unionByName(meets.select(*names))
+        lined_up = rows.repartition(*group).sortWithinPartitions(*group, *SORT)
+        return cut_lineage(lined_up.mapInArrow(_walk(walker, len(group)), DECISION))
 
+    asks = cut_lineage(asks)
     largest = asks.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
     if largest <= group_rows:
-        return apply(asks, state(None))
+        return walk(asks, state(None))
     # number the asks, not their rows: the rows of one ask stay in one slice
     heads = asks.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = running(heads.withColumn("_bucket_by", bucket), group, F.col("_bucket_by"), order, {"_upto": ("sum", "_rows", 0)}, inclusive=True)
-    sliced = cut_lineage(
-        asks.join(ranked.select(*group, *order, F.floor((F.col("_upto") - 1) / group_rows).alias("_slice")), [*group, *order])
-    )
+    ranked = running(heads, group, bucket, order, {"_upto": ("sum", "_rows", 0)}, inclusive=True)
+    ranked = ranked.select(*group, *order, F.floor((F.col("_upto") - 1) / group_rows).alias("_slice"))
+    sliced = cut_lineage(asks.join(ranked, [*group, *order]))
     last = sliced.agg(F.max("_slice")).first()[0]
     decided = None
     for k in range(last + 1):
         part = sliced.filter(F.col("_slice") == k)
         meets = state(decided).join(part.select(*group).distinct(), group, "left_semi")
-        out = cut_lineage(apply(part, meets))
+        out = walk(part, meets)
         decided = out if decided is None else decided.unionByName(out)
     return decided

@@ -7,12 +7,12 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calc import BREAKFAST_PRICE, nights, timestamp
-from ..operators.billing import booking_total, selection_merge
+from ..operators.billing import booking_total, selection_merge, time_surcharges
 from ..operators.changes import append_rows, update_from_join
 from ..operators.reports import rooms_expected_vs_assigned
 from ..session import cut_lineage
 from .admission import _fit_columns, decide_rooms, defragment_rooms, inventory_after, new_assignments
-from .bookings import booking_intake, finalize_bookings, release_bookings, with_time_surcharges
+from .bookings import booking_intake, finalize_bookings, new_bookings, release_bookings, without_time_surcharges
 from .common import BAD_QUANTITY, NO_ROOM, NOT_FOUND, WRONG_TYPE, State, accepted, max_id, number_rows, patched, verdict
 from .ordered import GROUP_ROWS
 
@@ -26,14 +26,20 @@ def create_bookings(t: Mapping, req: DataFrame, rooms: DataFrame, services: Data
     requests are applied first and only the rest is admitted hotel by hotel in arrival order. A request that
     fails admission keeps its idempotency key for this batch: a retry belongs to the next batch.
     """
-    opened = booking_intake(t, req, as_of)
-    staff = req.select("request_id", "staff_id")
-    merged = selection_merge(rooms)
-    stays = opened["bookings"].select(F.col("id").alias("booking_id"), "hotel_id", "check_in", "check_out")
-    hotel_of = t["room_types"].select(F.col("id").alias("room_type_id"), F.col("hotel_id").alias("type_hotel"))
-    asked = opened["results"].filter("accepted").select("request_id", "seq", "booking_id").join(stays, "booking_id")
-    typed = merged.join(hotel_of, "room_type_id", "left").join(asked.select("request_id", "hotel_id"), "request_id")
-    bad_line = typed.groupBy("request_id").agg(
+    opened = cut_lineage(booking_intake(t, req, as_of)["results"])
+    stored = t["bookings"].select(
+        F.col("id").alias("booking_id"), F.col("hotel_id").alias("b_hotel"), F.col("check_in").alias("b_in"), F.col("check_out").alias("b_out")
+    )
+    # a resumed booking keeps its stored hotel and stay
+    asked = cut_lineage(
+        opened.filter("accepted").select("request_id", "booking_id", "resumed").join(req, "request_id").join(stored, "booking_id", "left")
+        .withColumns({"hotel_id": F.coalesce("b_hotel", "hotel_id"), "check_in": F.coalesce("b_in", "check_in"), "check_out": F.coalesce("b_out", "check_out")})
+        .drop("b_hotel", "b_in", "b_out")
+    )
+    types = t["room_types"].select(F.col("id").alias("room_type_id"), F.col("hotel_id").alias("type_hotel"), "type_name", "base_price")
+    merged = selection_merge(rooms).join(asked.select("request_id", "seq", "booking_id", "hotel_id", "check_in", "check_out"), "request_id")
+    merged = cut_lineage(merged.join(types, "room_type_id", "left"))
+    bad_line = merged.groupBy("request_id").agg(
         F.when(F.min("quantity") <= 0, BAD_QUANTITY)
         .when(F.bool_or(~F.col("type_hotel").eqNullSafe(F.col("hotel_id"))), WRONG_TYPE).alias("line_code")
     )
@@ -41,57 +47,54 @@ def create_bookings(t: Mapping, req: DataFrame, rooms: DataFrame, services: Data
     bad_service = services.join(sold, "service_id", "left").groupBy("request_id").agg(
         F.when(F.bool_or(F.col("sold").isNull()), NOT_FOUND).when(F.min("quantity") <= 0, BAD_QUANTITY).alias("service_code")
     )
-    judged = (
-        opened["results"].join(bad_line, "request_id", "left").join(bad_service, "request_id", "left")
+    judged = cut_lineage(
+        opened.join(bad_line, "request_id", "left").join(bad_service, "request_id", "left")
         .withColumn("guard", F.coalesce("code", "line_code", "service_code")).select("seq", "request_id", "booking_id", "guard")
     )
-    fine = judged.filter("guard IS NULL").select("request_id")
-    lines = (
-        merged.join(asked.join(fine, "request_id", "left_semi"), "request_id")
-        .select("seq", F.col("booking_id").alias("ask_id"), "hotel_id", "room_type_id", "quantity", "is_breakfast_included", "check_in", "check_out", "request_id")
-    )
-    lines = cut_lineage(lines)
-    decided = cut_lineage(decide_rooms(t, lines.drop("is_breakfast_included", "request_id"), t["room_type_inventory"], group_rows))
+    lines = merged.join(judged.filter("guard IS NULL").select("request_id"), "request_id", "left_semi").withColumnRenamed("booking_id", "ask_id")
+    lines = lines.select("seq", "ask_id", "hotel_id", "room_type_id", "quantity", "check_in", "check_out")
+    decided = decide_rooms(t, lines, t["room_type_inventory"], group_rows)
     codes = decided.filter("code IS NOT NULL").select(F.col("ask_id").alias("booking_id"), F.nullif("code", F.lit("OK")).alias("late"))
     judged = judged.join(codes, "booking_id", "left").withColumn("code", F.coalesce("guard", "late"))
-    won = cut_lineage(accepted(judged).select("request_id", "booking_id").join(staff, "request_id"))
+    won = cut_lineage(asked.join(accepted(judged).select("request_id"), "request_id", "left_semi"))
     ids = won.select("booking_id")
+    now = timestamp(as_of)
 
-    taken = lines.withColumnRenamed("ask_id", "booking_id").join(ids, "booking_id", "left_semi")
-    base = t["room_types"].select(F.col("id").alias("room_type_id"), "base_price")
-    details = number_rows(
-        taken.join(base, "room_type_id").select(
-            "booking_id", "room_type_id", F.col("base_price").alias("agreed_price"), "quantity", "is_breakfast_included"
-        ),
-        max_id(t["booking_details"]), "booking_id", "room_type_id",
+    taken = merged.join(ids, "booking_id", "left_semi")
+    new_details = taken.select(
+        "booking_id", "room_type_id", F.col("base_price").alias("agreed_price"), "quantity", "is_breakfast_included"
     )
-    details = append_rows(t["booking_details"], _fit_columns(t["booking_details"], details))
-    usage = services.join(won, "request_id").select("booking_id", "service_id", "quantity", "staff_id", timestamp(as_of).alias("used_at"))
+    new_details = cut_lineage(number_rows(new_details, max_id(t["booking_details"]), "booking_id", "room_type_id"))
+    details = append_rows(t["booking_details"], _fit_columns(t["booking_details"], new_details))
+    usage = services.join(won.select("request_id", "booking_id", "staff_id"), "request_id").withColumn("used_at", now)
     if "id" in t["service_usage"].columns:
         usage = number_rows(usage, max_id(t["service_usage"]), "booking_id", "service_id")
     usage = append_rows(t["service_usage"], _fit_columns(t["service_usage"], usage))
-    bookings = opened["bookings"].join(
-        judged.filter("code IS NOT NULL").select(F.col("booking_id").alias("id")).filter("id IS NOT NULL")
-        .join(t["bookings"].select("id"), "id", "left_anti"), "id", "left_anti",
-    )
+
     # breakfast is charged per asked line, before lines of a type are merged
-    type_names = t["room_types"].select("id", "type_name").withColumnRenamed("id", "room_type_id")
-    eaters = rooms.join(won.select("request_id", "booking_id"), "request_id").join(stays.select("booking_id", "check_in", "check_out"), "booking_id")
-    meals = eaters.filter("is_breakfast_included").join(type_names, "room_type_id").select(
-        "booking_id", F.lit("Other").alias("surcharge_type"),
+    eaters = rooms.filter("is_breakfast_included").join(won.select("request_id", "booking_id", "check_in", "check_out"), "request_id")
+    meals = eaters.join(types.select("room_type_id", "type_name"), "room_type_id").select(
+        "booking_id", "room_type_id", F.lit(0).alias("policy_id"), F.lit("Other").alias("surcharge_type"),
         (F.lit(BREAKFAST_PRICE) * F.col("quantity") * nights()).cast("decimal(18,2)").alias("amount"),
-        F.concat(F.lit("Breakfast "), F.col("type_name")).alias("description"), timestamp(as_of).alias("created_at"), "room_type_id",
+        F.concat(F.lit("Breakfast "), F.col("type_name")).alias("description"),
+    )
+    timed = time_surcharges(patched(t, bookings=won.withColumn("id", F.col("booking_id")), booking_details=details), ids)
+    extra = meals.unionByName(timed.withColumnRenamed("detail_id", "room_type_id"))
+    extra = number_rows(extra, max_id(t["booking_surcharges"]), "booking_id", "policy_id", "room_type_id", "amount").withColumn("created_at", now)
+    old = t["booking_surcharges"]
+    surcharges = append_rows(without_time_surcharges(old, ids), cut_lineage(_fit_columns(old, extra)))
+
+    billed = patched(
+        t, bookings=won.withColumn("id", F.col("booking_id")), booking_details=details, booking_surcharges=surcharges, service_usage=usage
     )
-    meals = number_rows(meals, max_id(t["booking_surcharges"]), "booking_id", "room_type_id", "amount")
-    surcharges = append_rows(t["booking_surcharges"], _fit_columns(t["booking_surcharges"], meals))
-    later = patched(t, bookings=bookings, booking_details=details, booking_surcharges=surcharges, service_usage=usage)
-    surcharges = with_time_surcharges(later, ids, as_of)
-    totals = cut_lineage(
-        booking_total(patched(later, booking_surcharges=surcharges), ids).select(F.col("booking_id").alias("id"), F.col("total_amount").alias("due"))
+    totals = cut_lineage(booking_total(billed, ids).select(F.col("booking_id").alias("id"), F.col("total_amount").alias("due")))
+    opened_rows = new_bookings(won.filter("NOT resumed"), as_of)
+    bookings = update_from_join(
+        append_rows(t["bookings"], _fit_columns(t["bookings"], opened_rows)), totals, ["id"],
+        {"status": F.lit("Active"), "total_amount": F.col("due"), "updated_at": now},
     )
-    bookings = update_from_join(bookings, totals, ["id"], {"status": F.lit("Active"), "total_amount": F.col("due"), "updated_at": timestamp(as_of)})
-    placed = decided.filter("room_id IS NOT NULL").select(F.col("ask_id").alias("booking_id"), "room_type_id", "unit", "room_id").join(ids, "booking_id", "left_semi")
-    rows = new_assignments(t, placed.join(stays, "booking_id"), as_of)
+    placed = decided.filter("room_id IS NOT NULL").select(F.col("ask_id").alias("booking_id"), "room_type_id", "unit", "room_id")
+    rows = new_assignments(t, placed.join(won.select("booking_id", "check_in", "check_out"), "booking_id"), as_of)
     return {
         "results": verdict(judged, "seq", "request_id", "booking_id"),
         "bookings": bookings,

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Correctness needs UTC (date_trunc on a zone-less timestamp passes through the
 # session zone). The rest lets Spark re-plan at run time: small sides turn into
@@ -49,7 +50,13 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
-def cut_lineage(df):
-    """Write ``df`` to the shared checkpoint folder and go on from the written copy."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
+
+    Decisions that depend on order are written this way before several outputs are built on
+    them: they are made once, and a lost executor only reads them again.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
