@@ -170,7 +170,6 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
     )
     run_heads = run_days.select(*group).distinct()
-    hotel_of = t["room_types"].select(F.col("id").alias("room_type_id"), "hotel_id")
 
     def state(decided: DataFrame | None) -> DataFrame:
         spans = _live_with_room(t).select("hotel_id", "room_id", "check_in", "check_out")
@@ -184,10 +183,12 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
         rows = _room_rows(t, run_heads, group).unionByName(_busy_rows(spans, run_days, group))
         if cells is None:
             return rows
-        free = cells.select("room_type_id", "date", (F.col("total_inventory") - F.col("total_reserved")).alias("free"))
+        # every asked night is listed, so one without inventory is seen as such
+        asked = night_demand(lines).select("hotel_id", "room_type_id", "date").distinct()
+        free = with_free(asked, cells).withColumn("free", F.coalesce("free", F.lit(-1)))
         if used is not None:
             free = free.join(used, ["room_type_id", "date"], "left").withColumn("free", F.expr("free - COALESCE(used, 0)"))
-        free = free.join(hotel_of, "room_type_id").withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
+        free = free.withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
         return rows.unionByName(
             as_rows(free, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
         )
