@@ -108,8 +108,10 @@ def blocked_rooms(t: Mapping, req: DataFrame) -> DataFrame:
     friendly however many stays a room has.
     """
     rooms = t["rooms"].select(F.col("id").alias("room_id"), F.col("hotel_id").alias("room_hotel"), "room_type_id")
+    # stays outside the requests' whole time span are dropped before they are spread
+    near = (F.col("check_out") > req.agg(F.min("check_in")).scalar()) & (F.col("check_in") < req.agg(F.max("check_out")).scalar())
     taken = (
-        t["room_assignments"].filter(live()).select("room_id", F.col("check_in").alias("a_in"), F.col("check_out").alias("a_out"))
+        t["room_assignments"].filter(live() & near).select("room_id", F.col("check_in").alias("a_in"), F.col("check_out").alias("a_out"))
         .join(rooms, "room_id")
         .withColumn("day", F.explode(touched_days("a_in", "a_out")))
     )

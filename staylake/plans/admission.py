@@ -12,7 +12,7 @@ from ..operators.changes import append_rows, update_from_join
 from ..session import cut_lineage
 from .common import (
     BAD_QUANTITY, NO_INVENTORY, NOT_FOUND, OVERBOOKED, ROOM_TAKEN, WRONG_TYPE,
-    State, accepted, in_runs, max_id, number_rows, runs, state_code, verdict, with_booking, with_run,
+    State, accepted, in_runs, max_id, number_rows, reach, runs, state_code, verdict, with_booking, with_run, within_reach,
 )
 from .ordered import ASK, BUSY, CELL, GROUP_ROWS, ROOM, Admit, AdmitNights, Claim, Place, as_rows, day_number, decide_in_order, micros
 
@@ -39,11 +39,12 @@ def _busy_rows(stays: DataFrame, run_days: DataFrame, group: list[str]) -> DataF
     return as_rows(spans, BUSY, group, room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"))
 
 
-def _live_with_room(t: Mapping, *columns: str) -> DataFrame:
-    rooms = t["rooms"].select(F.col("id").alias("room_id"), "hotel_id", "room_type_id")
-    return t["room_assignments"].filter(live()).join(rooms, "room_id").select(
-        *dict.fromkeys(["id", "booking_id", "room_id", "check_in", "check_out", "hotel_id", "room_type_id", *columns])
-    )
+def _live(t: Mapping) -> DataFrame:
+    return t["room_assignments"].filter(live()).select("id", "booking_id", "room_id", "check_in", "check_out")
+
+
+def _with_room(t: Mapping, stays: DataFrame) -> DataFrame:
+    return stays.join(t["rooms"].select(F.col("id").alias("room_id"), "hotel_id", "room_type_id"), "room_id")
 
 
 # ---------------------------------------------------------------- reserving nights
@@ -85,7 +86,7 @@ def admit_nights(lines: DataFrame, inventory: DataFrame, group_rows: int = GROUP
     ordered_asks = wanted.join(tight, ["room_type_id", "date"], "left_semi").select("ask_id").distinct()
     rows = lines.join(ordered_asks, "ask_id", "left_semi")
     group = ["hotel_id", "run"]
-    run_days = runs(rows, ["hotel_id"])
+    run_days = cut_lineage(runs(rows, ["hotel_id"]))
     asks = as_rows(
         with_run(rows, run_days, ["hotel_id"]), ASK, group,
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
@@ -164,7 +165,10 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
     Returns one row per placed room and one per ask with its code.
     """
     group = ["hotel_id", "run"]
-    run_days = runs(lines, ["hotel_id"])
+    lines = cut_lineage(lines)
+    bounds = reach(lines)
+    stored = within_reach(_live(t), bounds)
+    run_days = cut_lineage(runs(lines, ["hotel_id"]))
     asks = as_rows(
         with_run(lines, run_days, ["hotel_id"]), ASK, group,
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
@@ -172,7 +176,7 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
     run_heads = run_days.select(*group).distinct()
 
     def state(decided: DataFrame | None) -> DataFrame:
-        spans = _live_with_room(t).select("hotel_id", "room_id", "check_in", "check_out")
+        spans = _with_room(t, stored).select("hotel_id", "room_id", "check_in", "check_out")
         used = None
         if decided is not None:
             stays = lines.select("ask_id", "hotel_id", "check_in", "check_out").distinct()
@@ -240,13 +244,14 @@ def defragment_rooms(t: Mapping, hotel_ids: DataFrame, as_of, group_rows: int =
         t["booking_details"].select("booking_id", "room_type_id", "quantity").join(types, "room_type_id")
         .join(active, "booking_id").filter("type_hotel = hotel_id")
     )
-    in_scope = _live_with_room(t).join(types, "room_type_id")
-    dropped = in_scope.join(active.select("booking_id"), "booking_id", "left_semi")
-    pinned = in_scope.join(active.select("booking_id"), "booking_id", "left_anti")
     group = ["key", "run"]
     keyed = lambda df: df.withColumn("key", F.col("room_type_id"))
-    stays, pinned = keyed(stays), keyed(pinned)
-    run_days = runs(stays, ["key"])
+    stays = cut_lineage(keyed(stays))
+    in_scope = _with_room(t, _live(t)).join(types, "room_type_id")
+    dropped = in_scope.join(active.select("booking_id"), "booking_id", "left_semi")
+    near = _with_room(t, within_reach(_live(t), reach(stays))).join(types, "room_type_id")
+    pinned = keyed(near.join(active.select("booking_id"), "booking_id", "left_anti"))
+    run_days = cut_lineage(runs(stays, ["key"]))
     asks = as_rows(
         with_run(stays, run_days, ["key"]), ASK, group, ask_id=F.col("booking_id"), room_type_id=F.col("room_type_id"),
         quantity=F.col("quantity"), start_us=micros("check_in"), end_us=micros("check_out"),
@@ -302,12 +307,12 @@ def pre_assign_rooms(t: Mapping, moves: DataFrame, as_of, group_rows: int = GROU
         "seq", "booking_id", F.col("from_room_id"), F.col("to_room_id").alias("room_id"),
         F.col("b_check_in").alias("check_in"), F.col("b_check_out").alias("check_out"),
     )
-    stored = t["room_assignments"].filter(live()).select("room_id", "booking_id", "check_in", "check_out")
-    blocked = overlapping(fine, stored)
+    fine = cut_lineage(fine)
+    blocked = cut_lineage(overlapping(fine, within_reach(_live(t), reach(fine))))
     open_moves = fine.join(blocked, "seq", "left_anti")
     group = ["key", "run"]
     open_moves = open_moves.withColumn("key", F.col("room_id"))
-    run_days = runs(open_moves, ["key"])
+    run_days = cut_lineage(runs(open_moves, ["key"]))
     asks = as_rows(
         with_run(open_moves, run_days, ["key"]), ASK, group, seq=F.col("seq"), ask_id=F.col("seq"),
         room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"),

@@ -101,6 +101,18 @@ def with_run(stays: DataFrame, run_days: DataFrame, keys: list[str]) -> DataFram
     return stays.withColumn("day", F.to_date("check_in")).join(run_days, [*keys, "day"]).drop("day")
 
 
+def reach(asks: DataFrame):
+    """First check-in and last check-out of written asks, as two values; none when there are no asks."""
+    return asks.agg(F.min("check_in"), F.max("check_out")).first()
+
+
+def within_reach(stays: DataFrame, bounds) -> DataFrame:
+    """Stays that can meet any ask. The bounds are literals, so a scan of stored stays skips the rest of history."""
+    if bounds[0] is None:
+        return stays.filter(F.lit(False))
+    return stays.filter((F.col("check_out") > F.lit(bounds[0])) & (F.col("check_in") < F.lit(bounds[1])))
+
+
 def in_runs(stays: DataFrame, run_days: DataFrame, keys: list[str]) -> DataFrame:
     """Other stays of the same keys, once for each run they reach into."""
     days = stays.withColumn("day", F.explode(touched_days()))

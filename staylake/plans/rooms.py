@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.calc import OPEN_STATES, live, timestamp
 from ..operators.billing import booking_total
 from ..operators.changes import append_rows, update_from_join
+from ..session import cut_lineage
 from .admission import new_assignments, overlapping
 from .common import (
-    BAD_CUT, BAD_STATE, NOT_DIRTY, NOT_FOUND, ROOM_BUSY, ROOM_TAKEN, State, accepted, first_wins, state_code, verdict, with_booking,
+    BAD_CUT, BAD_STATE, NOT_DIRTY, NOT_FOUND, ROOM_BUSY, ROOM_TAKEN, State, accepted, first_wins, reach, state_code, verdict, with_booking, within_reach,
 )
 
 PAID_ABOVE_TOTAL = "PAID_ABOVE_TOTAL"
@@ -40,7 +41,8 @@ def check_in_batch(t: Mapping, req: DataFrame, as_of) -> State:
     to_assign = judged.filter("guard IS NULL AND assigned IS NULL").select(
         "seq", "booking_id", "room_id", F.col("b_check_in").alias("check_in"), F.col("b_check_out").alias("check_out")
     )
-    taken = overlapping(to_assign, stored).withColumn("hit", F.lit(ROOM_TAKEN))
+    to_assign = cut_lineage(to_assign)
+    taken = overlapping(to_assign, within_reach(stored, reach(to_assign))).withColumn("hit", F.lit(ROOM_TAKEN))
     judged = judged.join(taken, "seq", "left").withColumn("static", F.coalesce("guard", "hit"))
     given = judged.filter("static IS NULL").groupBy("room_id").agg(F.min("seq").alias("given_at"))
     late = F.when(F.col("guard").isNull() & (F.col("seq") > F.col("given_at")), ROOM_BUSY)
