@@ -11,7 +11,7 @@ from .functions.windows import flag_first
 from .operators import billing, calendar, changes, filters, occupancy, quality, reports
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
 from .session import shared_dir
-from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source
+from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source, stored_tables
 from .sources.tables import literal_relation
 from .streaming import jobs as streams
 
@@ -75,6 +75,16 @@ def _asked(t):
     return lines.join(t["booking_requests"].select("request_id", "hotel_id", "check_in", "check_out"), "request_id")
 
 
+def _stored(fn):
+    """For operators that read derived tables several times."""
+
+    def run(spark, sf_dir):
+        t = stored_tables(spark, sf_dir)
+        return fn(t.replaced(bookings=t["bookings_core"]))
+
+    return run
+
+
 REPORTS = {
     "scan_bookings": _on_tables(_scan_bookings),
     "literal_relation": _literal,
@@ -125,8 +135,8 @@ REPORTS = {
     "calendar_full": _on_tables(calendar.calendar_full),
     "calendar_window": _core(lambda t: calendar.calendar_window(t, "2024-02-12", "2024-02-18")),
     "rooms_by_status": _core(calendar.rooms_by_status),
-    "free_rooms": _core(lambda t: calendar.free_rooms(t, _asked(t))),
-    "first_free_room": _core(lambda t: calendar.first_free_room(t, _asked(t))),
+    "free_rooms": _stored(lambda t: calendar.free_rooms(t, _asked(t))),
+    "first_free_room": _stored(lambda t: calendar.first_free_room(t, _asked(t))),
     "first_overlap_per_room": _core(calendar.first_overlap_per_room),
     "assignment_overlaps": _core(calendar.assignment_overlaps),
 }
@@ -165,7 +175,7 @@ def _dirty(t):
 
 
 def _check(fn):
-    return lambda spark, sf_dir: fn(_dirty(derived_tables(spark, sf_dir)))
+    return lambda spark, sf_dir: fn(_dirty(stored_tables(spark, sf_dir)))
 
 
 def _cascade(t):
@@ -198,7 +208,7 @@ def _job(fn, out="results", money_columns=True):
     """Run a batch job on the derived tables and give one of its outputs."""
 
     def run(spark, sf_dir):
-        t = derived_tables(spark, sf_dir)
+        t = stored_tables(spark, sf_dir)
         if not money_columns:
             t = t.replaced(bookings=t["bookings_core"])
         state = fn(t)

@@ -18,6 +18,9 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # A union of inputs hashed on one key may skip the shuffle above it; when a join below is re-planned
+    # at run time the inputs no longer line up and the query fails ("Can't zip RDDs"). Always shuffle instead.
+    "spark.sql.unionOutputPartitioning": "false",
 }
 
 

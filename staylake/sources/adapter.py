@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators.billing import booking_total, time_surcharges
 from ..operators.occupancy import nightly_demand
+from ..session import cut_lineage
 from .schemas import TABLES
 from .tables import LazyTables, literal_relation
 
@@ -289,6 +290,21 @@ def _customer_requests(t):
     )
 
 
+# tables that take a join or an aggregation to derive
+DERIVED = [
+    "bookings", "booking_details", "booking_surcharges", "room_assignments", "room_type_inventory", "inventory_open",
+    "booking_request_rooms", "booking_request_services",
+]
+
+
+def stored_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
+    """The derived tables, with those that take work written once on first use.
+
+    For jobs and checks that read a table several times; a production snapshot is stored anyway.
+    """
+    return derived_tables(spark, sf_dir).wrapped(DERIVED, cut_lineage)
+
+
 def derived_tables(spark: SparkSession, sf_dir: str) -> LazyTables:
     """All booking and request tables for one data folder, each built only when used.
 

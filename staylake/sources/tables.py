@@ -33,6 +33,13 @@ class LazyTables(Mapping):
         return LazyTables(merged)
 
 
+    def wrapped(self, names: list[str], change) -> "LazyTables":
+        """Fresh tables in which the named ones go through ``change`` when first built."""
+        return LazyTables(
+            {n: (lambda t, b=b: change(b(t))) if n in names else b for n, b in self._builders.items()}
+        )
+
+
 def scan_tables(spark: SparkSession, path: str) -> LazyTables:
     """Read a snapshot folder ``path/<table>`` with the declared schemas."""
     return LazyTables(
