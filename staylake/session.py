@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +36,30 @@ def local_session(name: str = "staylake", cores: str = "8", shuffle: int = 8) ->
     )
     for key, value in SETTINGS.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once per application: they need not share the driver's folders."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    home = os.path.dirname(os.path.abspath(__file__))
+    with tempfile.TemporaryDirectory(prefix="staylake-ship-") as folder:
+        path = os.path.join(folder, "staylake.zip")
+        with zipfile.ZipFile(path, "w") as z:
+            for at, _, names in os.walk(home):
+                for name in sorted(names):
+                    if name.endswith(".py"):
+                        file = os.path.join(at, name)
+                        z.write(file, os.path.relpath(file, os.path.dirname(home)))
+        spark.sparkContext.addPyFile(path)
+    _SHIPPED.add(app)
 
 
 def shared_dir(spark: SparkSession) -> str:
