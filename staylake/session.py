@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -50,15 +52,17 @@ def ship_package(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     home = os.path.dirname(os.path.abspath(__file__))
-    with tempfile.TemporaryDirectory(prefix="staylake-ship-") as folder:
-        path = os.path.join(folder, "staylake.zip")
-        with zipfile.ZipFile(path, "w") as z:
-            for at, _, names in os.walk(home):
-                for name in sorted(names):
-                    if name.endswith(".py"):
-                        file = os.path.join(at, name)
-                        z.write(file, os.path.relpath(file, os.path.dirname(home)))
-        spark.sparkContext.addPyFile(path)
+    # Executors fetch the file from the driver when they first run a task, so it stays until the driver ends.
+    folder = tempfile.mkdtemp(prefix="staylake-ship-")
+    atexit.register(shutil.rmtree, folder, True)
+    path = os.path.join(os.path.abspath(folder), "staylake.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for at, _, names in os.walk(home):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    file = os.path.join(at, name)
+                    z.write(file, os.path.relpath(file, os.path.dirname(home)))
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
 
 
