@@ -55,7 +55,7 @@ def ship_package(spark: SparkSession) -> None:
     # Executors fetch the file from the driver when they first run a task, so it stays until the driver ends.
     folder = tempfile.mkdtemp(prefix="staylake-ship-")
     atexit.register(shutil.rmtree, folder, True)
-    path = os.path.join(os.path.abspath(folder), "staylake.zip")
+    path = os.path.join(os.path.realpath(folder), "staylake.zip")
     with zipfile.ZipFile(path, "w") as z:
         for at, _, names in os.walk(home):
             for name in sorted(names):
