@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, license_scan, line_dedup
+from . import exact_dedup, license_scan, line_dedup, packing
 from .common import table
 
 
@@ -12,6 +12,11 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(table(spark, sf_dir, "documents")).drop("findings")
 
 
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokens = packing.tokenize(table(spark, sf_dir, "documents"))
+    return packing.pack(tokens.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=digest)
@@ -25,6 +30,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_license_scan": op1_license_scan,
+    "op4_best_fit_packing": op4_best_fit_packing,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
 }
