@@ -38,9 +38,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{run_folder(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    release(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let go of shuffle files of finished jobs: Spark drops them when the driver collects its garbage, which it seldom does by itself."""
+    spark.sparkContext._jvm.System.gc()
+
+
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) with null texts as empty ones; all other columns are left behind, so their names cannot clash."""
     return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))

@@ -5,20 +5,19 @@ from __future__ import annotations
 import re
 from array import array
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored, texts
+from .words import slices
 
 MAX_TOKENS = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
 KNOWN_WORDS = 500_000  # words whose ids a worker remembers; beyond that it starts anew
 MARKS = ".,;:!?*$%&#|"  # marks that never join a letter before them, nor a contraction
-SLICE_BYTES = 8 << 20  # text tokenized at once
 RANK_ROWS = 20_000  # mean number of rows that one ranking task group holds
 SEARCH_NODES = 200  # nodes of one branch-and-bound search; its best filling so far is kept
 
@@ -88,19 +87,6 @@ def word_ids(path: str) -> WordIds:
     return _TOKENIZERS[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch that hold about ``most`` bytes of text each, one row at least."""
-    if not batch.num_rows:
-        return
-    at = np.cumsum(np.asarray(pa.compute.binary_length(batch[column]).fill_null(0)), dtype=np.int64)
-    first = 0
-    while first < batch.num_rows:
-        base = at[first - 1] if first else 0
-        end = max(first + 1, int(np.searchsorted(at, base + most, side="right")))
-        yield batch.slice(first, end - first)
-        first = end
-
-
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """Token ids of every text, ``END_ID`` at the end, cut into pieces of at most ``max_tokens``.
 
