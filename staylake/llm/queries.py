@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, substring_dedup
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, substring_dedup
 from .common import table
 
 
@@ -27,6 +27,16 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(tokens.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32")))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    found = decontaminate.decontaminate(docs.select("doc_id", "text"), benchmark)
+    ids = F.array_distinct(F.transform(F.array_sort("leaks"), lambda x: x["item_id"]))
+    return found.select(
+        "doc_id", (F.size("leaks") > 0).alias("contaminated"), F.size(ids).cast("bigint").alias("n_items"),
+        F.array_join(ids.cast("array<string>"), ",").alias("item_ids"), F.array_min(F.transform("leaks", lambda x: x["distance"])).alias("least_distance"),
+    )
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     digest = {"text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)}
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"), carry=digest)
@@ -53,6 +63,7 @@ QUERIES = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_near_dedup": op3_near_dedup,
     "op4_best_fit_packing": op4_best_fit_packing,
+    "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
     "op9_language_id": op9_language_id,
