@@ -60,3 +60,11 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod(id_col: Column, n: int) -> Column:
     """crc32 of the id as text, modulo ``n``; 0 for a null id."""
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % n, F.lit(0))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name

@@ -135,9 +135,10 @@ def _index(items: list, q: int, rate: float) -> Index:
 
 
 def decontaminate(
-    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS
+    docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text",
+    q: int = Q, rate: float = RATE, block_chars: int = BLOCK_CHARS, leaks_col: str = "leaks",
 ) -> DataFrame:
-    """Add ``leaks``: the benchmark items that a text holds with at most ``rate`` edits per character, each with its distance.
+    """Add ``leaks_col``: the benchmark items that a text holds with at most ``rate`` edits per character, each with its distance.
 
     Texts and items are lower-cased and runs of white space count as one blank. A stretch of text within e edits of an
     item of m characters shares m - q + 1 - q * e of its q-grams with it, on at most e + 1 neighbouring diagonals. Shared
@@ -150,17 +151,17 @@ def decontaminate(
 
     Null and empty texts have no leaks, null items are left out, repeated items count once. Repeated rows are each
     answered; an empty benchmark leaves all leaks empty; an empty table gives an empty result. All columns are kept; one
-    named ``leaks`` is replaced.
+    named like the new one is replaced.
     """
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_id).cast("bigint").alias("i"), F.col(item_text).alias("t")).filter("i is not null and t is not null").distinct()
     chars = items.agg(F.coalesce(F.sum(F.length("t")), F.lit(0))).first()[0]
     blocks = chars // max(block_chars // 2, 1) + 1
-    rest = docs.drop("leaks")
+    rest = docs.drop(leaks_col)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema)
     names = rest.columns
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("distance", pa.int32())]))
-    out = rest.withColumn("leaks", F.array().cast(FIELDS))
+    out = rest.withColumn(leaks_col, F.array().cast(FIELDS))
 
     def search(shared):
         def run(batches):
@@ -168,15 +169,15 @@ def decontaminate(
             for whole in batches:
                 for batch in slices(whole, text_col):
                     found = []
-                    for text, before in zip(batch[text_col].to_pylist(), batch["leaks"].to_pylist()):
+                    for text, before in zip(batch[text_col].to_pylist(), batch[leaks_col].to_pylist()):
                         here = [{"item_id": i, "distance": d} for i, d in index.leaks(text or "")]
                         found.append([*(before or []), *here])
-                    yield pa.record_batch([*[batch[c] for c in names], pa.array(found, kind)], [*names, "leaks"])
+                    yield pa.record_batch([*[batch[c] for c in names], pa.array(found, kind)], [*names, leaks_col])
 
         return run
 
     for k in range(blocks):
         part = sorted((r["i"], r["t"]) for r in items.filter(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k).collect())
         if part:
-            out = out.mapInArrow(search(spark.sparkContext.broadcast(part)), f"{fields}, leaks {FIELDS}")
+            out = out.mapInArrow(search(spark.sparkContext.broadcast(part)), f"{fields}, `{leaks_col}` {FIELDS}")
     return out

@@ -155,27 +155,27 @@ def _model(sample: dict[str, str]) -> Model:
     return _MODELS[key]
 
 
-def language_id(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` to every row of ``docs``.
+def language_id(docs: DataFrame, sample: dict[str, str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:
+    """Add the predicted language and its score to every row of ``docs``.
 
     A text is parsed, from left to right, into the longest phrases that occur in a language's sample; the language that
     needs the fewest phrases, weighted by the bits that name a place in its sample, wins. The score is 1 - best / second
     best entropy, between 0 and 1; ties go to the first label in sorted order.
 
     ``und`` with score 0 is predicted for null texts, texts without a letter, and when nothing was learned. Repeated
-    rows are each answered; an empty table gives an empty result. Columns named lang_pred or score are replaced.
+    rows are each answered; an empty table gives an empty result. Columns named like the two new ones are replaced.
     """
-    rest = docs.drop("lang_pred", "score")
+    rest = docs.drop(pred_col, score_col)
     names = rest.columns
     shared = docs.sparkSession.sparkContext.broadcast(sample)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + ", lang_pred string, score double"
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest.schema) + f", `{pred_col}` string, `{score_col}` double"
 
     def run(batches):
         model = _model(shared.value)
         for whole in batches:
             for batch in slices(whole, text_col):
                 langs, score = model.predict(batch[text_col].to_pylist())
-                yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*names, "lang_pred", "score"])
+                yield pa.record_batch([*batch.columns, pa.array(langs, pa.string()), pa.array(score)], [*names, pred_col, score_col])
 
     return rest.mapInArrow(run, schema)
 

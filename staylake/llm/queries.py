@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, substring_dedup
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, pii, substring_dedup
 from .common import table
 
 
@@ -48,6 +48,11 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find_pii(docs, pii.fit(docs)).withColumn("base_sha256", F.sha2("base", 256)).drop("base", "redacted")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language_id.language_id(docs.select("doc_id", "text"), language_id.learned(docs))
@@ -66,6 +71,7 @@ QUERIES = {
     "op5_decontaminate": op5_decontaminate,
     "op6_exact_dedup": op6_exact_dedup,
     "op7_line_dedup": op7_line_dedup,
+    "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
 }
