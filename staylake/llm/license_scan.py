@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import ascii_lower
@@ -72,7 +74,7 @@ FORMS = [
     ("(?:released|distributed|available|published|provided|covered|used|made available) (?:under|by)(?: the)?(?: terms of(?: the)?)? {} licen[cs]e", 0.95),
     ("subject to(?: the terms of)?(?: the)? {} licen[cs]e", 0.93),
     ("under(?: the)?(?: terms of(?: the)?)? {} licen[cs]e", 0.9),
-    ("licen[cs]e(?: is| type| name)? {}", 0.8),
+    ("licen[cs]e (?:is|type|name|identifier) {}", 0.8),
     ("{} licen[cs]e", 0.6),
 ]
 # Rules that need no name, and short names that stand for themselves: label, keyword, pattern, weight.
@@ -109,10 +111,9 @@ def rules() -> list[tuple[int, str, str, str, float]]:
 
 
 def _rule_array() -> Column:
-    return F.array(*[
-        F.struct(F.lit(i).alias("rank"), F.lit(label).alias("label"), F.array(*map(F.lit, k.split("|"))).alias("keywords"), F.lit(p).alias("pattern"), F.lit(w).alias("weight"))
-        for i, label, k, p, w in rules()
-    ])
+    """The rules as one constant."""
+    made = [{"rank": i, "label": label, "keywords": k.split("|"), "pattern": p, "weight": w} for i, label, k, p, w in rules()]
+    return F.from_json(F.lit(json.dumps(made)), "array<struct<rank:int,label:string,keywords:array<string>,pattern:string,weight:double>>")
 
 
 def _blanks(x: Column) -> Column:
