@@ -55,7 +55,7 @@ TABLES: dict[str, str] = {
     "services": """SELECT p_partkey AS id, p_partkey % n_hotels AS hotel_id, p_name || ' ' || p_partkey AS name,
         CAST(p_retailprice AS DECIMAL(10,2)) AS unit_price, p_type AS category FROM part, sizes""",
     "service_usage": """SELECT l_orderkey AS booking_id, l_partkey AS service_id, CAST(l_quantity AS INT) % 3 + 1 AS quantity
-        FROM lineitem WHERE l_returnflag = 'R'""",
+        FROM lineitem""",
     "room_costs": "SELECT booking_id, SUM(agreed_price * quantity) AS night_cost FROM booking_details GROUP BY 1",
     "surcharge_costs": "SELECT booking_id, SUM(amount) AS cost FROM booking_surcharges GROUP BY 1",
     "service_costs": """SELECT u.booking_id, SUM(u.quantity * s.unit_price) AS cost
@@ -86,8 +86,8 @@ TABLES: dict[str, str] = {
     "invoices": """SELECT id, id AS booking_id, total_amount, amount_paid, CAST(total_amount - amount_paid AS DECIMAL(18,2)) AS balance,
         CASE WHEN amount_paid >= total_amount THEN 'Paid' ELSE 'Issued' END AS status
         FROM bookings WHERE status = 'Completed' AND id % 3 <> 0""",
-    "payments": """SELECT event_id AS seq, event_id % (n_orders // 20) AS booking_id, CAST(ROUND(value, 2) * 10000 AS DECIMAL(18,2)) AS amount
-        FROM events, sizes WHERE event_type IN ('purchase', 'signup')""",
+    "payments": """SELECT event_id AS seq, event_id % (CASE WHEN event_id % 2 = 0 THEN n_orders // 20 ELSE n_orders END) AS booking_id, CAST(ROUND(value, 2) * 10000 AS DECIMAL(18,2)) AS amount
+        FROM events, sizes""",
     "booking_requests": """SELECT id AS seq, 'r' || id AS request_id, hotel_id, customer_id, check_in,
         CASE WHEN id % 13 = 0 THEN check_in ELSE check_out END AS check_out, ci_date,
         CASE WHEN id % 13 = 0 THEN ci_date ELSE co_date END AS co_date,
@@ -100,7 +100,7 @@ TABLES: dict[str, str] = {
     "room_moves": """SELECT id AS seq, booking_id, room_id AS from_room_id,
         CASE WHEN id % 7 = 0 THEN room_id + 5
              ELSE room_id - room_id % 5 + (room_id % 5 + 1) % (CASE WHEN (room_id // 5) % 3 = 2 THEN 4 ELSE 5 END) END AS to_room_id
-        FROM room_assignments WHERE NOT is_cancelled AND id % 2 = 0""",
+        FROM room_assignments WHERE NOT is_cancelled""",
     "check_ins": """SELECT id AS seq, booking_id, CASE WHEN id % 7 = 0 THEN room_id + 1 ELSE room_id END AS room_id
         FROM room_assignments WHERE NOT is_cancelled""",
     "check_outs": "SELECT id AS seq, id AS booking_id FROM bookings_core WHERE status IN ('Checked-in', 'Completed')",

@@ -172,7 +172,7 @@ CANCEL = {
     "freed": "SELECT room_type_id, date, SUM(quantity) AS n FROM held WHERE status = 'Active' GROUP BY ALL",
 }
 SERVICES = {
-    "wanted_services": "SELECT booking_id, CASE WHEN booking_id % 9 = 0 THEN -service_id ELSE service_id END AS service_id, quantity FROM service_usage WHERE booking_id % 3 = 0",
+    "wanted_services": "SELECT booking_id, CASE WHEN booking_id % 9 = 0 THEN -service_id ELSE service_id END AS service_id, quantity FROM service_usage",
     "added": "SELECT booking_id, SUM(w.quantity * s.unit_price) AS n FROM wanted_services w JOIN services s ON s.id = w.service_id GROUP BY 1",
 }
 RESULT = "code IS NULL AS accepted, code"

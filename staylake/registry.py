@@ -264,7 +264,7 @@ def _changed(name, *columns):
 def _add_services(t):
     req = t["service_usage"].selectExpr(
         "booking_id AS seq", "booking_id", "IF(booking_id % 9 = 0, -service_id, service_id) AS service_id", "quantity", "CAST(1 AS BIGINT) AS staff_id"
-    ).filter("booking_id % 3 = 0")
+    )
     return bookings.add_services(t, req, AS_OF)
 
 
@@ -374,7 +374,7 @@ def _stream_totals(spark, sf_dir):
     out, checkpoint = _stream_dirs(spark, "totals")
     t = derived_tables(spark, sf_dir)
     t = t.replaced(bookings=t["bookings_core"])
-    changed = _stream_of(spark, sf_dir, "lineitem").filter("l_returnflag = 'R'").selectExpr(
+    changed = _stream_of(spark, sf_dir, "lineitem").selectExpr(
         "CAST(NULL AS BIGINT) AS old_booking_id", "l_orderkey AS new_booking_id"
     )
     streams.stream_totals(changed, lambda: t, out, checkpoint).awaitTermination()

@@ -155,7 +155,6 @@ def _services(spark, d):
 def _service_usage(spark, d):
     return (
         source(spark, d, "lineitem")
-        .filter("l_returnflag = 'R'")
         .selectExpr("l_orderkey AS booking_id", "l_partkey AS service_id", "CAST(l_quantity AS INT) % 3 + 1 AS quantity")
     )
 
@@ -203,13 +202,13 @@ def _invoices(t):
 
 
 def _payments(spark, d):
-    per_booking = row_count(spark, d, "orders") // 20
+    """Every event pays for a booking; those with an even id crowd on a twentieth of the bookings."""
+    orders = row_count(spark, d, "orders")
     return (
         source(spark, d, "events")
-        .filter("event_type IN ('purchase', 'signup')")
         .selectExpr(
             "event_id AS seq",
-            f"event_id % {per_booking}L AS booking_id",
+            f"event_id % IF(event_id % 2 = 0, {orders // 20}L, {orders}L) AS booking_id",
             "CAST(ROUND(value, 2) * 10000 AS DECIMAL(18,2)) AS amount",
             "'Card' AS payment_method",
             "CAST(1 AS BIGINT) AS staff_id",
@@ -250,7 +249,7 @@ def _request_services(t):
 
 def _room_moves(t):
     """Moves of every assigned booking to the neighbour room; each 7th aims at another room type."""
-    live = t["room_assignments"].filter("NOT is_cancelled AND id % 2 = 0")
+    live = t["room_assignments"].filter("NOT is_cancelled")
     return live.selectExpr(
         "id AS seq",
         "booking_id",
