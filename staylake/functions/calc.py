@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Column, DataFrame, functions as F
 
 MONEY = "decimal(18,2)"
+WIDE = "decimal(38,2)"
 
 # Billing and hourly rules of the booking model.
 BREAKFAST_PRICE = 150000
@@ -27,6 +28,11 @@ def money(c) -> Column:
     return col(c).cast(MONEY)
 
 
+def wide(c) -> Column:
+    """Sums over many bookings."""
+    return col(c).cast(WIDE)
+
+
 def nights(check_in="check_in", check_out="check_out") -> Column:
     """Billed nights: calendar days between the two dates, at least one."""
     return F.greatest(F.datediff(F.to_date(col(check_out)), F.to_date(col(check_in))), F.lit(1))

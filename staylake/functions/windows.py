@@ -7,6 +7,8 @@ runs over the bucket sums of a key, and the fine window only spans one bucket.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 SEQ_BUCKET = 1_000_000  # arrival numbers are unique, so a bucket holds at most this many rows
@@ -32,7 +34,10 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, aggs: d
     )
     upto = Window.currentRow if inclusive else -1
     within = Window.partitionBy(*keys, "_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, upto)
-    out = rows.join(offsets, [*keys, "_bucket"])
+    # keys may be null, and buckets are where the order value is: such rows meet their own offsets
+    named = offsets.select(*[F.col(c).alias(f"_k_{c}") for c in [*keys, "_bucket"]], *[f"_o_{n}" for n in aggs])
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in [*keys, "_bucket"]])
+    out = rows.join(named, same)
     for name, (f, value, start) in aggs.items():
         here = fns[f](value).over(within)
         if f == "sum":
@@ -40,7 +45,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list, aggs: d
         else:
             total = F.coalesce(F.greatest(F.col(f"_o_{name}"), here), start) if start is not None else F.greatest(F.col(f"_o_{name}"), here)
         out = out.withColumn(name, total)
-    return out.drop("_bucket", *[f"_o_{n}" for n in aggs])
+    return out.drop("_bucket", *[f"_k_{c}" for c in [*keys, "_bucket"]], *[f"_o_{n}" for n in aggs])
 
 
 def first_by(df: DataFrame, keys: list[str], order: str) -> DataFrame:

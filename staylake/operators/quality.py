@@ -156,6 +156,12 @@ def dq_adult(t: Mapping, as_of) -> DataFrame:
     return _row_rules(t, {"customers": [("adult", young, F.col("date_of_birth"))]})
 
 
+def dq_missing_columns(t: Mapping) -> DataFrame:
+    """Declared columns that a table lacks, whose rules can therefore not be tested: one row each, the table's name as key."""
+    lost = [("missing_column", name, name, f.name) for name, schema in TABLES.items() for f in schema if f.name not in t[name].columns]
+    return t["hotels"].sparkSession.createDataFrame(lost, "rule string, table_name string, key string, detail string")
+
+
 def dq_unique(t: Mapping) -> DataFrame:
     """Keys stored more than once, with the count as detail. Keys with a null part never collide."""
     parts = []
@@ -239,7 +245,7 @@ def dq_total_drift(t: Mapping) -> DataFrame:
 def integrity_report(t: Mapping, as_of) -> DataFrame:
     """Violations per rule and table over all checks."""
     checks = [
-        dq_checks(t), dq_not_null(t), dq_enums(t), dq_lengths(t), dq_adult(t, as_of), dq_unique(t), dq_foreign_keys(t),
+        dq_missing_columns(t), dq_checks(t), dq_not_null(t), dq_enums(t), dq_lengths(t), dq_adult(t, as_of), dq_unique(t), dq_foreign_keys(t),
         dq_no_overlap(t), dq_inventory_drift(t), dq_total_drift(t),
     ]
     found = reduce(DataFrame.unionByName, checks)

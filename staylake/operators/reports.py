@@ -7,7 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calc import BILLED_STATES, MONEY, as_date, in_period, money, month_of, nights, period_bounds
+from ..functions.calc import BILLED_STATES, MONEY, as_date, in_period, money, month_of, nights, period_bounds, wide
 from .billing import child_costs
 
 REVENUE_PARTS = ["total_room_cost", "total_surcharges", "total_services"]
@@ -35,12 +35,12 @@ def monthly_revenue(t: Mapping, period="all", as_of=None) -> DataFrame:
         F.coalesce("service_cost", zero).alias("service"),
     )
     sums = rows.groupBy("hotel_id", "report_month").agg(
-        money(F.sum("room")).alias("total_room_cost"),
-        money(F.sum("surcharge")).alias("total_surcharges"),
-        money(F.sum("service")).alias("total_services"),
-        money(F.sum("amount_paid")).alias("actual_collected"),
+        wide(F.sum("room")).alias("total_room_cost"),
+        wide(F.sum("surcharge")).alias("total_surcharges"),
+        wide(F.sum("service")).alias("total_services"),
+        wide(F.sum("amount_paid")).alias("actual_collected"),
     )
-    total = money(F.expr("total_room_cost + total_surcharges + total_services"))
+    total = wide(F.expr("total_room_cost + total_surcharges + total_services"))
     return sums.select("hotel_id", "report_month", *REVENUE_PARTS, total.alias("total_revenue"), "actual_collected")
 
 
@@ -51,8 +51,8 @@ def latest_revenue_12(t: Mapping, as_of, period="all", n: int = 12) -> DataFrame
 def revenue_breakdown(t: Mapping, as_of, n_months: int = 6, period="all") -> DataFrame:
     """Sums and percent shares over the last rows of the revenue list; surcharges take the rounding rest."""
     last = latest_revenue_12(t, as_of, period).orderBy(F.desc("report_month"), F.desc("hotel_id")).limit(n_months)
-    s = last.agg(*[money(F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in REVENUE_PARTS])
-    s = s.withColumn("overall", money(F.expr("total_room_cost + total_surcharges + total_services")))
+    s = last.agg(*[wide(F.coalesce(F.sum(c), F.lit(0))).alias(c) for c in REVENUE_PARTS])
+    s = s.withColumn("overall", wide(F.expr("total_room_cost + total_surcharges + total_services")))
 
     def share(c: str):
         return F.round(F.col(c) * 100 / F.when(F.col("overall") > 0, F.col("overall")), 0).cast("int")
@@ -88,14 +88,14 @@ def kpi_report(t: Mapping, as_of, period="all", room_type_id=None) -> DataFrame:
     one = parts.agg(*[F.coalesce(F.max(c), F.lit(0)).alias(c) for c in names])
 
     def ratio(a, b, scale):
-        q = F.round(a.cast("decimal(24,4)") / F.when(F.col(b) != 0, F.col(b)).cast("decimal(12,0)"), scale)
+        q = F.round(a.cast("decimal(36,4)") / F.when(F.col(b) != 0, F.col(b)).cast("decimal(12,0)"), scale)
         return F.coalesce(q, F.lit(0)).cast(f"decimal(18,{scale})")
 
     return one.select(
         ratio(F.col("res_7d") * 100, "inv_7d", 1).alias("avg_occupancy_7d"),
-        money("revenue").alias("total_revenue"),
-        money("paid").alias("total_collected"),
-        money(F.col("revenue") - F.col("paid")).alias("total_outstanding"),
+        wide("revenue").alias("total_revenue"),
+        wide("paid").alias("total_collected"),
+        wide(F.col("revenue") - F.col("paid")).alias("total_outstanding"),
         ratio(F.col("room"), "res", 0).alias("adr"),
         F.col("n").cast("bigint").alias("bookings_count"),
     )

@@ -6,18 +6,19 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calc import held_nights, live, timestamp, touched_days
+from ..functions.calc import BREAKFAST_PRICE, held_nights, live, timestamp, touched_days
 from ..functions.windows import seq_bucket
 from ..operators.changes import append_rows, update_from_join
 from ..session import cut_lineage
 from .common import (
-    BAD_QUANTITY, NO_INVENTORY, NOT_FOUND, OVERBOOKED, ROOM_TAKEN, WRONG_TYPE,
+    BAD_QUANTITY, DUPLICATE, NO_INVENTORY, NOT_FOUND, OVERBOOKED, ROOM_TAKEN, WRONG_TYPE,
     State, accepted, in_runs, max_id, number_rows, reach, runs, state_code, verdict, with_booking, with_run, within_reach,
 )
 from .ordered import ASK, BUSY, CELL, GROUP_ROWS, ROOM, Admit, AdmitNights, Claim, Place, as_rows, day_number, decide_in_order, micros
 
 SEQ_ORDER = ["seq", "ask_id"]
 ALWAYS_OK = "OK"
+DAY_US = 86_400_000_000
 
 
 def _span(**more) -> dict:
@@ -117,10 +118,12 @@ def inventory_after(inventory: DataFrame, lines: DataFrame, sign: int = 1) -> Da
     return inventory.join(change, ["room_type_id", "date"], "left").withColumn("total_reserved", reserved).select(*inventory.columns)
 
 
-def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int = GROUP_ROWS) -> State:
+def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int = GROUP_ROWS, breakfast_in_price: bool = False) -> State:
     """Reserve nights for the room lines of Pending bookings, all lines of a booking or none.
 
-    ``req``: seq, booking_id, room_type_id, quantity, is_breakfast_included; one (booking, type) per line.
+    ``req``: seq, booking_id, room_type_id, quantity, is_breakfast_included. A booking holds a room type once: a type
+    asked for in two lines, or stored already, is refused (DUPLICATE). Details take the base price; with
+    ``breakfast_in_price`` those with breakfast take it on top.
     A booking arrives with its first line and asks for types of its own hotel. For asks that cannot succeed
     at all the code names the first impossible night; asks that lose to earlier ones get OVERBOOKING.
     """
@@ -129,9 +132,14 @@ def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int =
         F.min("seq").alias("seq"), (F.min("quantity") <= 0).alias("bad_quantity"),
         F.min("type_hotel").alias("low"), F.max("type_hotel").alias("high"), F.count_if(F.col("type_hotel").isNull()).alias("unknown"),
     )
+    pair = ["booking_id", "room_type_id"]
+    held = t["booking_details"].select(*pair).join(req.select(*pair), pair, "left_semi")
+    twice = req.select(*pair).unionByName(held).groupBy(*pair).count().filter("count > 1").select("booking_id").distinct()
+    heads = heads.join(twice.withColumn("twice", F.lit(True)), "booking_id", "left")
     own = (F.col("low") == F.col("b_hotel_id")) & (F.col("high") == F.col("b_hotel_id")) & (F.col("unknown") == 0)
     guarded = with_booking(heads, t, "status", "hotel_id", "check_in", "check_out").withColumn(
-        "guard", F.coalesce(state_code(["Pending"]), F.when(F.col("bad_quantity"), BAD_QUANTITY), F.when(~F.coalesce(own, F.lit(False)), WRONG_TYPE))
+        "guard", F.coalesce(state_code(["Pending"]), F.when(F.col("bad_quantity"), BAD_QUANTITY), *([F.when(F.col("unknown") > 0, NOT_FOUND)] if breakfast_in_price else []),
+            F.when(~F.coalesce(own, F.lit(False)), WRONG_TYPE), F.when(F.col("twice"), DUPLICATE))
     )
     stays = guarded.filter(F.col("guard").isNull()).select(
         "seq", "booking_id", F.col("b_hotel_id").alias("hotel_id"), F.col("b_check_in").alias("check_in"), F.col("b_check_out").alias("check_out")
@@ -144,9 +152,13 @@ def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int =
     won = accepted(judged).select("booking_id")
     taken = lines.withColumnRenamed("ask_id", "booking_id").join(won, "booking_id", "left_semi")
     base = t["room_types"].select(F.col("id").alias("room_type_id"), "base_price")
+    price = F.col("base_price")
+    if breakfast_in_price:
+        meal = F.when(F.col("is_breakfast_included"), F.lit(BREAKFAST_PRICE)).otherwise(F.lit(0))
+        price = (price + meal).cast("decimal(18,2)")
     details = (
         req.join(won, "booking_id", "left_semi").join(base, "room_type_id")
-        .select("booking_id", "room_type_id", F.col("base_price").alias("agreed_price"), "quantity", "is_breakfast_included")
+        .select("booking_id", "room_type_id", price.alias("agreed_price"), "quantity", "is_breakfast_included")
     )
     details = number_rows(details, max_id(t["booking_details"]), "booking_id", "room_type_id")
     return {
@@ -156,6 +168,11 @@ def reserve_inventory(t: Mapping, req: DataFrame, as_of=None, group_rows: int =
     }
 
 
+def add_room_lines(t: Mapping, req: DataFrame, as_of=None, group_rows: int = GROUP_ROWS) -> State:
+    """Add room lines to Pending bookings, breakfast in the price; an unknown room type is NOT_FOUND."""
+    return reserve_inventory(t, req, as_of, group_rows, breakfast_in_price=True)
+
+
 # ---------------------------------------------------------------- assigning rooms
 
 
@@ -273,7 +290,7 @@ def defragment_rooms(t: Mapping, hotel_ids: DataFrame, as_of, group_rows: int =
         )
         return known.unionByName(_busy_rows(spans, run_days, group))
 
-    decided = decide_in_order(asks, state, group, ["start_us", "ask_id"], F.col("start_us"), Place, group_rows)
+    decided = decide_in_order(asks, state, group, ["start_us", "ask_id"], F.floor(F.col("start_us") / DAY_US).cast("bigint"), Place, group_rows)
     spots = decided.select(F.col("ask_id").alias("booking_id"), "room_type_id", "unit", "room_id")
     placed = spots.filter("room_id IS NOT NULL").join(
         stays.select("booking_id", "room_type_id", "check_in", "check_out"), ["booking_id", "room_type_id"]

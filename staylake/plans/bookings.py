@@ -158,10 +158,11 @@ def release_bookings(t: Mapping, cancelled: DataFrame, as_of) -> State:
     mine = t["room_assignments"].filter(live()).join(stays.select("booking_id"), "booking_id", "left_semi").select("id")
     now = timestamp(as_of)
     stamped = F.coalesce(F.col("cancelled_at"), now) if "cancelled_at" in t["bookings"].columns else now
+    why = F.coalesce(F.col("reason"), F.col("cancel_reason")) if "cancel_reason" in t["bookings"].columns else F.col("reason")
     return {
         "bookings": update_from_join(
             t["bookings"], ids, ["id"],
-            {"status": F.lit("Cancelled"), "cancelled_at": stamped, "updated_at": now, "cancel_reason": F.col("reason")}
+            {"status": F.lit("Cancelled"), "cancelled_at": stamped, "updated_at": now, "cancel_reason": why}
         ),
         "room_type_inventory": inventory_after(t["room_type_inventory"], lines, sign=-1),
         "room_assignments": update_from_join(t["room_assignments"], mine, ["id"], {"is_cancelled": F.lit(True)}),

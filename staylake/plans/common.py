@@ -13,7 +13,8 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.calc import touched_days
-from ..functions.windows import running, seq_bucket
+from ..functions.windows import running
+from ..session import cut_lineage
 
 State = dict[str, DataFrame]
 
@@ -77,12 +78,14 @@ def max_id(df: DataFrame) -> Column:
 
 
 def number_rows(df: DataFrame, start: Column, by: str, *then: str) -> DataFrame:
-    """Give ``id`` = start + 1, 2, ... in the order (by, then). ``by`` is a number that cuts the order into
-    buckets, so no single task sorts all rows."""
-    counted = running(
-        df.withColumn("_one", F.lit(1)), [], seq_bucket(by), [by, *then], {"_n": ("sum", "_one", 0)}, inclusive=True
-    )
-    return counted.withColumn("id", start + F.col("_n").cast("bigint")).drop("_one", "_n")
+    """Give ``id`` = start + 1, 2, ... in the order (by, then).
+
+    Rows are dealt out by ranges of that order, whatever the gaps between its values, and written once; only the counts
+    of the ranges meet in one task.
+    """
+    ranged = cut_lineage(df.repartitionByRange(by, *then).withColumns({"_one": F.lit(1), "_range": F.spark_partition_id()}))
+    counted = running(ranged, [], F.col("_range"), [by, *then], {"_n": ("sum", "_one", 0)}, inclusive=True)
+    return counted.withColumn("id", start + F.col("_n").cast("bigint")).drop("_one", "_n", "_range")
 
 
 def runs(stays: DataFrame, keys: list[str]) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.reports import rooms_expected_vs_assigned
 from ..session import cut_lineage
 from .admission import _fit_columns, decide_rooms, defragment_rooms, inventory_after, new_assignments
 from .bookings import booking_intake, finalize_bookings, new_bookings, release_bookings, without_time_surcharges
-from .common import BAD_QUANTITY, NO_ROOM, NOT_FOUND, WRONG_TYPE, State, accepted, max_id, number_rows, patched, verdict
+from .common import BAD_QUANTITY, DUPLICATE, NO_ROOM, NOT_FOUND, WRONG_TYPE, State, accepted, max_id, number_rows, patched, verdict
 from .ordered import GROUP_ROWS
 
 NO_SPOT = "no free room on the calendar"
@@ -38,10 +38,12 @@ def create_bookings(t: Mapping, req: DataFrame, rooms: DataFrame, services: Data
     )
     types = t["room_types"].select(F.col("id").alias("room_type_id"), F.col("hotel_id").alias("type_hotel"), "type_name", "base_price")
     merged = selection_merge(rooms).join(asked.select("request_id", "seq", "booking_id", "hotel_id", "check_in", "check_out"), "request_id")
-    merged = cut_lineage(merged.join(types, "room_type_id", "left"))
+    held = t["booking_details"].select("booking_id", "room_type_id", F.lit(True).alias("held")).distinct()
+    merged = cut_lineage(merged.join(types, "room_type_id", "left").join(held, ["booking_id", "room_type_id"], "left"))
     bad_line = merged.groupBy("request_id").agg(
         F.when(F.min("quantity") <= 0, BAD_QUANTITY)
-        .when(F.bool_or(~F.col("type_hotel").eqNullSafe(F.col("hotel_id"))), WRONG_TYPE).alias("line_code")
+        .when(F.bool_or(~F.col("type_hotel").eqNullSafe(F.col("hotel_id"))), WRONG_TYPE)
+        .when(F.bool_or("held"), DUPLICATE).alias("line_code")  # a resumed booking holds a room type once
     )
     sold = t["services"].select(F.col("id").alias("service_id"), F.lit(True).alias("sold"))
     bad_service = services.join(sold, "service_id", "left").groupBy("request_id").agg(
@@ -119,7 +121,8 @@ def finalize_with_repack(t: Mapping, req: DataFrame, as_of, group_rows: int = GR
     hotels = after["bookings"].join(ids.withColumnRenamed("booking_id", "id"), "id", "left_semi").select("hotel_id")
     packed = defragment_rooms(after, hotels, as_of, group_rows)
     after = patched(after, room_assignments=cut_lineage(packed["room_assignments"]))
-    short = cut_lineage(rooms_expected_vs_assigned(after).join(ids, "booking_id", "left_semi").select("booking_id"))
+    own = {n: after[n].join(ids, "booking_id", "left_semi") for n in ("booking_details", "room_assignments")}
+    short = cut_lineage(rooms_expected_vs_assigned(own).select("booking_id"))
     state = release_bookings(after, short.withColumn("reason", F.lit(NO_SPOT)), as_of)
     results = done["results"].join(short.withColumn("short", F.lit(True)), "booking_id", "left").withColumn(
         "code", F.when(F.col("accepted") & F.col("short"), NO_ROOM).otherwise(F.col("code"))

@@ -12,7 +12,7 @@ from .operators import billing, calendar, changes, filters, occupancy, quality,
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
 from .session import shared_dir
 from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source, stored_tables
-from .sources.tables import literal_relation
+from .sources.tables import date_spine, literal_relation, scan_tables, write_snapshot
 from .streaming import jobs as streams
 
 
@@ -44,10 +44,15 @@ def _literal(spark, sf_dir):
 
 def _date_spine(spark, sf_dir):
     """Every date between the first and the last order."""
-    ends = source(spark, sf_dir, "orders").agg(
-        F.to_date(F.min("o_orderdate")).alias("a"), F.to_date(F.max("o_orderdate")).alias("b")
-    )
-    return ends.select(F.explode(F.sequence("a", "b")).alias("date"))
+    first, last = source(spark, sf_dir, "orders").agg(F.to_date(F.min("o_orderdate")), F.to_date(F.max("o_orderdate"))).first()
+    return date_spine(spark, first, last)
+
+
+def _scan_tables(spark, sf_dir):
+    """Room lines of a snapshot that was written and read back with the declared types."""
+    path = f"{shared_dir(spark)}/snapshots/{uuid.uuid4().hex}"
+    write_snapshot(derived_tables(spark, sf_dir), ["booking_details"], path)
+    return scan_tables(spark, path)["booking_details"].select("id", "booking_id", "room_type_id", F.col("agreed_price").cast("decimal(10,2)").alias("agreed_price"), "quantity")
 
 
 def _demand_running(t):
@@ -89,6 +94,7 @@ REPORTS = {
     "scan_bookings": _on_tables(_scan_bookings),
     "literal_relation": _literal,
     "date_spine": _date_spine,
+    "scan_tables": _scan_tables,
     "build_inventory": _core(lambda t: occupancy.build_inventory(t, "2024-02-10", "2024-03-11")),
     "stay_nights": _core(billing.stay_nights),
     "booking_balance": _on_tables(billing.booking_balance),
@@ -217,14 +223,29 @@ def _job(fn, out="results", money_columns=True):
     return run
 
 
-def _reserve(t):
-    """Pending bookings ask for their rooms again, on the inventory without them."""
+def _room_lines(t):
+    """Pending bookings ask for their rooms again, on the inventory without them; some ask twice, some hold the type already."""
     pending = t["bookings"].filter("status = 'Pending'").select(F.col("id").alias("booking_id"))
     req = t["booking_details"].join(pending, "booking_id").selectExpr(
         "booking_id AS seq", "booking_id", "room_type_id", "IF(booking_id % 49 = 0, 0, quantity) AS quantity", "is_breakfast_included"
     )
-    rest = t["booking_details"].join(pending, "booking_id", "left_anti")
-    return admission.reserve_inventory(t.replaced(room_type_inventory=t["inventory_open"], booking_details=rest), req, AS_OF)
+    req = req.unionByName(req.filter("booking_id % 13 = 0"))
+    stored = t["booking_details"].join(pending.filter("booking_id % 11 <> 0"), "booking_id", "left_anti")
+    return t.replaced(room_type_inventory=t["inventory_open"], booking_details=stored), req
+
+
+def _reserve(t):
+    return admission.reserve_inventory(*_room_lines(t), AS_OF)
+
+
+def _add_room_lines(t):
+    return admission.add_room_lines(*_room_lines(t), AS_OF)
+
+
+def _added_details(state):
+    won = state["results"].filter("accepted").select("booking_id")
+    price = F.col("agreed_price").cast("decimal(18,2)").alias("agreed_price")
+    return state["booking_details"].join(won, "booking_id", "left_semi").select("booking_id", "room_type_id", price, "quantity")
 
 
 def _without_pending_rooms(t):
@@ -316,6 +337,7 @@ JOBS = {
     "customer_intake": _job(lambda t: bookings.customer_intake(t, t["customer_requests"], AS_OF), money_columns=False),
     "reserve_inventory": _job(_reserve, money_columns=False),
     "reserve_inventory_nights": _job(_reserve, "room_type_inventory", money_columns=False),
+    "add_room_lines": _job(_add_room_lines, _added_details, money_columns=False),
     "finalize_bookings": _job(lambda t: bookings.finalize_bookings(t, t["finalizations"], AS_OF), money_columns=False),
     "finalize_bookings_totals": _job(lambda t: bookings.finalize_bookings(t, t["finalizations"], AS_OF), "totals", money_columns=False),
     "finalize_with_repack": _job(

@@ -23,61 +23,61 @@ def _schema(*columns: tuple) -> T.StructType:
 
 TABLES: dict[str, T.StructType] = {
     "hotels": _schema(
-        ("id", INT, True), ("name", STR, True), ("address", STR, True), ("hotline", STR), ("created_at", TS),
+        ("id", LONG, True), ("name", STR, True), ("address", STR, True), ("hotline", STR), ("created_at", TS),
     ),
     "customers": _schema(
-        ("id", INT, True), ("full_name", STR, True), ("phone_number", STR, True), ("email", STR),
+        ("id", LONG, True), ("full_name", STR, True), ("phone_number", STR, True), ("email", STR),
         ("identity_card", STR), ("date_of_birth", DATE, True), ("created_at", TS),
     ),
     "staff": _schema(
-        ("id", INT, True), ("hotel_id", INT), ("name", STR, True), ("role", STR, True), ("username", STR),
+        ("id", LONG, True), ("hotel_id", LONG), ("name", STR, True), ("role", STR, True), ("username", STR),
         ("created_at", TS), ("updated_at", TS),
     ),
     # times of day are seconds since midnight
     "surcharge_policies": _schema(
-        ("id", INT, True), ("policy_type", STR, True), ("description", STR), ("multiplier", RATE, True),
+        ("id", LONG, True), ("policy_type", STR, True), ("description", STR), ("multiplier", RATE, True),
         ("start_sec", INT), ("end_sec", INT), ("is_active", BOOL),
     ),
     "room_types": _schema(
-        ("id", INT, True), ("hotel_id", INT, True), ("type_name", STR, True), ("base_price", PRICE, True),
-        ("max_capacity", INT, True), ("created_at", TS), ("updated_at", TS), ("updated_by", INT),
+        ("id", LONG, True), ("hotel_id", LONG, True), ("type_name", STR, True), ("base_price", PRICE, True),
+        ("max_capacity", INT, True), ("created_at", TS), ("updated_at", TS), ("updated_by", LONG),
     ),
     "rooms": _schema(
-        ("id", INT, True), ("hotel_id", INT, True), ("room_number", STR, True), ("room_type_id", INT, True),
-        ("status", STR), ("created_at", TS), ("updated_at", TS), ("updated_by", INT),
+        ("id", LONG, True), ("hotel_id", LONG, True), ("room_number", STR, True), ("room_type_id", LONG, True),
+        ("status", STR), ("created_at", TS), ("updated_at", TS), ("updated_by", LONG),
     ),
     "room_type_inventory": _schema(
-        ("room_type_id", INT, True), ("date", DATE, True), ("total_inventory", INT, True), ("total_reserved", INT, True),
+        ("room_type_id", LONG, True), ("date", DATE, True), ("total_inventory", INT, True), ("total_reserved", INT, True),
     ),
     "bookings": _schema(
-        ("id", INT, True), ("hotel_id", INT, True), ("customer_id", INT, True), ("status", STR),
-        ("idempotency_key", STR), ("check_in", TS, True), ("check_out", TS, True), ("total_amount", PRICE),
-        ("amount_paid", PRICE), ("created_at", TS), ("updated_at", TS), ("updated_by", INT),
+        ("id", LONG, True), ("hotel_id", LONG, True), ("customer_id", LONG, True), ("status", STR),
+        ("idempotency_key", STR), ("check_in", TS, True), ("check_out", TS, True), ("total_amount", MONEY),
+        ("amount_paid", MONEY), ("created_at", TS), ("updated_at", TS), ("updated_by", LONG),
         ("cancelled_at", TS), ("cancel_reason", STR),
     ),
     "booking_details": _schema(
-        ("id", INT, True), ("booking_id", INT, True), ("room_type_id", INT, True), ("agreed_price", PRICE, True),
+        ("id", LONG, True), ("booking_id", LONG, True), ("room_type_id", LONG, True), ("agreed_price", MONEY, True),
         ("quantity", INT, True), ("is_breakfast_included", BOOL),
     ),
     "booking_surcharges": _schema(
-        ("id", INT, True), ("booking_id", INT, True), ("surcharge_type", STR, True), ("amount", PRICE, True),
+        ("id", LONG, True), ("booking_id", LONG, True), ("surcharge_type", STR, True), ("amount", MONEY, True),
         ("description", STR), ("created_at", TS),
     ),
     "room_assignments": _schema(
-        ("id", INT, True), ("booking_id", INT, True), ("room_id", INT, True), ("check_in", TS, True),
+        ("id", LONG, True), ("booking_id", LONG, True), ("room_id", LONG, True), ("check_in", TS, True),
         ("check_out", TS, True), ("is_cancelled", BOOL), ("assigned_at", TS),
     ),
     "services": _schema(
-        ("id", INT, True), ("hotel_id", INT, True), ("name", STR, True), ("unit_price", PRICE, True),
+        ("id", LONG, True), ("hotel_id", LONG, True), ("name", STR, True), ("unit_price", PRICE, True),
         ("category", STR), ("created_at", TS),
     ),
     "service_usage": _schema(
-        ("id", INT, True), ("booking_id", INT, True), ("service_id", INT, True), ("quantity", INT, True),
-        ("used_at", TS), ("staff_id", INT),
+        ("id", LONG, True), ("booking_id", LONG, True), ("service_id", LONG, True), ("quantity", INT, True),
+        ("used_at", TS), ("staff_id", LONG),
     ),
     "invoices": _schema(
-        ("id", INT, True), ("booking_id", INT, True), ("issued_at", TS), ("issued_by", INT),
-        ("total_amount", PRICE, True), ("amount_paid", PRICE, True), ("balance", PRICE, True), ("status", STR),
+        ("id", LONG, True), ("booking_id", LONG, True), ("issued_at", TS), ("issued_by", LONG),
+        ("total_amount", MONEY, True), ("amount_paid", MONEY, True), ("balance", MONEY, True), ("status", STR),
     ),
 }
 

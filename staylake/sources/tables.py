@@ -59,12 +59,17 @@ def date_spine(spark: SparkSession, start, end_inclusive) -> DataFrame:
     return spark.range(1).select(F.explode(days).alias("date"))
 
 
+def conformed(df: DataFrame, name: str) -> DataFrame:
+    """The columns of a table in their declared order and types; columns it lacks stay out, others too."""
+    return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in TABLES[name] if f.name in df.columns])
+
+
 def write_snapshot(tables: Mapping, names: list[str], path: str) -> None:
-    """Write tables as a new snapshot. The path must be new, so no input is overwritten."""
+    """Write tables as a new snapshot, with the declared types, so that it can be read back. The path must be new, so no input is overwritten."""
     for name in names:
-        tables[name].write.mode("errorifexists").parquet(f"{path}/{name}")
+        conformed(tables[name], name).write.mode("errorifexists").parquet(f"{path}/{name}")
 
 
 def append_to_snapshot(df: DataFrame, path: str, name: str) -> None:
     """Append rows to one table of a snapshot folder."""
-    df.write.mode("append").parquet(f"{path}/{name}")
+    conformed(df, name).write.mode("append").parquet(f"{path}/{name}")
