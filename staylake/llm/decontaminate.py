@@ -40,8 +40,11 @@ def budget(length: int, q: int = Q, rate: float = RATE) -> int:
     return -1 if length < q else min(int(length * rate), (length - q) // q)
 
 
-def distance(item: np.ndarray, region: np.ndarray, low: int, high: int) -> int:
-    """Fewest edits between the item and any stretch of the region, along diagonals low..high (region place - item place)."""
+def distance(item: np.ndarray, region: np.ndarray, low: int, high: int, most: int) -> int:
+    """Fewest edits between the item and any stretch of the region, along diagonals low..high (region place - item place).
+
+    More than ``most`` edits are not told apart: the alignment ends when no path has fewer.
+    """
     far = len(item) + 1
     d = np.arange(low, high + 1)
     steps = np.arange(len(d))
@@ -56,6 +59,8 @@ def distance(item: np.ndarray, region: np.ndarray, low: int, high: int) -> int:
         fresh[(j + 1 < 0) | (j + 1 > len(region))] = far
         row = np.minimum(np.minimum.accumulate(fresh - steps) + steps, far)  # region characters are left out
         row[(j + 1 < 0) | (j + 1 > len(region))] = far
+        if row.min() > most:
+            break
     return int(row.min())
 
 
@@ -106,9 +111,14 @@ class Index:
         wide = int(band.max()) + shift + 2
         code = np.concatenate([item * wide + band + shift, item * wide + band - 1 + shift])  # bands overlap by half
         found, shared = np.unique(code, return_counts=True)
-        hit = shared >= self.least[found // wide]
+        found = found[shared >= self.least[found // wide]]
+        if len(found):  # a repeated q-gram of the text counts once for each place in the item
+            own = np.isin(code, found)
+            place = np.concatenate([self.place[posting]] * 2)[own]
+            found, shared = np.unique(np.unique(np.stack([code[own], place]), axis=1)[0], return_counts=True)
+            found = found[shared >= self.least[found // wide]]
         best: dict[int, int] = {}
-        for c in found[hit].tolist():
+        for c in found.tolist():
             i, b = divmod(c, wide)
             if best.get(i) == 0:
                 continue
@@ -116,7 +126,7 @@ class Index:
             low = (b - shift) * (e + 1)
             start = max(low - e, 0)
             region = chars[start : low + 2 * (e + 1) + len(chars_i) + e]
-            d = distance(chars_i, region, low - e - start, low + 2 * (e + 1) + e - start)
+            d = distance(chars_i, region, low - e - start, low + 2 * (e + 1) + e - start, e)
             if d <= e and d < best.get(i, e + 1):
                 best[i] = d
         merged: dict[int, int] = {}
