@@ -112,6 +112,22 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
     return texts(docs, id_col, text_col).mapInArrow(run, "doc_id long, piece int, start long, length long, ids binary")
 
 
+def best_fit(left: np.ndarray, room: int) -> list[int]:
+    """The filling that always takes the largest piece that still fits."""
+    found: list[int] = []
+    top = room
+    while top > 0:
+        fits = np.flatnonzero(left[1 : top + 1])
+        if not len(fits):
+            break
+        s = int(fits[-1]) + 1
+        k = min(room // s, int(left[s]))
+        found += [s] * k
+        room -= k * s
+        top = min(room, s - 1)
+    return found
+
+
 def completion(left: np.ndarray, room: int) -> list[int]:
     """Sizes, largest first, that best fill ``room`` from the multiset ``left`` (left[s] pieces of size s).
 
@@ -123,18 +139,8 @@ def completion(left: np.ndarray, room: int) -> list[int]:
     if room <= 0:
         return []
     left = left[: room + 1].copy()
-    best: list[int] = []
-    rest, probe = room, left.copy()
-    while rest:  # best fit: the largest piece that still fits
-        fits = np.flatnonzero(probe[1 : rest + 1])
-        if not len(fits):
-            break
-        s = int(fits[-1]) + 1
-        k = min(rest // s, int(probe[s]))
-        probe[s] -= k
-        best += [s] * k
-        rest -= k * s
-    waste, nodes = rest, SEARCH_NODES
+    best = best_fit(left, room)
+    waste, nodes = room - sum(best), SEARCH_NODES
     if not waste and len(best) <= 2:
         return best
     perfect = False
@@ -180,9 +186,17 @@ def completion(left: np.ndarray, room: int) -> list[int]:
 def plan(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[list[int], int]]:
     """Fillings of one sequence and how many sequences are filled alike, for pieces counted by length.
 
-    Around the largest piece left, the best completion is found and used as often as the counts allow, so the work
-    depends on the number of different lengths, at most ``capacity``, and not on the number of pieces.
+    Best-fit decreasing gives the incumbent; bin completion replaces it where it needs fewer sequences.
     """
+    incumbent = _fill(counts, capacity, best_fit)
+    if sum(t for _, t in incumbent) * capacity - sum(s * n for s, n in counts.items()) < capacity:
+        return incumbent  # no plan has fewer sequences
+    return min(incumbent, _fill(counts, capacity, completion), key=lambda p: sum(t for _, t in p))
+
+
+def _fill(counts: dict[int, int], capacity: int, complete) -> list[tuple[list[int], int]]:
+    """Around the largest piece left, a completion is found and used as often as the counts allow, so the work depends on
+    the number of different lengths, at most ``capacity``, and not on the number of pieces."""
     left = np.zeros(capacity + 1, np.int64)
     for size, n in counts.items():
         left[size] = n
@@ -194,7 +208,7 @@ def plan(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[list[
         if not top:
             return found
         left[top] -= 1
-        filling = [top, *completion(left, capacity - top)]
+        filling = [top, *complete(left, capacity - top)]
         left[top] += 1
         uses = Counter(filling)
         times = min(int(left[s]) // k for s, k in uses.items())
