@@ -91,7 +91,7 @@ class Model:
             codes = self.codes(sample[lang])
             table = transitions(codes, self.letters)
             self.tables.append(table.ravel())
-            self.starts.append(np.where(table[1] == 0, 1, table[1]).astype(np.int32))
+            self.starts.append(table[1].copy())  # 0 for a letter that the sample lacks: it is a phrase of its own
             self.bits.append(np.log2(max(len(codes), 2)))
 
     def codes(self, text: str) -> np.ndarray:
