@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from staylake.llm import decontaminate, exact_dedup, language_id, near_dedup, packing
 from staylake.llm.common import fresh, stored, table
+from staylake.session import ship_package
 
 
 def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -60,6 +61,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``; each reads what the one before wrote."""
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
