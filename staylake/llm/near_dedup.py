@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import stored, texts
-from .words import HASHES, list_parts, lists, mix, slices, windows
+from .words import hashes, list_parts, lists, mix, slices, windows
 
 CHUNKS, WIDTH, ERRORS = 6, 6, 2  # a signature has CHUNKS * WIDTH values; so many values of one chunk may differ
 VALUES = CHUNKS * WIDTH
 REACH = CHUNKS * (ERRORS + 1) - 1  # pairs whose signatures differ in at most so many values all meet (pigeonhole)
 FAR = 22  # pairs that meet by chance and differ in more values are not read: at the threshold, under 1e-8 of pairs do
-EAGER = 4  # all open pairs are listed once they are no more than so many for each document that has any
+EAGER = 4  # all open pairs are listed once they are no more than so many for each class
 
 _RNG = np.random.default_rng(20240)
 _XOR, _MUL = (_RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
@@ -24,7 +24,7 @@ _XOR, _MUL = (_RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1)
 
 def shingles(words: list[bytes]) -> np.ndarray:
     """Sorted hashes of the distinct two-word shingles; one word alone is one shingle of its own kind."""
-    h = HASHES.of(words)
+    h = hashes(words)
     return np.unique(windows(h, 2) if len(h) > 1 else mix(h, np.full(len(h), 1, np.uint64)))
 
 
@@ -162,7 +162,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     some = sets.filter("print is not null and doc_id is not null")
     classes = stored(some.groupBy("print").agg(F.min("doc_id").alias("node")))
     nodes = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["print", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct())
-    twice = stored(sets.filter("print is not null").select("doc_id", "print").distinct().join(classes, "print").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")))
+    # an id that repeats with other texts is one node: it links the classes of its texts
+    torn = some.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low < high")
+    torn = stored(some.join(torn.select("doc_id"), "doc_id", "left_semi").join(classes, "print").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
     keys = _keys(nodes)
     shared = stored(keys.groupBy("slot", "key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last"))
     mates = stored(keys.join(shared, ["slot", "key"]))
@@ -180,7 +182,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     pairs = stored(mates.filter("node > pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
     tried = pairs
     labels = components(confirm(promising(pairs, None), docs, percent))
-    step, idle = 0, False
+    step, idle, most_pairs = 0, False, EAGER * nodes.count()
     while True:
         if labels is None:
             rooted = mates.select("slot", "key", "node", F.col("node").alias("root"))
@@ -195,10 +197,10 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             "slot", "key", F.col("m.node").alias("pivot"), F.col("m.root").alias("pivot_root"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")
         ))
         mates = stored(rooted.join(buckets.drop("pairs"), ["slot", "key"]))
-        total, most = mates.select("node").distinct().count(), buckets.agg(F.sum("pairs")).first()[0]
-        if not total:
+        open_pairs = buckets.agg(F.sum("pairs")).first()[0]
+        if not open_pairs:
             break
-        last = idle or most <= EAGER * total
+        last = idle or open_pairs <= most_pairs
         if last:
             a, b = (mates.select("slot", "key", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
             found = a.join(b, ["slot", "key"]).filter("a < b and ra <> rb")
@@ -214,11 +216,12 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         labels = components(links, labels)
         step += 1
 
-    labels = components(twice, labels) if labels is not None else components(twice)
-    placed = sets.select("doc_id", "n_shingles")
-    if labels is None:
-        return placed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
-    root = labels.select(F.col("node").alias("doc_id"), "root")
-    return placed.join(root, "doc_id", "left").select(
-        "doc_id", "n_shingles", F.coalesce("root", "doc_id").alias("component_id"), F.col("root").isNull().alias("kept")
-    )
+    if not torn.isEmpty():
+        labels = components(torn, labels)
+    placed = sets.filter("doc_id is not null").select("doc_id", "n_shingles", "print").join(classes, "print", "left")
+    if labels is not None:
+        placed = placed.join(labels, "node", "left").withColumn("node", F.coalesce("root", "node"))
+    found = F.coalesce("node", "doc_id")
+    placed = placed.select("doc_id", "n_shingles", found.alias("component_id"), (found == F.col("doc_id")).alias("kept"))
+    alone = sets.filter("doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    return placed.unionByName(alone)
