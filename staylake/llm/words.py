@@ -9,27 +9,15 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 
-KNOWN_WORDS = 300_000  # words whose hash a worker remembers; beyond that the others are hashed each time
 SLICE_BYTES = 8 << 20  # text worked on at once
 
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT = np.uint64(29)
 
 
-class WordHashes(dict):
+def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words given as bytes."""
-
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh64_intdigest(word)
-        if len(self) < KNOWN_WORDS:
-            self[word] = h
-        return h
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
-HASHES = WordHashes()  # one per worker; it outlives a task
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
 
 
 def mix(a: np.ndarray, b: np.ndarray) -> np.ndarray:
