@@ -10,17 +10,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import crc_mod, stored, texts
-from .words import HASHES, lists, mix, slices
+from .words import hashes, lists, mix, slices
 
-CLASSES = 64  # word classes: a word's class is its hash modulo this
-ROWS = (1 << 12, 1 << 12, 1 << 13)  # hashed contexts of the features: previous word, the word before it (skip), both
-STEPS = 2  # gradient updates, each over all training text
+CLASSES = 64  # word classes, a power of two: a word's class is its hash modulo this
+ROWS = (1 << 12, 1 << 12, 1 << 13)  # hashed contexts of the features, powers of two: previous word, the word before it (skip), both
+STEPS = 2  # gradient updates of one pass over all training text, each over its own share of the documents
 RATE = 2.0  # step length, as a part of the curvature bound
 PRIOR = 20.0  # tokens that a context's first estimate is smoothed by
 CHUNK = 4096  # cells that travel in one row
 FREQUENT = 100_000  # words with at least 1 / FREQUENT of all tokens are looked up in memory: there are at most so many
 FLUSH_WORDS = 500_000  # words that a task counts before it hands them on
-TOKENS = 16_384  # tokens scored at once
+TOKENS = 4_096  # tokens scored at once
+SUMMED = 16 * TOKENS  # tokens whose expected counts are summed at once
+STEEP = 25.0  # no weight is larger, so that exponentials of three of them stay finite
 END = b""  # no word is empty
 
 _FIRST, _SECOND, _BOTH = 0, ROWS[0], ROWS[0] + ROWS[1]
@@ -38,12 +40,9 @@ def features(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     start = np.zeros(2, np.uint64)
     before = np.concatenate([start, h])[:-1]
     one, two = before[1:], before[:-1]
-    rows = [
-        (one >> np.uint64(20)).astype(np.int64) % ROWS[0] + _FIRST,
-        (two >> np.uint64(20)).astype(np.int64) % ROWS[1] + _SECOND,
-        (mix(two, one) >> np.uint64(20)).astype(np.int64) % ROWS[2] + _BOTH,
-    ]
-    return (h % np.uint64(CLASSES)).astype(np.int64), rows
+    parts = ((one, _FIRST), (two, _SECOND), (mix(two, one), _BOTH))
+    rows = [((x >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64) + at for (x, at), n in zip(parts, ROWS)]
+    return (h & np.uint64(CLASSES - 1)).astype(np.int64), rows
 
 
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
@@ -75,9 +74,9 @@ def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def word_rows(counts: Counter) -> pa.RecordBatch:
         words = list(counts)
-        cls = [HASHES[w] % CLASSES for w in words]
+        cls = (hashes(words) % np.uint64(CLASSES)).astype(np.int32)
         none = pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary())
-        return pa.record_batch([pa.array(words, pa.binary()), pa.array(cls, pa.int32()), pa.array(list(counts.values()), pa.int64()), *none], ["word", "cls", "n", "chunk", "cells"])
+        return pa.record_batch([pa.array(words, pa.binary()), pa.array(cls), pa.array(list(counts.values()), pa.int64()), *none], ["word", "cls", "n", "chunk", "cells"])
 
     def run(batches):
         counts: Counter = Counter()
@@ -88,7 +87,7 @@ def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
                 for text in batch["text"].to_pylist():
                     words = tokens(text)
                     counts.update(words)
-                    cls, rows = features(HASHES.of(words))
+                    cls, rows = features(hashes(words))
                     cells += [r * CLASSES + cls for r in rows]
                 if cells:
                     at, n = np.unique(np.concatenate(cells), return_counts=True)
@@ -108,61 +107,65 @@ def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 class Weights:
-    """Class scores: the log share of each class plus a weight row per context feature."""
+    """Class scores: the log share of each class, kept in the rows of the first feature, plus a weight row per context feature."""
 
     def __init__(self, share: np.ndarray, weight: np.ndarray):
-        self.bias, self.weight = np.log(share).astype(np.float32), weight.astype(np.float32)
+        self.weight = np.clip(weight, -STEEP, STEEP).astype(np.float32)
+        self.weight[: ROWS[0]] += np.log(share).astype(np.float32)
 
-    def probabilities(self, rows: list[np.ndarray]) -> np.ndarray:
-        z = self.weight[rows[0]]
-        z += self.weight[rows[1]]
-        z += self.weight[rows[2]]
-        z += self.bias
-        z -= z.max(axis=1, keepdims=True)
-        np.exp(z, out=z)
-        z /= z.sum(axis=1, keepdims=True)
-        return z
+    def odds(self, rows: list[np.ndarray]) -> np.ndarray:
+        """Unnormalised class probabilities of tokens."""
+        z = self.weight.take(rows[0], axis=0)
+        z += self.weight.take(rows[1], axis=0)
+        z += self.weight.take(rows[2], axis=0)
+        return np.exp(z, out=z)
 
 
-def _expected(docs: DataFrame, model: Weights) -> np.ndarray:
-    """How often each class is expected after each context row under the model, over all texts."""
+def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
+    """Seen minus expected classes after each context row, over all texts of ``docs``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    spans = list(zip((_FIRST, _SECOND, _BOTH), ROWS))
 
     def run(batches):
-        total = np.zeros((sum(ROWS), CLASSES))
-
-        def add(h: np.ndarray, parts: list) -> None:
-            rows = [np.concatenate(r) for r in zip(*parts)]
-            for a in range(0, len(rows[0]), TOKENS):
-                here = [r[a : a + TOKENS] for r in rows]
-                p = shared.value.probabilities(here)
-                for r in here:
-                    order = np.argsort(r, kind="stable")
-                    r = r[order]
-                    first = np.flatnonzero(np.concatenate([[True], r[1:] != r[:-1]]))
-                    total[r[first]] += np.add.reduceat(p[order], first, axis=0)
+        total = np.zeros((CLASSES, sum(ROWS)))
+        block = np.empty((CLASSES, SUMMED))
+
+        def add(coded: list) -> None:
+            cls = np.concatenate([c for c, _ in coded])
+            rows = [np.concatenate(r) for r in zip(*(r for _, r in coded))]
+            for a in range(0, len(cls), SUMMED):
+                m = min(SUMMED, len(cls) - a)
+                for b in range(0, m, TOKENS):
+                    p = shared.value.odds([r[a + b : a + min(b + TOKENS, m)] for r in rows])
+                    p *= (-1 / p.sum(axis=1))[:, None]
+                    block[:, b : b + len(p)] = p.T
+                block[cls[a : a + m], np.arange(m)] += 1
+                for r, (first, n) in zip(rows, spans):
+                    at = r[a : a + m] - first
+                    for c in range(CLASSES):
+                        total[c, first : first + n] += np.bincount(at, block[c, :m], n)
 
         for whole in batches:
             for batch in slices(whole, "text"):
-                add(None, [features(HASHES.of(tokens(t)))[1] for t in batch["text"].to_pylist()])
-        yield _matrix_rows(total)
+                add([features(hashes(tokens(t))) for t in batch["text"].to_pylist()])
+        yield _matrix_rows(total.T)
 
     return _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"))
 
 
 def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STEPS) -> Weights:
-    """Weights after ``steps`` updates along the gradient of the likelihood of all texts: seen minus expected counts.
+    """Weights after one pass of ``steps`` updates along the gradient of the likelihood, each over its share of the texts.
 
-    They start from the smoothed log odds of each context, a third for each of the three features. A step is scaled for
-    each context by the curvature bound of its tokens.
+    They start from the smoothed log odds of each context over all texts, a third for each of the three features. A step
+    is scaled for each context by the curvature bound of its tokens.
     """
     n = seen.sum(axis=1, keepdims=True)
     weight = np.log((seen + PRIOR * share) / (n + PRIOR) / share) / len(ROWS)
-    model = Weights(share, weight)
-    for _ in range(steps if n.any() else 0):
-        weight = weight + RATE * (seen - _expected(docs, model)) / (0.5 * len(ROWS) * n + PRIOR)
-        model = Weights(share, weight)
-    return model
+    share_of = F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(steps, 1)))
+    for k in range(steps if n.any() else 0):
+        gradient = _gradient(docs.filter(share_of == k), Weights(share, weight))
+        weight = weight + RATE * gradient / (0.5 * len(ROWS) * n / steps + PRIOR)
+    return Weights(share, weight)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -177,7 +180,8 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
     The model: P(token) = P(class of the word | contexts) * P(word | class). The class of a word is its hash modulo
     ``CLASSES``; the class is predicted from hashed features (previous word, skip one, both) by a softmax whose weights
-    are fitted by full-gradient updates: each task sums expected counts over its texts, the sums have a fixed size. Within
+    are fitted by gradient updates, one pass over all training texts: each task sums seen minus expected classes over its
+    texts, the sums have a fixed size. Within
     a class words have add-one shares, with one place for unknown words. Word counts cover all training texts.
 
     Words with at least 1 / ``FREQUENT`` of all tokens, at most ``FREQUENT`` of them, are looked up in memory; all others
@@ -207,14 +211,14 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
             for batch in slices(whole, "text"):
                 cut = [tokens(t) for t in batch["text"].to_pylist()]
                 size = np.fromiter(map(len, cut), np.int64, len(cut))
-                coded = [features(HASHES.of(ws)) for ws in cut]
+                coded = [features(hashes(ws)) for ws in cut]
                 cls = np.concatenate([c for c, _ in coded])
                 rows = [np.concatenate(r) for r in zip(*(r for _, r in coded))]
                 logp = np.empty(len(cls))
                 for a in range(0, len(cls), TOKENS):
                     c = cls[a : a + TOKENS]
-                    p = weights.probabilities([r[a : a + TOKENS] for r in rows])
-                    logp[a : a + TOKENS] = np.log10(np.maximum(p[np.arange(len(c)), c], 1e-30)) - class_log[c]
+                    p = weights.odds([r[a : a + TOKENS] for r in rows])
+                    logp[a : a + TOKENS] = np.log10(p[np.arange(len(c)), c]) - np.log10(p.sum(axis=1, dtype=np.float64)) - class_log[c]
                 at = np.concatenate([[0], np.cumsum(size)[:-1]])
                 score = np.add.reduceat(logp, at)
                 common_log, known, rare, times = [], [], [], []
