@@ -13,20 +13,27 @@ from .common import crc_mod, stored, texts
 from .words import hashes, lists, mix, slices
 
 CLASSES = 64  # word classes, a power of two: a word's class is its hash modulo this
-ROWS = (1 << 12, 1 << 12, 1 << 13)  # hashed contexts of the features, powers of two: previous word, the word before it (skip), both
-STEPS = 2  # gradient updates of one pass over all training text, each over its own share of the documents
+ROWS = (1 << 12, 1 << 12, 1 << 13)  # least hashed contexts of the features, powers of two: previous word, the word before it (skip), both
+STEPS = 2  # gradient updates, each over all training text
 RATE = 2.0  # step length, as a part of the curvature bound
 PRIOR = 20.0  # tokens that a context's first estimate is smoothed by
 CHUNK = 4096  # cells that travel in one row
 FREQUENT = 100_000  # words with at least 1 / FREQUENT of all tokens are looked up in memory: there are at most so many
 FLUSH_WORDS = 500_000  # words that a task counts before it hands them on
+SCORED_BYTES = 2 << 20  # text whose words are held at once for scoring
 TOKENS = 4_096  # tokens scored at once
-SUMMED = 16 * TOKENS  # tokens whose expected counts are summed at once
+SUMMED = 16 * TOKENS  # different contexts whose expected counts are summed at once
+GATHERED = 1 << 18  # tokens whose equal contexts are brought together first
 STEEP = 25.0  # no weight is larger, so that exponentials of three of them stay finite
 END = b""  # no word is empty
 
-_FIRST, _SECOND, _BOTH = 0, ROWS[0], ROWS[0] + ROWS[1]
-CELLS = sum(ROWS) * CLASSES
+
+def sized(n_bytes: int) -> tuple[int, ...]:
+    """Contexts of the features for so much training text: distinct words grow about as the square root of it, and so do these."""
+    k = 0
+    while 16 * (ROWS[0] << k) ** 2 < n_bytes:
+        k += 1
+    return tuple(n << k for n in ROWS)
 
 
 def tokens(text: str) -> list[bytes]:
@@ -35,13 +42,13 @@ def tokens(text: str) -> list[bytes]:
     return found
 
 
-def features(h: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Class of each token, and the rows of its three context features."""
+def features(h: np.ndarray, sizes: tuple[int, ...] = ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Class of each token, and the rows of its three context features, which have ``sizes`` rows."""
     start = np.zeros(2, np.uint64)
     before = np.concatenate([start, h])[:-1]
     one, two = before[1:], before[:-1]
-    parts = ((one, _FIRST), (two, _SECOND), (mix(two, one), _BOTH))
-    rows = [((x >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64) + at for (x, at), n in zip(parts, ROWS)]
+    parts = ((one, 0), (two, sizes[0]), (mix(two, one), sizes[0] + sizes[1]))
+    rows = [((x >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64) + at for (x, at), n in zip(parts, sizes)]
     return (h & np.uint64(CLASSES - 1)).astype(np.int64), rows
 
 
@@ -53,8 +60,8 @@ def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
     )
 
 
-def _sum_chunks(rows: DataFrame) -> np.ndarray:
-    """Sum matrices that tasks made, chunk by chunk, in a stream: a task holds one sum per chunk. The sum has a fixed size."""
+def _sum_chunks(rows: DataFrame, sizes: tuple[int, ...]) -> np.ndarray:
+    """Sum matrices that tasks made, chunk by chunk, in a stream: a task holds one sum per chunk."""
 
     def run(batches):
         sums: dict[int, np.ndarray] = {}
@@ -63,13 +70,13 @@ def _sum_chunks(rows: DataFrame) -> np.ndarray:
                 sums[i] = sums.get(i, 0) + np.frombuffer(cells, "<f4").astype(np.float64)
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], ["chunk", "cells"])
 
-    total = np.zeros(CELLS)
+    total = np.zeros(sum(sizes) * CLASSES)
     for r in rows.repartition("chunk").mapInArrow(run, "chunk int, cells binary").toLocalIterator():
         total[r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] += np.frombuffer(r["cells"], np.float64)
     return total.reshape(-1, CLASSES)
 
 
-def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np.ndarray]:
     """Word counts (word, cls, n) of all texts, and how often each class follows each context row."""
 
     def word_rows(counts: Counter) -> pa.RecordBatch:
@@ -80,14 +87,14 @@ def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     def run(batches):
         counts: Counter = Counter()
-        seen = np.zeros(CELLS, np.int64)
+        seen = np.zeros(sum(sizes) * CLASSES, np.int64)
         for whole in batches:
             for batch in slices(whole, "text"):
                 cells = []
                 for text in batch["text"].to_pylist():
                     words = tokens(text)
                     counts.update(words)
-                    cls, rows = features(hashes(words))
+                    cls, rows = features(hashes(words), sizes)
                     cells += [r * CLASSES + cls for r in rows]
                 if cells:
                     at, n = np.unique(np.concatenate(cells), return_counts=True)
@@ -103,15 +110,16 @@ def count(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
     rows = stored(docs.select("text").mapInArrow(run, "word binary, cls int, n long, chunk int, cells binary"))
     words = stored(rows.filter("word is not null").groupBy("word", "cls").agg(F.sum("n").alias("n")))
-    return words, _sum_chunks(rows.filter("chunk is not null").select("chunk", "cells"))
+    return words, _sum_chunks(rows.filter("chunk is not null").select("chunk", "cells"), sizes)
 
 
 class Weights:
     """Class scores: the log share of each class, kept in the rows of the first feature, plus a weight row per context feature."""
 
-    def __init__(self, share: np.ndarray, weight: np.ndarray):
+    def __init__(self, share: np.ndarray, weight: np.ndarray, sizes: tuple[int, ...] = ROWS):
+        self.sizes = sizes
         self.weight = np.clip(weight, -STEEP, STEEP).astype(np.float32)
-        self.weight[: ROWS[0]] += np.log(share).astype(np.float32)
+        self.weight[: sizes[0]] += np.log(share).astype(np.float32)
 
     def odds(self, rows: list[np.ndarray]) -> np.ndarray:
         """Unnormalised class probabilities of tokens."""
@@ -122,50 +130,69 @@ class Weights:
 
 
 def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
-    """Seen minus expected classes after each context row, over all texts of ``docs``."""
+    """Seen minus expected classes after each context row, over all texts of ``docs``.
+
+    Tokens with the same three rows have the same expected classes, so each such group is worked out once.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    spans = list(zip((_FIRST, _SECOND, _BOTH), ROWS))
+    sizes = model.sizes
+    _, second, third = (n.bit_length() - 1 for n in sizes)
+    firsts = np.cumsum([0, *sizes[:-1]])
 
     def run(batches):
-        total = np.zeros((CLASSES, sum(ROWS)))
+        total = np.zeros((CLASSES, sum(sizes)))
         block = np.empty((CLASSES, SUMMED))
 
-        def add(coded: list) -> None:
-            cls = np.concatenate([c for c, _ in coded])
-            rows = [np.concatenate(r) for r in zip(*(r for _, r in coded))]
-            for a in range(0, len(cls), SUMMED):
-                m = min(SUMMED, len(cls) - a)
+        def add(codes: list) -> None:
+            alike, times = np.unique(np.concatenate(codes), return_counts=True)
+            rows = [(alike >> (second + third)) + firsts[0], (alike >> third & (sizes[1] - 1)) + firsts[1], (alike & (sizes[2] - 1)) + firsts[2]]
+            for a in range(0, len(alike), SUMMED):
+                m = min(SUMMED, len(alike) - a)
                 for b in range(0, m, TOKENS):
-                    p = shared.value.odds([r[a + b : a + min(b + TOKENS, m)] for r in rows])
-                    p *= (-1 / p.sum(axis=1))[:, None]
+                    part = slice(a + b, a + min(b + TOKENS, m))
+                    p = shared.value.odds([r[part] for r in rows])
+                    p *= (-times[part] / p.sum(axis=1))[:, None]
                     block[:, b : b + len(p)] = p.T
-                block[cls[a : a + m], np.arange(m)] += 1
-                for r, (first, n) in zip(rows, spans):
-                    at = r[a : a + m] - first
+                for r in rows:
+                    own, at = np.unique(r[a : a + m], return_inverse=True)
                     for c in range(CLASSES):
-                        total[c, first : first + n] += np.bincount(at, block[c, :m], n)
+                        total[c, own] += np.bincount(at, block[c, :m], len(own))
 
+        kept, n = [], 0
         for whole in batches:
             for batch in slices(whole, "text"):
-                add([features(hashes(tokens(t))) for t in batch["text"].to_pylist()])
-        yield _matrix_rows(total.T)
-
-    return _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"))
-
-
-def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STEPS) -> Weights:
-    """Weights after one pass of ``steps`` updates along the gradient of the likelihood, each over its share of the texts.
+                for text in batch["text"].to_pylist():
+                    cls, rows = features(hashes(tokens(text)), sizes)
+                    for r in rows:
+                        np.add.at(total.reshape(-1), cls * total.shape[1] + r, 1.0)
+                    one, two, both = (r - first for r, first in zip(rows, firsts))
+                    kept.append(((one << second) | two) << third | both)
+                    n += len(cls)
+                    if n >= GATHERED:
+                        add(kept)
+                        kept, n = [], 0
+        if kept:
+            add(kept)
+        for first in range(0, sum(sizes), ROWS[0]):
+            part = _matrix_rows(total[:, first : first + ROWS[0]].T)
+            at = pa.array(part["chunk"].to_numpy() + first * CLASSES // CHUNK, pa.int32())
+            yield pa.record_batch([at, part["cells"]], ["chunk", "cells"])
+
+    return _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"), sizes)
+
+
+def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STEPS, sizes: tuple[int, ...] = ROWS) -> Weights:
+    """Weights after ``steps`` updates along the gradient of the likelihood, each over all texts.
 
     They start from the smoothed log odds of each context over all texts, a third for each of the three features. A step
     is scaled for each context by the curvature bound of its tokens.
     """
     n = seen.sum(axis=1, keepdims=True)
     weight = np.log((seen + PRIOR * share) / (n + PRIOR) / share) / len(ROWS)
-    share_of = F.pmod(F.xxhash64("text", "doc_id"), F.lit(max(steps, 1)))
-    for k in range(steps if n.any() else 0):
-        gradient = _gradient(docs.filter(share_of == k), Weights(share, weight))
-        weight = weight + RATE * gradient / (0.5 * len(ROWS) * n / steps + PRIOR)
-    return Weights(share, weight)
+    for _ in range(steps if n.any() else 0):
+        gradient = _gradient(docs, Weights(share, weight, sizes))
+        weight = weight + RATE * gradient / (0.5 * len(ROWS) * n + PRIOR)
+    return Weights(share, weight, sizes)
 
 
 def held_out(id_col: str = "doc_id"):
@@ -180,9 +207,9 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
 
     The model: P(token) = P(class of the word | contexts) * P(word | class). The class of a word is its hash modulo
     ``CLASSES``; the class is predicted from hashed features (previous word, skip one, both) by a softmax whose weights
-    are fitted by gradient updates, one pass over all training texts: each task sums seen minus expected classes over its
-    texts, the sums have a fixed size. Within
-    a class words have add-one shares, with one place for unknown words. Word counts cover all training texts.
+    are fitted by gradient updates, each over all training texts: each task sums seen minus expected classes over its
+    texts. The contexts grow with the square root of the training text (``sized``). Within a class words have add-one
+    shares, with one place for unknown words. Word counts cover all training texts.
 
     Words with at least 1 / ``FREQUENT`` of all tokens, at most ``FREQUENT`` of them, are looked up in memory; all others
     meet the counts in a join, where no word is hot.
@@ -193,12 +220,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     """
     docs = texts(docs, id_col, text_col).withColumn("held_out", held_out())
     training = docs.filter("not held_out")
-    words, seen = count(training)
+    sizes = sized(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    words, seen = count(training, sizes)
     by_class = {r["cls"]: (r["n"], r["v"]) for r in words.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_class = np.array([by_class.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     v_class = np.array([by_class.get(k, (0, 0))[1] for k in range(CLASSES)], float)
     total, distinct = int(n_class.sum()), int(v_class.sum())
-    model = train(training, seen, (n_class + 1) / (total + CLASSES), steps)
+    model = train(training, seen, (n_class + 1) / (total + CLASSES), steps, sizes)
     spark = docs.sparkSession
     common = words.filter(F.col("n") * FREQUENT >= total).select("word", "n")
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in common.toLocalIterator()})
@@ -208,10 +236,10 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         weights, class_log = shared.value
         look_up = frequent.value.get
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", SCORED_BYTES):
                 cut = [tokens(t) for t in batch["text"].to_pylist()]
                 size = np.fromiter(map(len, cut), np.int64, len(cut))
-                coded = [features(hashes(ws)) for ws in cut]
+                coded = [features(hashes(ws), sizes) for ws in cut]
                 cls = np.concatenate([c for c, _ in coded])
                 rows = [np.concatenate(r) for r in zip(*(r for _, r in coded))]
                 logp = np.empty(len(cls))

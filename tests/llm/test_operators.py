@@ -358,6 +358,18 @@ def test_lm_gradient(docs_of, small):
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_lm_updates_read_all_texts(docs_of, small, monkeypatch):
+    """Each update is over all training texts, and the contexts grow with the text."""
+    read, whole = [], lm_score._gradient
+    monkeypatch.setattr(lm_score, "_gradient", lambda docs, model: read.append(docs.count()) or whole(docs, model))
+    lm_score.lm_score(docs_of(small))
+    assert read == [sum(brute.crc(d, 7) != 2 for d, _ in small)] * lm_score.STEPS
+    assert lm_score.sized(0) == lm_score.ROWS and [lm_score.sized(n)[0] for n in (10**8, 5 * 10**8, 3 * 10**10)] == [1 << 12, 1 << 13, 1 << 16]
+    monkeypatch.setattr(lm_score, "sized", lambda n: tuple(2 * r for r in lm_score.ROWS))
+    got = answer(lm_score.lm_score(docs_of(small)), "score")
+    assert all(s <= 0 for (s,) in got.values()) and len(got) == len(small)
+
+
 def test_empty_tables(spark, docs_of):
     docs = docs_of([])
     bench = spark.createDataFrame([], "item_id bigint, text string")
