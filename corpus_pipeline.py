@@ -19,9 +19,15 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def detect_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose text has a language: one that any learned language parses; no letters, no language."""
+    """Documents whose text has a language: one that any learned language parses; no letters, no language.
+
+    All documents stay where no language was learned.
+    """
+    sample = language_id.learned(docs)
+    if not sample:
+        return docs
     names = fresh(docs, "lang_pred"), fresh(docs, "lang_score")
-    found = language_id.language_id(docs, language_id.learned(docs), pred_col=names[0], score_col=names[1])
+    found = language_id.language_id(docs, sample, pred_col=names[0], score_col=names[1])
     return found.filter(F.col(names[0]) != language_id.UNKNOWN).select(*docs.columns)
 
 

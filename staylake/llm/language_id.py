@@ -12,9 +12,7 @@ from .common import crc_mod
 from .words import slices
 
 SAMPLE_CHARS = 40_000  # labelled text per language, at most this much
-SAMPLE_DOCS = 200  # and at most so many documents of it
-SAMPLE_LENGTHS = (40, 4_000)  # of documents this long, whole
-MAX_LANGUAGES = 64  # the sample is bounded by this; more labels are an error, not dropped
+STRETCH = 4_000  # characters that a longer text gives, from a place drawn by a hash; shorter texts are taken whole
 SEGMENT = 256  # characters after which parsing restarts, so that many stretches are parsed side by side
 LETTERS = 62  # letters with a code of their own; all others share one
 UNKNOWN = "und"
@@ -22,21 +20,48 @@ UNKNOWN = "und"
 _MODELS: dict = {}
 
 
+def _first(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
+    """The first different texts by hash that hold ``SAMPLE_CHARS`` characters, or all; no part of the rows loses a row of the whole's."""
+    found, chars = {}, 0
+    for h, text in sorted(rows):
+        if chars >= SAMPLE_CHARS:
+            break
+        if text not in found:
+            found[text] = h
+            chars += len(text)
+    return [(h, text) for text, h in found.items()]
+
+
+def _drawn(batches):
+    kept: dict[str, list] = {}
+    chars: Counter = Counter()
+    for batch in batches:
+        for lang, h, text in zip(*(batch[c].to_pylist() for c in ("lang", "h", "text"))):
+            kept.setdefault(lang, []).append((h, text))
+            chars[lang] += len(text)
+            if chars[lang] > 4 * SAMPLE_CHARS:
+                kept[lang] = _first(kept[lang])
+                chars[lang] = sum(len(t) for _, t in kept[lang])
+    for lang, rows in kept.items():
+        rows = _first(rows)
+        yield pa.record_batch([pa.array([lang] * len(rows)), pa.array([h for h, _ in rows], pa.int64()), pa.array([t for _, t in rows], pa.string())], ["lang", "h", "text"])
+
+
 def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """A bounded sample of labelled texts per language, drawn by a hash of the id; rows without text or label have no part."""
-    known = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(
-        F.col("lang").isNotNull() & F.length("text").between(*SAMPLE_LENGTHS)
-    )
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
-    rows = known.withColumn("_n", F.row_number().over(order)).filter(F.col("_n") <= SAMPLE_DOCS).orderBy("lang", "_n")
-    found: dict[str, list[str]] = {}
-    for r in rows.select("lang", "text").toLocalIterator():
-        have = found.setdefault(r["lang"], [])
-        if sum(map(len, have)) + len(r["text"]) <= SAMPLE_CHARS:
-            have.append(r["text"])
-        if len(found) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} labels")
-    return {lang: " ".join(dict.fromkeys(parts)) for lang, parts in found.items() if parts}
+    """``SAMPLE_CHARS`` characters of labelled texts per language, or all if there are fewer, drawn by a hash of the id.
+
+    Every label with a text has a sample, whatever the length of its texts and the number of labels. Rows without text or
+    label have no part.
+    """
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).filter(F.col("lang").isNotNull() & (F.length("text") > 0))
+    h = F.xxhash64("doc_id")
+    start = (F.pmod(h, F.greatest(F.length("text") - STRETCH, F.lit(0)) + 1) + 1).cast("int")
+    known = rows.select(F.col("lang").cast("string").alias("lang"), h.alias("h"), F.col("text").substr(start, F.lit(STRETCH)).alias("text"))
+    schema = "lang string, h long, text string"
+    found: dict[str, list] = {}
+    for r in known.mapInArrow(_drawn, schema).repartition("lang").mapInArrow(_drawn, schema).toLocalIterator():
+        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
+    return {lang: " ".join(t for _, t in _first(found[lang]))[:SAMPLE_CHARS] for lang in sorted(found)}
 
 
 def transitions(codes: np.ndarray, letters: int) -> np.ndarray:
@@ -92,7 +117,7 @@ class Model:
             table = transitions(codes, self.letters)
             self.tables.append(table.ravel())
             self.starts.append(table[1].copy())  # 0 for a letter that the sample lacks: it is a phrase of its own
-            self.bits.append(np.log2(max(len(codes), 2)))
+            self.bits.append(np.log2(len(codes) + self.letters))  # a place in the sample, or a letter that it lacks: short samples name few places
 
     def codes(self, text: str) -> np.ndarray:
         found = self.code[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]

@@ -276,6 +276,23 @@ def test_language_id(spark, docs_of, small, odd):
     assert nothing == {} and {r["lang_pred"] for r in language_id.language_id(docs, {}).collect()} == {"und"}
 
 
+def test_language_sample_of_all_lengths(spark):
+    """Labels with long texts only, with short texts only, and many labels all have a sample; a tiny one wins nothing."""
+    rng = np.random.default_rng(3)
+
+    def prose(letters, n):
+        words = ["".join(rng.choice(list(letters), 4)) for _ in range(40)]
+        return lambda: " ".join(rng.choice(words, n))
+
+    long, short = prose("abcdefgh", 3_000), prose("fghijklm", 4)
+    rows = [(d, long(), "long") for d in range(9)] + [(d + 100, short(), "short") for d in range(300)] + [(d + 1_000, "ok", f"x{d}") for d in range(80)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    sample = language_id.labelled_sample(docs)
+    assert len(sample) == 82 and len(sample["long"]) == min(language_id.SAMPLE_CHARS, 9 * language_id.STRETCH + 8) and len(sample["short"]) > 5_000
+    model = language_id.Model(sample)
+    assert model.predict([long(), *(short() for _ in range(20))])[0] == ["long"] + ["short"] * 20
+
+
 def test_suffix_automaton():
     """Exactly the substrings of the sample can be read, and phrases are the longest matches."""
     rng = np.random.default_rng(4)

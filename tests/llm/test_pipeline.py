@@ -77,3 +77,8 @@ def test_empty_documents(spark, odd_docs):
     for name, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
         assert docs.count() == 0, name
+
+
+def test_nothing_learned_keeps_all(spark):
+    docs = spark.createDataFrame([(1, "some text", None), (2, "more text", None)], "doc_id bigint, text string, lang string")
+    assert corpus_pipeline.detect_language(spark, docs, SF).count() == 2
