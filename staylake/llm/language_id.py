@@ -14,7 +14,7 @@ from .words import slices
 SAMPLE_CHARS = 40_000  # labelled text per language, at most this much
 STRETCH = 4_000  # characters that a longer text gives, from a place drawn by a hash; shorter texts are taken whole
 SEGMENT = 256  # characters after which parsing restarts, so that many stretches are parsed side by side
-LETTERS = 62  # letters with a code of their own; all others share one
+DENSE = 1 << 23  # cells of a full transition table, states by letters; automata over more letters are kept as sorted edges
 UNKNOWN = "und"
 
 _MODELS: dict = {}
@@ -64,8 +64,8 @@ def labelled_sample(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return {lang: " ".join(t for _, t in _first(found[lang]))[:SAMPLE_CHARS] for lang in sorted(found)}
 
 
-def transitions(codes: np.ndarray, letters: int) -> np.ndarray:
-    """Transition table of the suffix automaton of ``codes``: state 1 is the start, 0 stands for no transition."""
+def automaton(codes: np.ndarray) -> list[dict[int, int]]:
+    """Edges of each state of the suffix automaton of ``codes``: state 1 is the start, 0 is none."""
     nexts: list[dict[int, int]] = [{}, {}]
     link, length, last = [0, 0], [0, 0], 1
     for c in codes.tolist():
@@ -93,6 +93,15 @@ def transitions(codes: np.ndarray, letters: int) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
+    return nexts
+
+
+def transitions(codes: np.ndarray, letters: int) -> np.ndarray:
+    """Transition table of the suffix automaton of ``codes``: state 1 is the start, 0 stands for no transition."""
+    return _table(automaton(codes), letters)
+
+
+def _table(nexts: list[dict[int, int]], letters: int) -> np.ndarray:
     table = np.zeros((len(nexts), letters), np.int32)
     for state, edges in enumerate(nexts):
         for c, to in edges.items():
@@ -100,23 +109,50 @@ def transitions(codes: np.ndarray, letters: int) -> np.ndarray:
     return table
 
 
+class Steps:
+    """Transitions of the automaton of one sample; its letters are numbered on their own, all that it lacks share a number."""
+
+    def __init__(self, codes: np.ndarray, letters: int):
+        own = np.unique(codes)
+        self.own = np.full(letters, len(own), np.int32)
+        self.own[own] = np.arange(len(own))
+        self.letters = len(own) + 1
+        nexts = automaton(self.own[codes])
+        self.start = np.zeros(self.letters, np.int32)  # 0 for a letter that the sample lacks: it is a phrase of its own
+        for c, to in nexts[1].items():
+            self.start[c] = to
+        self.table = self.keys = None
+        if len(nexts) * self.letters <= DENSE:
+            self.table = _table(nexts, self.letters).ravel()
+        else:
+            keys = np.array([s * self.letters + c for s, edges in enumerate(nexts) for c in edges], np.int64)
+            order = np.argsort(keys)
+            self.keys = keys[order]
+            self.to = np.array([to for edges in nexts for to in edges.values()], np.int32)[order]
+
+    def next(self, state: np.ndarray, c: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table.take(state * self.letters + c)
+        key = state.astype(np.int64) * self.letters + c
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.to[at], 0)
+
+
 class Model:
-    """Automata of all languages over one alphabet; code 0 is any run of characters that are no letters."""
+    """Automata of all languages. Code 0 is any run of characters that are no letters; letters of no sample share the last code."""
 
     def __init__(self, sample: dict[str, str]):
         self.langs = sorted(sample)
-        seen = Counter(c for t in sample.values() for c in t.lower() if c.isalpha())
-        own = [c for c, _ in sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:LETTERS]]
-        self.code = np.fromiter((len(own) + 1 if chr(i).isalpha() else 0 for i in range(0x110000)), np.uint8, 0x110000)
-        for i, c in enumerate(own):
+        seen = sorted({c for t in sample.values() for c in t.lower() if c.isalpha()})
+        self.letters = len(seen) + 2
+        kind = np.uint8 if self.letters <= 256 else np.int32
+        self.code = np.fromiter((len(seen) + 1 if chr(i).isalpha() else 0 for i in range(0x110000)), kind, 0x110000)
+        for i, c in enumerate(seen):
             self.code[ord(c)] = i + 1
-        self.letters = len(own) + 2
-        self.tables, self.starts, self.bits = [], [], []
+        self.steps, self.bits = [], []
         for lang in self.langs:
             codes = self.codes(sample[lang])
-            table = transitions(codes, self.letters)
-            self.tables.append(table.ravel())
-            self.starts.append(table[1].copy())  # 0 for a letter that the sample lacks: it is a phrase of its own
+            self.steps.append(Steps(codes, self.letters))
             self.bits.append(np.log2(len(codes) + self.letters))  # a place in the sample, or a letter that it lacks: short samples name few places
 
     def codes(self, text: str) -> np.ndarray:
@@ -128,7 +164,7 @@ class Model:
         n = np.fromiter(map(len, coded), np.int64, len(coded))
         pieces = -(-n // SEGMENT)
         owner = np.repeat(np.arange(len(coded)), pieces)
-        grid = np.zeros((int(pieces.sum()), SEGMENT), np.uint8)
+        grid = np.zeros((int(pieces.sum()), SEGMENT), self.code.dtype)
         row = 0
         for c, k in zip(coded, pieces):
             grid[row : row + k].ravel()[: len(c)] = c
@@ -139,19 +175,19 @@ class Model:
         columns = np.ascontiguousarray(grid[order].T).astype(np.int32)
         active = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
         out = np.zeros((len(coded), len(self.langs)))
-        for k, (table, start, bits) in enumerate(zip(self.tables, self.starts, self.bits)):
+        for k, (steps, bits) in enumerate(zip(self.steps, self.bits)):
             state = np.ones(len(order), np.int32)
             phrases = np.ones(len(order), np.int32)
             for t in range(SEGMENT):
                 m = active[t]
                 if not m:
                     break
-                c, s = columns[t, :m], state[:m]
-                to = table.take(s * self.letters + c)
+                c = steps.own[columns[t, :m]]
+                to = steps.next(state[:m], c)
                 ended = to == 0
                 if t:
                     phrases[:m] += ended
-                state[:m] = np.where(ended, start[c], to)
+                state[:m] = np.where(ended, steps.start[c], to)
             total = np.bincount(owner[order], phrases, len(coded))
             out[:, k] = total * bits / np.maximum(n, 1)
         return out

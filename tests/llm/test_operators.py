@@ -293,6 +293,25 @@ def test_language_sample_of_all_lengths(spark):
     assert model.predict([long(), *(short() for _ in range(20))])[0] == ["long"] + ["short"] * 20
 
 
+def test_language_of_many_scripts(monkeypatch):
+    """Scripts of many letters keep their letters: languages of the rarest ones are told apart, by tables and by sorted edges."""
+    rng = np.random.default_rng(6)
+    scripts = {"latin": range(97, 123), "greek": range(0x3B1, 0x3C9), "cyrillic": range(0x430, 0x450), "han a": range(0x4E00, 0x4F00), "han b": range(0x4E80, 0x4F80), "hangul": range(0xAC00, 0xAD00)}
+
+    def prose(letters):
+        words = ["".join(map(chr, rng.choice(list(letters), 3))) for _ in range(200)]
+        return lambda n: " ".join(rng.choice(words, n))
+
+    write = {lang: prose(letters) for lang, letters in scripts.items()}
+    sample = {lang: w(3_000 if lang == "latin" else 800) for lang, w in write.items()}
+    texts, want = zip(*((w(30), lang) for lang, w in write.items() for _ in range(5)))
+    langs, score = language_id.Model(sample).predict(list(texts))
+    assert langs == list(want)
+    monkeypatch.setattr(language_id, "DENSE", 0)
+    again = language_id.Model(sample).predict(list(texts))
+    assert again[0] == langs and (again[1] == score).all()
+
+
 def test_suffix_automaton():
     """Exactly the substrings of the sample can be read, and phrases are the longest matches."""
     rng = np.random.default_rng(4)
