@@ -19,7 +19,8 @@ TOKENIZER = "word_bpe_49k.json"
 KNOWN_WORDS = 500_000  # words whose ids a worker remembers; beyond that it starts anew
 MARKS = ".,;:!?*$%&#|"  # marks that never join a letter before them, nor a contraction
 RANK_ROWS = 20_000  # mean number of rows that one ranking task group holds
-SEARCH_NODES = 200  # nodes of one branch-and-bound search; its best filling so far is kept
+SEARCH_NODES = 200  # nodes of the search for one greedy filling; its best filling so far is kept
+PLAN_NODES = 20_000  # nodes of the search for a whole plan, those of its fillings included; the best plan so far is kept
 
 LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
 # Byte-level vocabularies write a byte as the character of that number if it can be seen, else as one from 256 on, in order.
@@ -186,12 +187,96 @@ def completion(left: np.ndarray, room: int) -> list[int]:
 def plan(counts: dict[int, int], capacity: int = MAX_TOKENS) -> list[tuple[list[int], int]]:
     """Fillings of one sequence and how many sequences are filled alike, for pieces counted by length.
 
-    Best-fit decreasing gives the incumbent; bin completion replaces it where it needs fewer sequences.
+    Best-fit decreasing gives the incumbent; where it may need more sequences than necessary, greedy completion and then
+    bin completion by branch and bound replace it if they need fewer.
     """
     incumbent = _fill(counts, capacity, best_fit)
     if sum(t for _, t in incumbent) * capacity - sum(s * n for s, n in counts.items()) < capacity:
         return incumbent  # no plan has fewer sequences
-    return min(incumbent, _fill(counts, capacity, completion), key=lambda p: sum(t for _, t in p))
+    best = min(incumbent, _fill(counts, capacity, completion), key=lambda p: sum(t for _, t in p))
+    nodes = iter(range(PLAN_NODES))
+    while (slack := (sum(t for _, t in best) - 1) * capacity - sum(s * n for s, n in counts.items())) >= 0:
+        found = _within(counts, capacity, slack, nodes)
+        if found is None:
+            break
+        best = found
+    return best
+
+
+def _fillings(left: np.ndarray, room: int, slack: int, nodes):
+    """Fillings of ``room`` from ``left``, larger pieces first, that waste at most ``slack`` and are not dominated.
+
+    A filling is dominated if another piece fits beside it, or fits in place of a smaller one or of two that are together
+    no larger than it. ``left`` is used up and given back meanwhile.
+    """
+    chosen: list[int] = []
+
+    def dominated(rest: int) -> bool:
+        if left[1 : rest + 1].any():
+            return True
+        pieces = sorted(set(chosen))
+        pairs = {x + y for i, x in enumerate(pieces) for y in pieces[i + (chosen.count(x) < 2) :]}
+        return any(left[x + 1 : x + rest + 1].any() for x in pieces) or any(left[x : x + rest + 1].any() for x in pairs)
+
+    def go(rest: int, top: int):
+        if next(nodes, None) is None:
+            return
+        sizes = np.flatnonzero(left[1 : min(top, rest) + 1]) + 1
+        reach = np.cumsum(left[sizes] * sizes)
+        for s, most in zip(sizes[::-1].tolist(), reach[::-1].tolist()):
+            if rest - most > slack:
+                return
+            for k in range(min(int(left[s]), rest // s), 0, -1):
+                left[s] -= k
+                chosen.extend([s] * k)
+                yield from go(rest - k * s, s - 1)
+                del chosen[-k:]
+                left[s] += k
+        if rest <= slack and not dominated(rest):
+            yield list(chosen)
+
+    return go(room, room)
+
+
+def _within(counts: dict[int, int], capacity: int, slack: int, nodes) -> list[tuple[list[int], int]] | None:
+    """A plan that wastes at most ``slack``, or None if there is none or the nodes end before one is found.
+
+    Depth-first over the fillings around the largest piece left; each is tried as often as the counts and the slack allow,
+    then once, so that every sequence may have a filling of its own.
+    """
+    left = np.zeros(capacity + 1, np.int64)
+    for size, n in counts.items():
+        left[size] = n
+
+    def choices(slack: int):
+        top = int(np.flatnonzero(left)[-1])
+        rest = left[: capacity - top + 1].copy()
+        rest[top:][:1] -= 1
+        for others in _fillings(rest, capacity - top, slack, nodes):
+            filling = [top, *others]
+            waste = capacity - sum(filling)
+            times = min(int(left[s]) // k for s, k in Counter(filling).items())
+            times = min(times, slack // waste) if waste else times
+            for t in dict.fromkeys((times, 1)):
+                yield filling, t, waste * t
+
+    found: list[tuple[list[int], int]] = []
+    levels = [(choices(slack), slack)]
+    while levels:
+        options, slack = levels[-1]
+        if (choice := next(options, None)) is None:
+            levels.pop()
+            if found:
+                filling, t = found.pop()
+                np.add.at(left, filling, t)
+            continue
+        filling, t, waste = choice
+        np.subtract.at(left, filling, t)
+        found.append((filling, t))
+        if not left.any():
+            return found
+        levels.append((choices(slack - waste), slack - waste))
+    return None
 
 
 def _fill(counts: dict[int, int], capacity: int, complete) -> list[tuple[list[int], int]]:

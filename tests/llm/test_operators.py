@@ -276,6 +276,41 @@ def test_language_id(spark, docs_of, small, odd):
     assert nothing == {} and {r["lang_pred"] for r in language_id.language_id(docs, {}).collect()} == {"und"}
 
 
+def test_packing_searches_plans():
+    """Plans that no greedy pass finds: the search goes back over sequences."""
+    pieces = [40, 39, 37, 36, 35, 33, 31, 25, 24]
+    plan = packing.plan(dict.fromkeys(pieces, 1), 100)
+    assert sum(t for _, t in plan) == 3 and sorted(s for f, t in plan for s in f * t) == sorted(pieces)
+    rng = np.random.default_rng(5)
+
+    def fewest(left):
+        """Sequences needed, by trying every place of every piece."""
+        best = len(left)
+
+        def put(i, rooms):
+            nonlocal best
+            if len(rooms) >= best:
+                return
+            if i == len(left):
+                best = len(rooms)
+                return
+            for r in set(rooms):
+                if r >= left[i]:
+                    rest = list(rooms)
+                    rest.remove(r)
+                    put(i + 1, [*rest, r - left[i]])
+            put(i + 1, [*rooms, 30 - left[i]])
+
+        put(0, [])
+        return best
+
+    for _ in range(60):
+        pieces = sorted(rng.integers(3, 20, 9).tolist(), reverse=True)
+        plan = packing.plan({s: pieces.count(s) for s in pieces}, 30)
+        assert sum(t for _, t in plan) == fewest(pieces) and sorted((s for f, t in plan for s in f * t), reverse=True) == pieces
+        assert all(sum(f) <= 30 for f, _ in plan)
+
+
 def test_language_sample_of_all_lengths(spark):
     """Labels with long texts only, with short texts only, and many labels all have a sample; a tiny one wins nothing."""
     rng = np.random.default_rng(3)
