@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, pii, substring_dedup
-from .common import table
+from . import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, merkle, near_dedup, packing, periodic, pii, sharding, substring_dedup
+from .common import ascii_lower, table
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,25 @@ def op10_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.lm_score(table(spark, sf_dir, "documents"))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.interleave(table(spark, sf_dir, "documents"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.find_runs(table(spark, sf_dir, "documents"), source=periodic.planted))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars"]
+    given = F.when(merkle.tampered(), merkle.leaf_hash(*map(F.col, columns), ascii_lower(F.col("text"))))
+    manifest = merkle.build(table(spark, sf_dir, "documents"), [*columns, "text"], "lang", "doc_id", carry={"given": given})
+    given, path = F.coalesce("given", "leaf"), F.col("path")
+    return merkle.proofs(manifest).withColumn("folded_root", merkle.fold(given, path)).select(
+        F.col("key").alias("doc_id"), "leaf", "subroot", "root", merkle.proof_hash(path).alias("proof_sha256"), "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_license_scan": op1_license_scan,
     "op2_substring_dedup": op2_substring_dedup,
@@ -74,4 +93,7 @@ QUERIES = {
     "op8_pii": op8_pii,
     "op9_language_id": op9_language_id,
     "op10_lm_score": op10_lm_score,
+    "op11_sharding": op11_sharding,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }

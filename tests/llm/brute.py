@@ -118,3 +118,101 @@ def lines(rows: list[tuple], size: int = 3) -> dict:
                 gone[d].update(range(i, i + size))
             seen.add(key)
     return {d: (len(x), len(gone[d]), hashlib.sha256("\n".join(s for i, s in enumerate(x) if i not in gone[d]).encode()).hexdigest()) for d, x in cut.items()}
+
+
+def spread(rows: list[tuple], shards: int, seed: str) -> list[tuple]:
+    """(doc_id, source, size, crc, shard, slot) of (doc_id, source, text) rows."""
+    unit = lambda *w: int(hashlib.md5(":".join(w).encode()).hexdigest()[:13], 16)
+    groups = defaultdict(list)
+    for d, s, t in rows:
+        tie = hashlib.md5((t or "").encode()).hexdigest()
+        groups[s].append(((unit(seed, "-" if d is None else str(d)), d is not None, d or 0, tie), d, t or ""))
+    order = []
+    for s, g in groups.items():
+        u = unit(seed, "source", "-" if s is None else "=" + s) / (1 << 52)
+        for rank, (_, d, t) in enumerate(sorted(g, key=lambda x: x[0]), 1):
+            order.append((((rank - u) / len(g), s is not None, s or "", rank), d, s, t))
+    order.sort(key=lambda x: x[0])
+    n, out, used = len(order), [], Counter()
+    for at, (_, d, s, t) in enumerate(order):
+        shard = at * shards // n
+        out.append((d, s, len(t.encode()) + 16, zlib.crc32(t.encode()), shard, used[shard]))
+        used[shard] += 1
+    return out
+
+
+def periodic(w: list, least: int = 6, power: int = 4) -> list[tuple]:
+    """(start, length, period) of every run."""
+    found: dict = {}
+    for q in range(1, len(w) // power + 1):
+        i = 0
+        while i + q < len(w):
+            s = i
+            while i + q < len(w) and w[i] == w[i + q]:
+                i += 1
+            if i + q - s >= max(least, power * q):
+                found.setdefault((s, i + q - s), q)
+            i += 1
+    return sorted((s, n, q) for (s, n), q in found.items())
+
+
+def moved(doc_id: int | None, w: list) -> list:
+    h = zlib.crc32(str(doc_id).encode())
+    if doc_id is None or h % 10 or not w:
+        return w
+    g, n = h // 10, len(w)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(n)]
+
+
+def collapsed(w: list, found: list[tuple]) -> str:
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def sha(*parts: str) -> str:
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf(values: list) -> str:
+    return sha(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def tree(nodes: list[str]) -> list[list[str]]:
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        low = levels[-1]
+        levels.append([sha(*low[i : i + 8]) for i in range(0, len(low), 8)])
+    return levels
+
+
+def siblings(levels: list[list[str]], i: int) -> list[tuple[str, str]]:
+    out = []
+    for low in levels[:-1]:
+        first = i // 8 * 8
+        out.append(("".join(low[first:i]), "".join(low[i + 1 : first + 8])))
+        i //= 8
+    return out
+
+
+def manifest(rows: list[tuple]) -> list[tuple]:
+    """(doc_id, leaf, subroot, root, proof, folded root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r[2]].append(((r[0] is not None, r[0] or 0, leaf(r)), r))
+    names = sorted(groups, key=lambda k: (k is not None, (k or "").encode()))
+    ordered = {k: sorted(groups[k], key=lambda x: x[0]) for k in names}
+    trees = {k: tree([key[2] for key, _ in ordered[k]]) for k in names}
+    over = tree([trees[k][-1][0] for k in names])
+    out = []
+    for at, k in enumerate(names):
+        for i, (key, r) in enumerate(ordered[k]):
+            path = siblings(trees[k], i) + siblings(over, at)
+            changed = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 3 == 0 and r[4] is not None
+            node = leaf([*r[:4], lower(r[4])]) if changed else key[2]
+            for before, after in path:
+                node = sha(before, node, after)
+            root = over[-1][0]
+            out.append((r[0], key[2], trees[k][-1][0], root, sha(*(x for s in path for x in s)), node, node == root))
+    return out
