@@ -6,9 +6,10 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.calc import OPEN_STATES, as_date, live, money, timestamp, touched_days
+from ..functions.calc import OPEN_STATES, as_date, live, money, timestamp
 from ..functions.windows import running
 from ..sources.schemas import ROOM_STATES
+from .gaps import fitting_gaps
 
 
 def _rooms_with_type(t: Mapping) -> DataFrame:
@@ -100,41 +101,23 @@ def rooms_by_status(t: Mapping) -> DataFrame:
     )
 
 
-def blocked_rooms(t: Mapping, req: DataFrame) -> DataFrame:
-    """(request_id, room_id) pairs where a live assignment overlaps the request.
+def free_rooms(t: Mapping, req: DataFrame) -> DataFrame:
+    """All rooms that could take each request (request_id, hotel_id, room_type_id, check_in, check_out).
 
-    Both sides are spread over calendar days and meet on (room type, day); a pair is
-    kept only on the first day both reach, so it appears once and stays sort-merge
-    friendly however many stays a room has.
+    Only free rooms are listed: each request meets the gaps of its type and check-in day as arrays, not every room of the type.
     """
-    rooms = t["rooms"].select(F.col("id").alias("room_id"), F.col("hotel_id").alias("room_hotel"), "room_type_id")
-    # stays outside the requests' whole time span are dropped before they are spread
-    near = (F.col("check_out") > req.agg(F.min("check_in")).scalar()) & (F.col("check_in") < req.agg(F.max("check_out")).scalar())
-    taken = (
-        t["room_assignments"].filter(live() & near).select("room_id", F.col("check_in").alias("a_in"), F.col("check_out").alias("a_out"))
-        .join(rooms, "room_id")
-        .withColumn("day", F.explode(touched_days("a_in", "a_out")))
-    )
-    asked = req.select("request_id", "hotel_id", "room_type_id", "check_in", "check_out").withColumn("day", F.explode(touched_days()))
-    met = taken.join(asked, ["room_type_id", "day"]).filter(
-        (F.col("room_hotel") == F.col("hotel_id"))
-        & (F.col("a_in") < F.col("check_out")) & (F.col("check_in") < F.col("a_out"))
-        & (F.col("day") == F.greatest(F.to_date("a_in"), F.to_date("check_in")))
-    )
-    return met.select("request_id", "room_type_id", "room_id").distinct()
-
-
-def free_rooms(t: Mapping, req: DataFrame) -> DataFrame:
-    """All rooms that could take each request (request_id, hotel_id, room_type_id, check_in, check_out)."""
-    rooms = t["rooms"].select(F.col("id").alias("room_id"), "hotel_id", "room_type_id", "room_number")
-    pairs = req.select("request_id", "hotel_id", "room_type_id").join(rooms, ["hotel_id", "room_type_id"])
-    free = pairs.join(blocked_rooms(t, req), ["request_id", "room_type_id", "room_id"], "left_anti")
-    return free.select("request_id", "room_type_id", "room_id", "room_number")
+    found = fitting_gaps(t, req).select("request_id", "room_type_id", F.explode("gaps").alias("g"))
+    # a stay without length can touch two gaps of a room
+    return found.select("request_id", "room_type_id", "g.room_id", "g.room_number").distinct()
 
 
 def first_free_room(t: Mapping, req: DataFrame) -> DataFrame:
-    """The free room with the lowest number as text per request; requests without one are left out."""
-    best = free_rooms(t, req).groupBy("request_id", "room_type_id").agg(F.min(F.struct("room_number", "room_id")).alias("best"))
+    """The free room with the lowest number as text per request; requests without one are left out.
+
+    A request meets one index row per block of rooms, and the first gap that holds its stay is the answer there.
+    """
+    first = fitting_gaps(t, req).withColumn("best", F.try_element_at("gaps", F.lit(1))).filter("best IS NOT NULL")
+    best = first.groupBy("request_id", "room_type_id").agg(F.min(F.struct("best.room_number", "best.room_id")).alias("best"))
     return best.select("request_id", "room_type_id", "best.room_id", "best.room_number")
 
 
