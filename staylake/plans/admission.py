@@ -93,15 +93,8 @@ def admit_nights(lines: DataFrame, inventory: DataFrame, group_rows: int = GROUP
         **_span(**{c: F.col(c) for c in ("seq", "ask_id", "room_type_id", "quantity")}),
     )
 
-    def state(decided: DataFrame | None) -> DataFrame:
-        cells = tight
-        if decided is not None:
-            won = decided.filter(F.col("code") == ALWAYS_OK).select("ask_id")
-            used = wanted.join(won, "ask_id", "left_semi").groupBy("room_type_id", "date").agg(F.sum("quantity").alias("used"))
-            cells = tight.join(used, ["room_type_id", "date"], "left").withColumn("free", F.expr("free - COALESCE(used, 0)"))
-        cells = cells.withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
-        return as_rows(cells, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
-
+    cells = tight.withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
+    state = as_rows(cells, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
     decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), AdmitNights, group_rows)
     late = decided.select("ask_id", F.nullif("code", F.lit(ALWAYS_OK)).alias("late_code"))
     failed = never.withColumnRenamed("fixed_code", "code").unionByName(late.filter("late_code IS NOT NULL").withColumnRenamed("late_code", "code"))
@@ -192,28 +185,13 @@ def decide_rooms(t: Mapping, lines: DataFrame, cells: DataFrame | None, group_ro
     )
     run_heads = run_days.select(*group).distinct()
 
-    def state(decided: DataFrame | None) -> DataFrame:
-        spans = _with_room(t, stored).select("hotel_id", "room_id", "check_in", "check_out")
-        used = None
-        if decided is not None:
-            stays = lines.select("ask_id", "hotel_id", "check_in", "check_out").distinct()
-            placed = decided.filter(F.col("room_id").isNotNull()).select("ask_id", "room_id")
-            spans = spans.unionByName(placed.join(stays, "ask_id").select("hotel_id", "room_id", "check_in", "check_out"))
-            won = decided.filter(F.col("code") == ALWAYS_OK).select("ask_id")
-            used = night_demand(lines).join(won, "ask_id", "left_semi").groupBy("room_type_id", "date").agg(F.sum("quantity").alias("used"))
-        rows = _room_rows(t, run_heads, group).unionByName(_busy_rows(spans, run_days, group))
-        if cells is None:
-            return rows
+    spans = _with_room(t, stored).select("hotel_id", "room_id", "check_in", "check_out")
+    state = _room_rows(t, run_heads, group).unionByName(_busy_rows(spans, run_days, group))
+    if cells is not None:
         # every asked night is listed, so one without inventory is seen as such
         asked = night_demand(lines).select("hotel_id", "room_type_id", "date").distinct()
-        free = with_free(asked, cells).withColumn("free", F.coalesce("free", F.lit(-1)))
-        if used is not None:
-            free = free.join(used, ["room_type_id", "date"], "left").withColumn("free", F.expr("free - COALESCE(used, 0)"))
-        free = free.withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
-        return rows.unionByName(
-            as_rows(free, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free"))
-        )
-
+        free = with_free(asked, cells).withColumn("free", F.coalesce("free", F.lit(-1))).withColumnRenamed("date", "day").join(run_days, ["hotel_id", "day"])
+        state = state.unionByName(as_rows(free, CELL, group, room_type_id=F.col("room_type_id"), first_day=day_number("day"), free=F.col("free")))
     return decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), Admit, group_rows)
 
 
@@ -276,20 +254,11 @@ def defragment_rooms(t: Mapping, hotel_ids: DataFrame, as_of, group_rows: int =
     rooms = t["rooms"].select(F.col("id").alias("room_id"), "room_type_id", "hotel_id", "room_number").join(types, "room_type_id")
     rooms = keyed(rooms.filter("type_hotel = hotel_id"))
 
-    def state(decided: DataFrame | None) -> DataFrame:
-        spans = pinned.select("key", "room_id", "check_in", "check_out")
-        if decided is not None:
-            placed = decided.filter("room_id IS NOT NULL").select(F.col("ask_id").alias("booking_id"), "room_type_id", "room_id")
-            spans = spans.unionByName(
-                placed.join(stays.select("booking_id", "room_type_id", "key", "check_in", "check_out"), ["booking_id", "room_type_id"])
-                .select("key", "room_id", "check_in", "check_out")
-            )
-        known = as_rows(
-            rooms.join(run_days.select(*group).distinct(), "key"), ROOM, group,
-            **{c: F.col(c) for c in ("room_type_id", "room_id", "room_number")},
-        )
-        return known.unionByName(_busy_rows(spans, run_days, group))
-
+    known = as_rows(
+        rooms.join(run_days.select(*group).distinct(), "key"), ROOM, group,
+        **{c: F.col(c) for c in ("room_type_id", "room_id", "room_number")},
+    )
+    state = known.unionByName(_busy_rows(pinned.select("key", "room_id", "check_in", "check_out"), run_days, group))
     decided = decide_in_order(asks, state, group, ["start_us", "ask_id"], F.floor(F.col("start_us") / DAY_US).cast("bigint"), Place, group_rows)
     spots = decided.select(F.col("ask_id").alias("booking_id"), "room_type_id", "unit", "room_id")
     placed = spots.filter("room_id IS NOT NULL").join(
@@ -335,12 +304,8 @@ def pre_assign_rooms(t: Mapping, moves: DataFrame, as_of, group_rows: int = GROU
         room_id=F.col("room_id"), start_us=micros("check_in"), end_us=micros("check_out"),
     )
 
-    def state(decided: DataFrame | None) -> DataFrame:
-        spans = open_moves.filter(F.lit(False)) if decided is None else open_moves.join(
-            decided.filter(F.col("code") == ALWAYS_OK).select(F.col("ask_id").alias("seq")), "seq", "left_semi"
-        )
-        return _busy_rows(spans, run_days, group)
-
+    # moves meet each other only: stored stays are settled above
+    state = as_rows(open_moves.filter(F.lit(False)).join(run_days, "key"), BUSY, group)
     decided = decide_in_order(asks, state, group, SEQ_ORDER, seq_bucket(), Claim, group_rows)
     late = decided.select(F.col("ask_id").alias("seq"), F.nullif("code", F.lit(ALWAYS_OK)).alias("late"))
     judged = (

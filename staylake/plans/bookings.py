@@ -10,12 +10,15 @@ from ..functions.calc import live, money, timestamp
 from ..operators.billing import booking_total, time_surcharges
 from ..operators.changes import append_rows, update_from_join
 from ..operators.filters import form_code
+from ..functions.components import components
+from ..functions.windows import seq_bucket
 from ..session import cut_lineage
 from .admission import inventory_after
 from .common import (
     BAD_PERIOD, BAD_QUANTITY, BAD_STATE, DUPLICATE, NOT_FOUND, State, accepted, first_wins, max_id, number_rows, patched,
     state_code, verdict, with_booking,
 )
+from .ordered import ASK, GROUP_ROWS, Register, as_rows, decide_in_order
 
 TIME_SURCHARGES = ["EarlyCheckIn", "LateCheckOut"]
 
@@ -68,31 +71,46 @@ def _guest_keys(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode(F.array_compact(F.array(*entries))).alias("k")).select(*keep, "k.rank", "k.value")
 
 
-def customer_intake(t: Mapping, req: DataFrame, as_of) -> State:
+def _first_on_all(open_keys: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Guests who are first on all their keys, and the keys of those whom this leaves undecided (copies of a key all go out at once)."""
+    first = open_keys.groupBy("rank", "value").agg(F.min("seq").alias("seq")).withColumn("first", F.lit(1))
+    score = open_keys.join(first, ["rank", "value", "seq"], "left").groupBy("seq").agg(
+        (F.count(F.lit(1)) == F.sum(F.coalesce("first", F.lit(0)))).alias("leads")
+    )
+    lead = cut_lineage(score.filter("leads").select("seq"))
+    lead_keys = open_keys.join(lead, "seq", "left_semi").select("rank", "value").distinct()
+    out = open_keys.join(lead_keys, ["rank", "value"], "left_semi").select("seq").distinct()
+    return lead, cut_lineage(open_keys.join(out, "seq", "left_anti"))
+
+
+def _chained(open_keys: DataFrame, group_rows: int) -> DataFrame:
+    """Accepted guests (seq) among those that share keys in chains."""
+    # a key is named by the first guest who has it; a guest has one key of each rank
+    first = open_keys.groupBy("rank", "value").agg(F.min("seq").alias("b"))
+    linked = cut_lineage(open_keys.join(first, ["rank", "value"]).select("seq", "rank", "b"))
+    parts = components(linked.select(F.col("seq").alias("a"), "b")).withColumnRenamed("root", "part")
+    group = ["part"]
+    rows = linked.join(parts.withColumnRenamed("node", "seq"), "seq")
+    asks = as_rows(rows, ASK, group, seq=F.col("seq"), ask_id=F.col("seq"), room_id=F.col("b") * len(GUEST_KEYS) + F.col("rank"))
+    none = asks.filter(F.lit(False))
+    decided = decide_in_order(asks, none, group, ["seq", "ask_id"], seq_bucket(), Register, group_rows)
+    return decided.filter(F.col("code") == "OK").select(F.col("ask_id").alias("seq"))
+
+
+def customer_intake(t: Mapping, req: DataFrame, as_of, group_rows: int = GROUP_ROWS) -> State:
     """Register guests: form rules first, then phone, e-mail and card must be new, in arrival order.
 
-    A refused guest does not use up the other keys it carries, so one refusal can let a later guest in.
-    This is settled in rounds over all guests at once: whoever is first on all its keys is in, everyone who
-    shares a key with someone in is out, the rest goes on. Copies of one key are settled in one round.
+    A refused guest does not use up the other keys it carries, so one refusal can let a later guest in. Most keys are settled
+    for all guests at once (``_first_on_all``). What is left are guests who wait for each other in chains: those connected by shared keys form a
+    component, components are independent, and each is walked in arrival order, a large one in slices.
     """
     judged = req.withColumn("form", form_code(as_of))
     stored = _guest_keys(t["customers"])
     keys = _guest_keys(judged.filter("form IS NULL"), "seq")
     clash = keys.join(stored, ["rank", "value"], "left_semi").select("seq").distinct()
-    open_keys = cut_lineage(keys.join(clash, "seq", "left_anti"))
-    won = None
-    while not open_keys.isEmpty():
-        first = open_keys.groupBy("rank", "value").agg(F.min("seq").alias("seq")).withColumn("first", F.lit(1))
-        score = open_keys.join(first, ["rank", "value", "seq"], "left").groupBy("seq").agg(
-            (F.count(F.lit(1)) == F.sum(F.coalesce("first", F.lit(0)))).alias("leads")
-        )
-        lead = cut_lineage(score.filter("leads").select("seq"))
-        won = lead if won is None else won.unionByName(lead)
-        lead_keys = open_keys.join(lead, "seq", "left_semi").select("rank", "value")
-        out = open_keys.join(lead_keys, ["rank", "value"], "left_semi").select("seq").distinct()
-        open_keys = cut_lineage(open_keys.join(out, "seq", "left_anti"))
-    if won is None:
-        won = keys.filter(F.lit(False)).select("seq")
+    won, open_keys = _first_on_all(cut_lineage(keys.join(clash, "seq", "left_anti")))
+    if not open_keys.isEmpty():
+        won = won.unionByName(_chained(open_keys, group_rows))
     # the reported key of a refusal: the first one taken by a stored guest or an earlier accepted one
     held = stored.withColumn("since", F.lit(-1).cast("bigint")).unionByName(
         keys.join(won, "seq", "left_semi").select("rank", "value", F.col("seq").alias("since"))

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calc import INVOICEABLE_STATES, MONEY, money, timestamp
@@ -12,6 +11,7 @@ from ..functions.windows import seq_bucket
 from ..operators.changes import update_from_join, upsert_by_key
 from ..session import cut_lineage
 from .common import BAD_AMOUNT, TOO_MUCH, State, accepted, max_id, state_code, verdict, with_booking
+from .ordered import ASK, CELL, Settle, as_rows, decide_in_order
 
 FOLD_ROWS = 1_000
 SLICE_ROWS = 1_000_000
@@ -41,24 +41,13 @@ def issue_invoices(t: Mapping, req: DataFrame, as_of) -> State:
     return {"results": verdict(judged, "seq", "booking_id"), "invoices": invoices}
 
 
-def _settle(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Walk one bounded slice of a booking's payments in order; a refused amount leaves the rest as it was."""
-    pdf = pdf.sort_values("seq")
-    rest, ok = int(pdf.rest.iloc[0]), []
-    for cents in pdf.cents:
-        fits = cents <= rest
-        rest -= cents if fits else 0
-        ok.append(fits)
-    return pd.DataFrame({"booking_id": pdf.booking_id, "seq": pdf.seq, "cents": pdf.cents, "fits": ok})
-
-
 def settle_payments(due: DataFrame, fold_rows: int = FOLD_ROWS, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """(booking_id, seq, fits) for payments (booking_id, seq, amount, rest) taken in order against what is due.
 
     Most bookings need no order: an amount above the whole rest never fits, and if the others fit
     together they all fit. The remaining ones are walked in order inside the JVM, by a fold over a
-    short sorted array. A booking with more than ``fold_rows`` such payments is walked in slices by
-    arrival number, each slice one bounded group with the rest left by the slices before.
+    short sorted array. A booking with more than ``fold_rows`` such payments is walked in slices of ``slice_rows`` payments
+    by rank, whatever their numbers; a slice hands what is left to pay to the next one.
     """
     small = due.filter("amount <= rest")
     load = small.groupBy("booking_id").agg(F.sum("amount").alias("_sum"), F.count(F.lit(1)).alias("_n"))
@@ -79,23 +68,13 @@ def settle_payments(due: DataFrame, fold_rows: int = FOLD_ROWS, slice_rows: int
     hot = tight.filter(F.col("_n") > fold_rows)
     if hot.isEmpty():
         return _all_verdicts(due, done)
-    cents = hot.select(
-        "booking_id", "seq", (F.col("amount") * 100).cast("bigint").alias("cents"), (F.col("rest") * 100).cast("bigint").alias("rest"),
-        seq_bucket("seq", slice_rows).alias("slice"),
-    )
-    open_rows = cut_lineage(cents)
-    while not open_rows.isEmpty():
-        turn = open_rows.groupBy("booking_id").agg(F.min("slice").alias("slice"))
-        now = open_rows.join(turn, ["booking_id", "slice"], "left_semi").select("booking_id", "seq", "cents", "rest")
-        settled = cut_lineage(now.groupBy("booking_id").applyInPandas(_settle, "booking_id bigint, seq bigint, cents bigint, fits boolean"))
-        done = done.unionByName(settled.select("booking_id", "seq", "fits"))
-        paid = settled.groupBy("booking_id").agg(F.sum(F.when(F.col("fits"), F.col("cents")).otherwise(0)).alias("paid"))
-        later = open_rows.join(now.select("booking_id", "seq"), ["booking_id", "seq"], "left_anti").join(paid, "booking_id", "left")
-        # what no longer fits never will
-        open_rows = cut_lineage(
-            later.withColumn("rest", F.expr("rest - COALESCE(paid, 0)")).drop("paid").filter("cents <= rest")
-        )
-    return _all_verdicts(due, done)
+    group, cents = ["booking_id"], lambda c: (F.col(c) * 100).cast("bigint")
+    hot = cut_lineage(hot)
+    asks = as_rows(hot, ASK, group, seq=F.col("seq"), ask_id=F.col("seq"), free=cents("amount"))
+    left = as_rows(hot.groupBy("booking_id").agg(F.first("rest").alias("rest")), CELL, group, free=cents("rest"))
+    walked = decide_in_order(asks, left, group, ["seq", "ask_id"], seq_bucket(), Settle, slice_rows)
+    settled = walked.select(F.col("ask_id").alias("seq"), (F.col("code") == "OK").alias("fits")).join(hot.select("booking_id", "seq"), "seq")
+    return _all_verdicts(due, done.unionByName(settled.select("booking_id", "seq", "fits")))
 
 
 def _all_verdicts(due: DataFrame, done: DataFrame) -> DataFrame:
@@ -108,7 +87,9 @@ def apply_payments(t: Mapping, req: DataFrame, as_of, fold_rows: int = FOLD_ROWS
     A payment may not lift the paid sum above the booking's total. The invoice, unless Void, follows and turns
     Paid once its own total is reached.
     """
-    judged = with_booking(req, t, "status", "total_amount", "amount_paid").withColumn(
+    # money has two decimals; an amount with more is rounded here, before anything compares it
+    asked = req.withColumn("amount", money("amount"))
+    judged = with_booking(asked, t, "status", "total_amount", "amount_paid").withColumn(
         "guard", F.coalesce(F.when(~F.coalesce(F.col("amount") > 0, F.lit(False)), BAD_AMOUNT), state_code(INVOICEABLE_STATES))
     )
     due = judged.filter("guard IS NULL").select(

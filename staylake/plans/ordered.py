@@ -25,10 +25,9 @@ ROW = {
     "last_day": "int", "start_us": "bigint", "end_us": "bigint", "free": "bigint", "room_id": "bigint", "room_number": "string",
 }
 SORT = ["kind", "room_number", "seq", "start_us", "ask_id", "room_id", "room_type_id"]
-DECISION = "ask_id bigint, room_type_id bigint, unit int, room_id bigint, code string"
-_ARROW = pa.schema(
-    [("ask_id", pa.int64()), ("room_type_id", pa.int64()), ("unit", pa.int32()), ("room_id", pa.int64()), ("code", pa.string())]
-)
+# what a walk writes: decisions, and the state that a group's next slice starts from
+DECISION = {"ask_id": "bigint", "room_type_id": "bigint", "unit": "int", "room_id": "bigint", "code": "string"}
+_ARROW_TYPES = {"int": pa.int32(), "bigint": pa.int64(), "string": pa.string()}
 
 
 def micros(c: str) -> Column:
@@ -47,16 +46,61 @@ def as_rows(df: DataFrame, kind: int, group: list[str], **values) -> DataFrame:
     return df.select(*group, *cols)
 
 
+class LeastFree:
+    """Free counts of the listed nights of one type, as a tree of minima: a stay of any length is checked and taken in a logarithmic number of steps."""
+
+    def __init__(self, days: list[int], free: list[int]):
+        self.days, n = days, len(days)
+        self.size, self.low, self.add = n, [0] * n + free, [0] * n
+        for i in range(n - 1, 0, -1):
+            self.low[i] = min(self.low[2 * i], self.low[2 * i + 1])
+
+    def span(self, first: int, last: int) -> tuple[int, int]:
+        """Places of the listed nights in [first, last)."""
+        return bisect_left(self.days, first), bisect_left(self.days, last)
+
+    def least(self, a: int, b: int) -> int | None:
+        """The smallest free count of places [a, b); none if there are no places."""
+        found, left, right = None, a + self.size, b + self.size
+        while left < right:
+            for node in ((left,) if left & 1 else ()) + ((right - 1,) if right & 1 else ()):
+                value, up = self.low[node], node >> 1
+                while up:
+                    value += self.add[up]
+                    up >>= 1
+                found = value if found is None or value < found else found
+            left, right = (left + 1) >> 1, right >> 1
+        return found
+
+    def take(self, a: int, b: int, n: int) -> None:
+        """Lower the counts of places [a, b) by ``n``."""
+        touched, left, right = set(), a + self.size, b + self.size
+        while left < right:
+            for node in ((left,) if left & 1 else ()) + ((right - 1,) if right & 1 else ()):
+                self.low[node] -= n
+                if node < self.size:
+                    self.add[node] -= n
+                touched.add(node >> 1)
+            left, right = (left + 1) >> 1, right >> 1
+        while touched:
+            node = max(touched)
+            touched.remove(node)
+            if node:
+                self.low[node] = min(self.low[2 * node], self.low[2 * node + 1]) + self.add[node]
+                touched.add(node >> 1)
+
+
 class Walker:
     """State of one group: free counts per (type, night), rooms in number order, disjoint busy spans per room."""
 
     def __init__(self):
         self.cells: dict = {}
         self.rooms: dict = {}
+        self.numbers: dict = {}
         self.busy: dict = {}
 
     def add(self, row: tuple, out: list) -> None:
-        kind, _, _, type_id, _, day, _, start, end, free, room, _ = row
+        kind, _, _, type_id, _, day, _, start, end, free, room, number = row
         if kind == BUSY:
             spans = self.busy.setdefault(room, [])
             if spans and start < spans[-1][1]:
@@ -67,9 +111,20 @@ class Walker:
             self.cells[type_id, day] = free
         elif kind == ROOM:
             self.rooms.setdefault(type_id, []).append(room)
+            self.numbers[type_id, room] = number
         else:
             self.ask(row, out)
 
+    def state(self) -> Iterator[tuple]:
+        """What this group's later asks meet, as rows like those the state came in."""
+        for room, spans in self.busy.items():
+            for start, end in spans:
+                yield BUSY, 0, 0, 0, 0, 0, 0, start, end, 0, room, ""
+        for (type_id, day), free in self.cells.items():
+            yield CELL, 0, 0, type_id, 0, day, 0, 0, 0, free, 0, ""
+        for (type_id, room), number in self.numbers.items():
+            yield ROOM, 0, 0, type_id, 0, 0, 0, 0, 0, 0, room, number
+
     def ask(self, row: tuple, out: list) -> None:
         raise NotImplementedError
 
@@ -101,8 +156,14 @@ class Admit(Walker):
     def __init__(self):
         super().__init__()
         self.lines: list[tuple] = []
+        self.trees: dict[int, LeastFree] | None = None
 
     def ask(self, row: tuple, out: list) -> None:
+        if self.trees is None:
+            days: dict = {}
+            for k, day in sorted(self.cells):
+                days.setdefault(k, []).append(day)
+            self.trees = {k: LeastFree(d, [self.cells[k, x] for x in d]) for k, d in days.items()}
         if self.lines and self.lines[0][2] != row[2]:
             self.finish(out)
         self.lines.append(row)
@@ -115,9 +176,8 @@ class Admit(Walker):
             placed, code = self._rooms()
         if code is None:
             for _, _, _, k, n, first, last, *_ in self.lines:
-                for d in range(first, last):
-                    if (k, d) in self.cells:
-                        self.cells[k, d] -= n
+                if k in self.trees:
+                    self.trees[k].take(*self.trees[k].span(first, last), n)
             out.extend((ask_id, k, u, room, None) for k, u, room, _, _ in placed)
         else:
             for _, _, room, a, b in placed:
@@ -127,12 +187,22 @@ class Admit(Walker):
 
     def _shortage(self) -> str | None:
         for _, _, _, k, n, first, last, *_ in self.lines:
-            for d in range(first, last):
-                left = self.cells.get((k, d))
-                if left is not None and left < n:
-                    return "MISSING_INVENTORY" if left < 0 else "OVERBOOKING"
+            if k not in self.trees:
+                continue
+            tree = self.trees[k]
+            a, b = tree.span(first, last)
+            least = tree.least(a, b)
+            if least is not None and least < n:
+                short = next(x for x in (tree.least(i, i + 1) for i in range(a, b)) if x < n)
+                return "MISSING_INVENTORY" if short < 0 else "OVERBOOKING"
         return None
 
+    def state(self) -> Iterator[tuple]:
+        for k, tree in (self.trees or {}).items():
+            for i, day in enumerate(tree.days):
+                self.cells[k, day] = tree.least(i, i + 1)
+        return super().state()
+
     def _rooms(self) -> tuple[list[tuple], str | None]:
         placed: list[tuple] = []
         for _, _, _, k, n, _, _, a, b, *_ in self.lines:
@@ -172,69 +242,111 @@ class Claim(Walker):
         out.append((ask_id, None, None, room, "OK" if free else "ROOM_OVERLAP"))
 
 
-def _walk(walker: type[Walker], n_keys: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    def emit(out: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _ARROW)], schema=_ARROW)
+class Settle(Walker):
+    """Payments of one booking in arrival order against what is left to pay; amounts in cents, as free counts."""
+
+    def ask(self, row: tuple, out: list) -> None:
+        cents, rest = row[9], self.cells[0, 0]
+        if cents <= rest:
+            self.cells[0, 0] = rest - cents
+        out.append((row[2], None, None, None, "OK" if cents <= rest else "TOO_MUCH"))
+
+
+class Register(Walker):
+    """Guests in arrival order; each line is a key, which nobody accepted before may hold. Keys taken are rooms without a type."""
+
+    def __init__(self):
+        super().__init__()
+        self.lines: list[tuple] = []
+
+    def ask(self, row: tuple, out: list) -> None:
+        if self.lines and self.lines[0][2] != row[2]:
+            self.finish(out)
+        self.lines.append(row)
+
+    def finish(self, out: list) -> None:
+        if not self.lines:
+            return
+        keys = [(0, row[10]) for row in self.lines]
+        free = not any(k in self.numbers for k in keys)
+        if free:
+            self.numbers.update((k, "") for k in keys)
+        out.append((self.lines[0][2], None, None, None, "OK" if free else "TAKEN"))
+        self.lines = []
+
+
+def _walk(walker: type[Walker], keys: list[str], carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    decision, state_row, n = list(DECISION.values()), list(ROW.values()), len(keys)
+    schema = pa.schema([(c, _ARROW_TYPES[t]) for c, t in _written(keys).items()])
+    no_state, no_decision = (None,) * (n + len(ROW)), (None,) * len(DECISION)
+
+    def emit(rows: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, state = None, None
+        key, group, out, left = None, None, [], []
+
+        def close() -> None:
+            group.finish(out)
+            if carry:
+                left.extend(no_decision + key + row for row in group.state())
+
         for batch in batches:
-            out: list = []
             for row in zip(*[c.to_pylist() for c in batch.columns]):
-                if row[:n_keys] != key:
-                    if state is not None:
-                        state.finish(out)
-                    key, state = row[:n_keys], walker()
-                state.add(row[n_keys:], out)
-            if out:
-                yield emit(out)
-        out = []
-        if state is not None:
-            state.finish(out)
-        if out:
-            yield emit(out)
+                if row[:n] != key:
+                    if group is not None:
+                        close()
+                    key, group = row[:n], walker()
+                group.add(row[n:], out)
+                if len(out) + len(left) >= 50_000:
+                    yield emit([d + no_state for d in out] + left)
+                    out.clear(), left.clear()
+        if group is not None:
+            close()
+        if out or left:
+            yield emit([d + no_state for d in out] + left)
 
     return run
 
 
+def _written(keys: list[str]) -> dict[str, str]:
+    """Columns of a walk's output: a decision, or (state columns, prefixed) one row of state."""
+    return {**DECISION, **{f"s_{k}": "bigint" for k in keys}, **{f"s_{c}": t for c, t in ROW.items()}}
+
+
 def decide_in_order(
-    asks: DataFrame,
-    state: Callable[[DataFrame | None], DataFrame],
-    group: list[str],
-    order: list[str],
-    bucket: Column,
-    walker: type[Walker],
-    group_rows: int = GROUP_ROWS,
+    asks: DataFrame, state: DataFrame, group: list[str], order: list[str], bucket: Column, walker: type[Walker], group_rows: int = GROUP_ROWS
 ) -> DataFrame:
     """Walk every group in order and write down the decisions.
 
-    ``asks`` are ROW rows, one or more per ask; ``state(decided)`` gives the ROW rows the asks meet
-    after the decisions so far. Groups are spread by hash and sorted by Spark, so a task holds the
-    state of one group at a time, not its asks. A group above ``group_rows`` asks is cut along
-    ``order`` into slices: each slice is one job that meets the written decisions of the earlier
-    ones. All other groups are done in the first slice.
+    ``asks`` are ROW rows, one or more per ask; ``state`` are the ROW rows that asks meet. Groups are spread by hash and sorted by
+    Spark, so a task holds the state of one group at a time, not its asks. A group above ``group_rows`` asks is cut along
+    ``order`` into slices. Each slice is one job that writes one table: its decisions and the state it leaves, which is all the next slice
+    reads besides its own asks. However many slices there are, none looks at earlier decisions. Group columns are whole numbers.
     """
     names = [*group, *ROW]
+    written = _written(group)
 
-    def walk(part: DataFrame, meets: DataFrame) -> DataFrame:
-        rows = part.select(*names).unionByName(meets.select(*names))
+    def walk(part: DataFrame, meets: DataFrame, carry: bool) -> DataFrame:
+        rows = part.select(*names).unionByName(meets.select(*names)).withColumns({g: F.col(g).cast("bigint") for g in group})
         lined_up = rows.repartition(*group).sortWithinPartitions(*group, *SORT)
-        return cut_lineage(lined_up.mapInArrow(_walk(walker, len(group)), DECISION))
+        return cut_lineage(lined_up.mapInArrow(_walk(walker, group, carry), ", ".join(f"{c} {t}" for c, t in written.items())))
 
     asks = cut_lineage(asks)
-    largest = asks.groupBy(*group).count().agg(F.max("count")).first()[0] or 0
-    if largest <= group_rows:
-        return walk(asks, state(None))
+    sizes = asks.groupBy(*group).count()
+    if (sizes.agg(F.max("count")).first()[0] or 0) <= group_rows:
+        return walk(asks, state, False).select(*DECISION)
+    large = cut_lineage(sizes.filter(F.col("count") > group_rows).select(*group))
+    decided = walk(asks.join(large, group, "left_anti"), state.join(large, group, "left_anti"), False).select(*DECISION)
     # number the asks, not their rows: the rows of one ask stay in one slice
-    heads = asks.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("_rows"))
+    rows = asks.join(large, group, "left_semi")
+    heads = rows.groupBy(*group, *order).agg(F.count(F.lit(1)).alias("_rows"))
     ranked = running(heads, group, bucket, order, {"_upto": ("sum", "_rows", 0)}, inclusive=True)
-    ranked = ranked.select(*group, *order, F.floor((F.col("_upto") - 1) / group_rows).alias("_slice"))
-    sliced = cut_lineage(asks.join(ranked, [*group, *order]))
-    last = sliced.agg(F.max("_slice")).first()[0]
-    decided = None
+    ranked = ranked.select(*group, *order, F.floor((F.col("_upto") - 1) / group_rows).cast("int").alias("_slice"))
+    sliced = cut_lineage(rows.join(ranked, [*group, *order]), "_slice")
+    meets, last = state.join(large, group, "left_semi"), sliced.agg(F.max("_slice")).first()[0]
     for k in range(last + 1):
-        part = sliced.filter(F.col("_slice") == k)
-        meets = state(decided).join(part.select(*group).distinct(), group, "left_semi")
-        out = walk(part, meets)
-        decided = out if decided is None else decided.unionByName(out)
+        out = walk(sliced.filter(F.col("_slice") == k), meets, k < last)
+        decided = decided.unionByName(out.filter("s_kind IS NULL").select(*DECISION))
+        meets = out.filter("s_kind IS NOT NULL").select(*[F.col(f"s_{c}").alias(c) for c in names])
     return decided

@@ -81,13 +81,13 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written table.
+def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
+    """Write ``df`` once to the shared checkpoint folder and go on from the written table, in folders ``by`` the named columns.
 
     Decisions that depend on order are written this way before several outputs are built on
     them: they are made once, and a lost executor only reads them again.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
