@@ -57,6 +57,12 @@ def update_from_join(target: DataFrame, flags: DataFrame, keys: list[str], assig
     )
 
 
+def updated_rows(target: DataFrame, flags: DataFrame, keys: list[str], assignments: dict[str, Column]) -> DataFrame:
+    """Only the rows that ``update_from_join`` would change, as they are afterwards: what a versioned table needs to write."""
+    joined = target.join(flags, keys)
+    return joined.select(*[assignments[c].cast(target.schema[c].dataType).alias(c) if c in assignments else F.col(c) for c in target.columns])
+
+
 def delete_where(df: DataFrame, predicate: Column) -> DataFrame:
     """Rows for which the predicate is not true."""
     return df.filter(~F.coalesce(predicate, F.lit(False)))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions.calc import INVOICEABLE_STATES, MONEY, money, timestamp
 from ..functions.windows import seq_bucket
-from ..operators.changes import update_from_join, upsert_by_key
+from ..operators.changes import update_from_join, updated_rows, upsert_by_key
 from ..session import cut_lineage
 from .common import BAD_AMOUNT, TOO_MUCH, State, accepted, max_id, state_code, verdict, with_booking
 from .ordered import ASK, CELL, Settle, as_rows, decide_in_order
@@ -85,7 +85,7 @@ def apply_payments(t: Mapping, req: DataFrame, as_of, fold_rows: int = FOLD_ROWS
     """Take payments (seq, booking_id, amount, staff_id) in arrival order.
 
     A payment may not lift the paid sum above the booking's total. The invoice, unless Void, follows and turns
-    Paid once its own total is reached.
+    Paid once its own total is reached. ``changed_bookings`` and ``changed_invoices`` are the rows that differ, for a versioned table.
     """
     # money has two decimals; an amount with more is rounded here, before anything compares it
     asked = req.withColumn("amount", money("amount"))
@@ -102,18 +102,20 @@ def apply_payments(t: Mapping, req: DataFrame, as_of, fold_rows: int = FOLD_ROWS
     paid = accepted(judged).groupBy("booking_id").agg(
         F.sum("amount").cast(MONEY).alias("paid"), F.max_by("staff_id", "seq").alias("staff_id")
     )
-    bookings = update_from_join(
-        t["bookings"], paid.withColumnRenamed("booking_id", "id"), ["id"],
-        {"amount_paid": F.col("amount_paid") + F.col("paid"), "updated_by": F.col("staff_id"), "updated_at": timestamp(as_of)},
-    )
+    payers = paid.withColumnRenamed("booking_id", "id")
+    new_booking = {"amount_paid": F.col("amount_paid") + F.col("paid"), "updated_by": F.col("staff_id"), "updated_at": timestamp(as_of)}
     open_invoice = F.col("status") != "Void"
     new_paid = F.col("amount_paid") + F.col("paid")
-    invoices = update_from_join(
-        t["invoices"], paid.select("booking_id", "paid"), ["booking_id"],
-        {
-            "amount_paid": F.when(open_invoice, new_paid).otherwise(F.col("amount_paid")),
-            "balance": F.when(open_invoice, F.col("balance") - F.col("paid")).otherwise(F.col("balance")),
-            "status": F.when(~open_invoice, F.col("status")).when(new_paid >= F.col("total_amount"), "Paid").otherwise("Issued"),
-        },
-    )
-    return {"results": verdict(judged, "seq", "booking_id", "amount"), "bookings": bookings, "invoices": invoices}
+    new_invoice = {
+        "amount_paid": F.when(open_invoice, new_paid).otherwise(F.col("amount_paid")),
+        "balance": F.when(open_invoice, F.col("balance") - F.col("paid")).otherwise(F.col("balance")),
+        "status": F.when(~open_invoice, F.col("status")).when(new_paid >= F.col("total_amount"), "Paid").otherwise("Issued"),
+    }
+    sums = paid.select("booking_id", "paid")
+    return {
+        "results": verdict(judged, "seq", "booking_id", "amount"),
+        "bookings": update_from_join(t["bookings"], payers, ["id"], new_booking),
+        "invoices": update_from_join(t["invoices"], sums, ["booking_id"], new_invoice),
+        "changed_bookings": updated_rows(t["bookings"], payers, ["id"], new_booking),
+        "changed_invoices": updated_rows(t["invoices"], sums, ["booking_id"], new_invoice),
+    }

@@ -12,6 +12,7 @@ from .operators import billing, calendar, changes, filters, occupancy, quality,
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
 from .session import shared_dir
 from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source, stored_tables
+from .sources import versions
 from .sources.tables import date_spine, literal_relation, scan_tables, write_snapshot
 from .streaming import jobs as streams
 
@@ -326,7 +327,19 @@ def _append(t):
     return changes.append_rows(t["bookings"].select("id", "hotel_id", "customer_id", "status", "check_in"), new)
 
 
+def _versioned_payments(spark, sf_dir):
+    """Invoices of the version that the payments make: only changed rows are handed on, only touched partitions written."""
+    path, t = f"{shared_dir(spark)}/versions/{uuid.uuid4().hex}", stored_tables(spark, sf_dir)
+    base = versions.create_versions(spark, path, t, ["bookings", "invoices"])
+    stored = versions.read_version(spark, path, base)
+    state = money_jobs.apply_payments(t.replaced(**stored), t["payments"], AS_OF)
+    changed = {n: state[f"changed_{n}"] for n in ("bookings", "invoices")}
+    now = versions.commit(spark, path, base, changed, {"bookings": ["id"], "invoices": ["booking_id"]})
+    return versions.read_version(spark, path, now)["invoices"].select("booking_id", "amount_paid", "balance", "status")
+
+
 JOBS = {
+    "versioned_payments": _versioned_payments,
     "append_rows": _core(_append),
     "upsert_by_key": _on_tables(_upsert),
     "insert_if_absent": _core(_insert_if_absent),
