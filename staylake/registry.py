@@ -7,6 +7,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
+from .functions.calc import nights
 from .functions.windows import flag_first
 from .operators import billing, calendar, changes, filters, occupancy, quality, reports
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
@@ -406,14 +407,23 @@ def _stream_of(spark, sf_dir, name):
 
 
 def _stream_totals(spark, sf_dir):
+    """Every child row of every booking as a change, in files that come as several micro-batches."""
     out, checkpoint = _stream_dirs(spark, "totals")
     t = derived_tables(spark, sf_dir)
-    t = t.replaced(bookings=t["bookings_core"])
-    changed = _stream_of(spark, sf_dir, "lineitem").selectExpr(
-        "CAST(NULL AS BIGINT) AS old_booking_id", "l_orderkey AS new_booking_id"
-    )
-    streams.stream_totals(changed, lambda: t, out, checkpoint).awaitTermination()
-    return streams.read_totals(spark, out)
+    usage = t["service_usage"].join(t["services"].select(F.col("id").alias("service_id"), "unit_price"), "service_id")
+    rows = {
+        streams.NIGHTS: t["bookings_core"].select(F.col("id").alias("booking_id"), nights().alias("amount")),
+        streams.ROOM: t["booking_details"].select("booking_id", (F.col("agreed_price") * F.col("quantity")).alias("amount")),
+        streams.SURCHARGE: t["booking_surcharges"].select("booking_id", "amount"),
+        streams.SERVICE: usage.select("booking_id", (F.col("quantity") * F.col("unit_price")).alias("amount")),
+    }
+    feed = reduce(DataFrame.unionByName, [streams.child_changes(None, df, part) for part, df in rows.items()])
+    path = f"{checkpoint}-feed"
+    feed.repartition(8).write.parquet(path)
+    changes = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    streams.stream_totals(changes, out, checkpoint).awaitTermination()
+    named = t["booking_details"].select("booking_id").distinct()
+    return streams.read_totals(spark, out).join(named, "booking_id", "left_semi")
 
 
 def _stream_dedup(spark, sf_dir):
@@ -434,7 +444,8 @@ def _stream_occupancy(spark, sf_dir):
     lines = t["booking_details"].select("booking_id", "room_type_id", "quantity")
     b = booking_core(_stream_of(spark, sf_dir, "orders"), row_count(spark, sf_dir, "supplier"))
     ops = F.when(F.col("status").isin("Cancelled", "Completed"), F.array(F.lit("reserve"), F.lit("release"))).otherwise(F.array(F.lit("reserve")))
-    feed = b.select(F.col("id").alias("booking_id"), "check_in", "check_out", F.explode(ops).alias("op")).join(lines, "booking_id")
+    booked = (F.to_date("check_in") - 30).cast("timestamp_ntz").alias("at")
+    feed = b.select(F.col("id").alias("booking_id"), "check_in", "check_out", booked, F.explode(ops).alias("op")).join(lines, "booking_id")
     streams.stream_occupancy(feed, out, checkpoint).awaitTermination()
     return streams.read_occupancy(spark, out)
 
