@@ -13,19 +13,23 @@ from .billing import child_costs
 REVENUE_PARTS = ["total_room_cost", "total_surcharges", "total_services"]
 
 
-def monthly_revenue(t: Mapping, period="all", as_of=None) -> DataFrame:
-    """Revenue per hotel and check-out month of billed bookings.
+def _billed(t: Mapping, period, as_of) -> DataFrame:
+    return t["bookings"].filter(F.col("status").isin(BILLED_STATES) & in_period("check_out", period, as_of)).withColumn("report_month", month_of("check_out"))
+
+
+def monthly_revenue(t: Mapping, period="all", as_of=None, only: DataFrame | None = None) -> DataFrame:
+    """Revenue per hotel and check-out month of billed bookings; ``only`` names wanted (hotel_id, report_month) pairs.
 
     A period filter reaches the booking scan as a range on check_out: a period is made
     of whole months, so the filter on the month and on the check-out agree.
     """
-    b = t["bookings"].filter(F.col("status").isin(BILLED_STATES) & in_period("check_out", period, as_of))
-    billed = b.select(
-        F.col("id").alias("booking_id"), "hotel_id", month_of("check_out").alias("report_month"), nights().alias("nights"), "amount_paid"
-    )
+    b = _billed(t, period, as_of)
+    if only is not None:
+        b = b.join(only, ["hotel_id", "report_month"], "left_semi")
+    billed = b.select(F.col("id").alias("booking_id"), "hotel_id", "report_month", nights().alias("nights"), "amount_paid")
     zero = F.lit(0).cast(MONEY)
     # within a period only the children of its bookings are read on; over all time the filter would cost more than it saves
-    costs = child_costs(t, billed if period_bounds(period, as_of) else None)
+    costs = child_costs(t, billed if only is not None or period_bounds(period, as_of) else None)
     rows = billed.join(costs, "booking_id", "left").select(
         "hotel_id",
         "report_month",
@@ -45,7 +49,9 @@ def monthly_revenue(t: Mapping, period="all", as_of=None) -> DataFrame:
 
 
 def latest_revenue_12(t: Mapping, as_of, period="all", n: int = 12) -> DataFrame:
-    return monthly_revenue(t, period, as_of).orderBy(F.desc("report_month"), "hotel_id").limit(n)
+    """The newest n rows of the revenue list. Which they are follows from the bookings alone, so only their bookings are billed."""
+    newest = _billed(t, period, as_of).select("hotel_id", "report_month").distinct().orderBy(F.desc("report_month"), "hotel_id").limit(n)
+    return monthly_revenue(t, period, as_of, newest).orderBy(F.desc("report_month"), "hotel_id")
 
 
 def revenue_breakdown(t: Mapping, as_of, n_months: int = 6, period="all") -> DataFrame:
