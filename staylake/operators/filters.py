@@ -60,3 +60,12 @@ def form_code(as_of):
 
 def guest_form_check(df: DataFrame, as_of) -> DataFrame:
     return df.withColumn("code", form_code(as_of)).withColumn("accepted", F.col("code").isNull())
+
+
+def room_type_match(t: Mapping, moves: DataFrame) -> DataFrame:
+    """Moves (seq, booking_id, to_room_id) into a room whose type the booking does not hold; an unknown room has no type and never matches."""
+    kinds = t["rooms"].select(F.col("id").alias("to_room_id"), "room_type_id")
+    booked = t["booking_details"].select("booking_id", "room_type_id")
+    return moves.select("seq", "booking_id", "to_room_id").join(kinds, "to_room_id", "left").join(booked, ["booking_id", "room_type_id"], "left_anti").select(
+        "seq", "booking_id", "to_room_id", "room_type_id"
+    )

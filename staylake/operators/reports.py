@@ -5,9 +5,9 @@ from __future__ import annotations
 from collections.abc import Mapping
 from datetime import timedelta
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.calc import BILLED_STATES, MONEY, as_date, in_period, money, month_of, nights, period_bounds, wide
+from ..functions.calc import BILLED_STATES, MONEY, as_date, in_period, live, money, month_of, nights, period_bounds, wide
 from .billing import child_costs
 
 REVENUE_PARTS = ["total_room_cost", "total_surcharges", "total_services"]
@@ -154,6 +154,33 @@ def booking_children(t: Mapping) -> DataFrame:
     )
 
 
+CHILDREN_SHOWN = 1000  # entries of one list; its count says how many there are
+
+
+def booking_details_nested(t: Mapping, most: int = CHILDREN_SHOWN) -> DataFrame:
+    """A row per booking with its children as sorted lists: surcharges, room_assignments, services, each beside its count.
+
+    Lists hold every column of the child table, rooms also their number, services their name and price. A list shows the first ``most``
+    entries: further ones are cut before they are shuffled, so a booking with a long history is no long row.
+    """
+    rooms = t["rooms"].select(F.col("id").alias("room_id"), "room_number")
+    services = t["services"].select(F.col("id").alias("service_id"), F.col("name").alias("service_name"), "unit_price")
+    children = {
+        "surcharges": (t["booking_surcharges"], ["surcharge_type", "id"]),
+        "room_assignments": (t["room_assignments"].filter(live()).join(rooms, "room_id"), ["check_in", "room_number", "id"]),
+        "services": (t["service_usage"].join(services, "service_id"), ["service_id", "quantity", "id"]),
+    }
+    out = t["bookings"].select(F.col("id").alias("booking_id"))
+    for name, (df, order) in children.items():
+        order = [c for c in order if c in df.columns]
+        entry = F.struct(*order, *[c for c in df.columns if c not in (*order, "booking_id")])
+        first = df.withColumn("_n", F.row_number().over(Window.partitionBy("booking_id").orderBy(*order))).filter(F.col("_n") <= most)
+        lists = first.groupBy("booking_id").agg(F.sort_array(F.collect_list(entry)).alias(name))
+        counts = df.groupBy("booking_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
+        out = out.join(counts.join(lists, "booking_id"), "booking_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+    return out.select("booking_id", *[c for n in children for c in (f"n_{n}", n)])
+
+
 def booking_header(t: Mapping) -> DataFrame:
     """The booking detail head: summary plus guest identity and stay times."""
     b = t["bookings"].select(F.col("id").alias("booking_id"), "status", "check_in", "check_out", "customer_id")
@@ -202,3 +229,13 @@ def hotel_counts(t: Mapping) -> DataFrame:
     hotels = t["hotels"].select(F.col("id").alias("hotel_id"))
     zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
     return hotels.join(counts, "hotel_id", "left").select("hotel_id", zero("bookings"), zero("details"), zero("live_assignments"))
+
+
+def e2e_counts(t: Mapping) -> DataFrame:
+    """Per hotel name: hotels, guests who booked there, bookings, room lines, live assignments."""
+    names = t["hotels"].select(F.col("id").alias("hotel_id"), F.col("name").alias("hotel_name"))
+    guests = t["bookings"].select("hotel_id", "customer_id").join(names, "hotel_id").groupBy("hotel_name").agg(F.countDistinct("customer_id").alias("guests"))
+    sums = hotel_counts(t).join(names, "hotel_id").groupBy("hotel_name").agg(
+        F.count(F.lit(1)).alias("hotels"), *[F.sum(c).alias(c) for c in ("bookings", "details", "live_assignments")]
+    )
+    return sums.join(guests, "hotel_name", "left").withColumn("guests", F.coalesce("guests", F.lit(0)))

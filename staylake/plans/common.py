@@ -36,6 +36,23 @@ TOO_MUCH = "OVERPAYMENT"
 BAD_CUT = "ASSIGNMENT_PERIOD"
 
 
+def derived_key(*columns: str) -> Column:
+    """A key worked out from a request's content: equal requests have equal keys, in any batch and on any machine.
+
+    SHA-256 of each value's length and text, so neighbouring values cannot run into each other; a null differs from an empty text.
+    """
+    texts = [F.col(c).cast("string") for c in columns]
+    return F.sha2(F.concat(*[F.coalesce(F.concat(F.length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in texts]), 256)
+
+
+REQUEST_CONTENT = ["hotel_id", "customer_id", "check_in", "check_out"]
+
+
+def with_derived_keys(req: DataFrame, columns: list[str] = REQUEST_CONTENT) -> DataFrame:
+    """Requests in which a missing idempotency key is derived from what is asked for, so a batch sent twice books once."""
+    return req.withColumn("idempotency_key", F.coalesce("idempotency_key", derived_key(*columns)))
+
+
 def patched(t: Mapping, **tables: DataFrame) -> Mapping:
     """The tables with some of them in a later state."""
     return ChainMap(tables, t)

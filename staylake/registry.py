@@ -11,6 +11,7 @@ from .functions.calc import nights
 from .functions.windows import flag_first
 from .operators import billing, calendar, changes, filters, occupancy, quality, reports
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
+from .plans.common import with_derived_keys
 from .session import shared_dir
 from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source, stored_tables
 from .sources import versions
@@ -82,6 +83,25 @@ def _asked(t):
     return lines.join(t["booking_requests"].select("request_id", "hotel_id", "check_in", "check_out"), "request_id")
 
 
+def _nested(t):
+    """The nested lists as texts, an entry per line part, so that any engine can compare them."""
+    def listed(name, *fields):
+        entry = lambda e: F.concat_ws("|", *[e[f].cast("string") for f in fields])
+        return F.coalesce(F.array_join(F.transform(name, entry), ","), F.lit("")).alias(name)
+
+    return reports.booking_details_nested(t).select(
+        "booking_id", "n_surcharges", listed("surcharges", "surcharge_type", "id", "amount"),
+        "n_room_assignments", listed("room_assignments", "room_number", "id", "room_id"),
+        "n_services", listed("services", "service_id", "quantity", "service_name", "unit_price"),
+    )
+
+
+def _derived_keys(t):
+    """Every third request comes without a key."""
+    asked = t["booking_requests"].withColumn("idempotency_key", F.expr("IF(seq % 3 = 0, NULL, idempotency_key)"))
+    return with_derived_keys(asked, ["hotel_id", "customer_id", "seq"]).select("seq", "idempotency_key")
+
+
 def _stored(fn):
     """For operators that read derived tables several times."""
 
@@ -130,6 +150,11 @@ REPORTS = {
     "booking_summary": _on_tables(reports.booking_summary),
     "booking_header": _on_tables(reports.booking_header),
     "booking_children": _core(reports.booking_children),
+    "booking_children_nested": _core(_nested),
+    "room_type_match": _core(lambda t: filters.room_type_match(t, t["room_moves"])),
+    "derived_keys": _core(_derived_keys),
+    "e2e_counts": _core(reports.e2e_counts),
+    "heatmap_pivot": _core(lambda t: occupancy.heatmap_matrix(t, AS_OF)),
     "booking_total": _core(billing.booking_total),
     "time_surcharges": _core(billing.time_surcharges),
     "cost_split": _on_tables(billing.cost_split),
