@@ -39,7 +39,8 @@ def default_tokenizer() -> str:
 class WordIds(dict):
     """Ids of blank-separated words as little-endian uint32 bytes.
 
-    The tokenizer never joins characters over a blank or a line break, so ids of a text are those of its words.
+    The tokenizer never joins characters over a blank or a line break, so ids of a text are those of its words. A text that holds
+    one of the tokenizer's added tokens (such as an end-of-text mark) goes to the tokenizer whole: an added token has its own id wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -47,7 +48,8 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None  # the tokenizer folds case
         self.merge = self.tokenizer.model.tokenize
 
     def learn(self, words: set[str]) -> None:
@@ -73,9 +75,13 @@ class WordIds(dict):
             self[w] = self[stem] + self[tail]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        cut = [t.replace("\n", " ").split(" ") for t in batch]
+        whole = [bool(self.added and self.added.search(t)) for t in batch]
+        cut = [[] if w else t.replace("\n", " ").split(" ") for w, t in zip(whole, batch)]
         self.learn(set().union(*cut))
-        return [b"".join(map(self.__getitem__, ws)) for ws in cut]
+        return [
+            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w else b"".join(map(self.__getitem__, ws))
+            for w, t, ws in zip(whole, batch, cut)
+        ]
 
 
 def word_ids(path: str) -> WordIds:

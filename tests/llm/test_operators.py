@@ -144,6 +144,7 @@ def test_tokens_of_odd_texts():
     tok = Tokenizer.from_file(packing.default_tokenizer())
     want = [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert packing.WordIds(packing.default_tokenizer()).encode(texts) == want
+    assert np.frombuffer(want[-5], "<u4").tolist() == [320, 49407, 321]
 
 
 def test_decontaminate(spark, docs_of, small, odd):
