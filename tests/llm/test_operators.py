@@ -141,6 +141,7 @@ def test_tokens_of_odd_texts():
     from tokenizers import Tokenizer
 
     texts = ["it's, O'Neil's. a.'s THE. é. x̸. ≮ ,. |", "a\x1cb  x́ ́y\n\n\t q", "İ ß 한국 ÀÉ Σς. ΑΣ", "", " ", "12 3,4. don't!!", "ﬁ Å a b"]
+    texts += ["a <|endoftext|> b", "x<|endoftext|>y.<|startoftext|>\nlast", "<|ENDOFTEXT|> <|endoftext |>", "<|endoftext|>" * 3, "end of<|endoftext|"]
     tok = Tokenizer.from_file(packing.default_tokenizer())
     want = [np.asarray(e.ids, "<u4").tobytes() for e in tok.encode_batch(texts, add_special_tokens=False)]
     assert packing.WordIds(packing.default_tokenizer()).encode(texts) == want
