@@ -48,8 +48,10 @@ class WordIds(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, added)), re.IGNORECASE) if added else None  # the tokenizer folds case
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens that are looked for in folded text cannot be told from a text as it stands")
         self.merge = self.tokenizer.model.tokenize
 
     def learn(self, words: set[str]) -> None:
@@ -75,7 +77,7 @@ class WordIds(dict):
             self[w] = self[stem] + self[tail]
 
     def encode(self, batch: list[str]) -> list[bytes]:
-        whole = [bool(self.added and self.added.search(t)) for t in batch]
+        whole = [any(a in t for a in self.added) for t in batch]
         cut = [[] if w else t.replace("\n", " ").split(" ") for w, t in zip(whole, batch)]
         self.learn(set().union(*cut))
         return [
