@@ -64,7 +64,8 @@ class WordIds(dict):
         for w in new:
             stem = w.rstrip(MARKS)
             stem, tail = (stem, w[len(stem) :]) if stem and stem[-1].isalpha() else (w, "")
-            parts.append((stem.lower() if stem.isascii() else stem, tail))
+            low = stem.lower() if stem.isascii() else stem
+            parts.append((stem if any(a in low for a in self.added) else low, tail))
         lone = {p for pair in parts for p in pair if p not in self}
         whole = {w for w in lone if LATIN.fullmatch(w)}  # one unit of the tokenizer, so its merges can be asked for directly
         for w in whole:
