@@ -60,22 +60,35 @@ class WordIds(dict):
         if len(self) + 2 * len(new) > KNOWN_WORDS:
             self.clear()
             new = list(words)
-        parts = []
+        lone, joined = set(), []
         for w in new:
-            stem = w.rstrip(MARKS)
-            stem, tail = (stem, w[len(stem) :]) if stem and stem[-1].isalpha() else (w, "")
-            low = stem.lower() if stem.isascii() else stem
-            parts.append((stem if any(a in low for a in self.added) else low, tail))
-        lone = {p for pair in parts for p in pair if p not in self}
-        whole = {w for w in lone if LATIN.fullmatch(w)}  # one unit of the tokenizer, so its merges can be asked for directly
-        for w in whole:
-            found = self.merge(w.lower().encode().decode("latin-1").translate(BYTE_CHARS))
-            self[w] = array("I", [t.id for t in found]).tobytes()
-        other = list(lone - whole)
+            stem, tail = w.rstrip(MARKS), ""
+            if stem and stem[-1].isalpha():
+                tail = w[len(stem) :]
+            else:
+                stem = w
+            if stem.isascii():
+                low = stem.lower()
+                # a word that only reads as an added token in lower case stays as it is
+                stem = low if low.isalpha() or not any(a in low for a in self.added) else stem
+            lone.add(stem)
+            if tail:
+                lone.add(tail)
+            if tail or stem != w:
+                joined.append((w, stem, tail))
+        merge, other = self.merge, []
+        for w in lone:
+            if w in self:
+                continue
+            if LATIN.fullmatch(w):  # one unit of the tokenizer, so its merges can be asked for directly
+                low = w if w.isascii() else w.lower().encode().decode("latin-1").translate(BYTE_CHARS)
+                self[w] = array("I", [t.id for t in merge(low)]).tobytes()
+            else:
+                other.append(w)
         for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
             self[w] = array("I", e.ids).tobytes()
-        for w, (stem, tail) in zip(new, parts):
-            self[w] = self[stem] + self[tail]
+        for w, stem, tail in joined:
+            self[w] = self[stem] + self[tail] if tail else self[stem]
 
     def encode(self, batch: list[str]) -> list[bytes]:
         whole = [any(a in t for a in self.added) for t in batch]
