@@ -12,7 +12,7 @@ from .functions.windows import flag_first
 from .operators import billing, calendar, changes, filters, occupancy, quality, reports
 from .plans import admission, bookings, money as money_jobs, pipeline, rooms
 from .plans.common import with_derived_keys
-from .session import shared_dir
+from .session import run_folder
 from .sources.adapter import AS_OF, booking_core, derived_tables, row_count, source, stored_tables
 from .sources import versions
 from .sources.tables import date_spine, literal_relation, scan_tables, write_snapshot
@@ -53,7 +53,7 @@ def _date_spine(spark, sf_dir):
 
 def _scan_tables(spark, sf_dir):
     """Room lines of a snapshot that was written and read back with the declared types."""
-    path = f"{shared_dir(spark)}/snapshots/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/snapshots/{uuid.uuid4().hex}"
     write_snapshot(derived_tables(spark, sf_dir), ["booking_details"], path)
     return scan_tables(spark, path)["booking_details"].select("id", "booking_id", "room_type_id", F.col("agreed_price").cast("decimal(10,2)").alias("agreed_price"), "quantity")
 
@@ -355,7 +355,7 @@ def _append(t):
 
 def _versioned_payments(spark, sf_dir):
     """Invoices of the version that the payments make: only changed rows are handed on, only touched partitions written."""
-    path, t = f"{shared_dir(spark)}/versions/{uuid.uuid4().hex}", stored_tables(spark, sf_dir)
+    path, t = f"{run_folder(spark)}/versions/{uuid.uuid4().hex}", stored_tables(spark, sf_dir)
     base = versions.create_versions(spark, path, t, ["bookings", "invoices"])
     stored = versions.read_version(spark, path, base)
     state = money_jobs.apply_payments(t.replaced(**stored), t["payments"], AS_OF)
@@ -421,7 +421,7 @@ JOBS = {
 
 
 def _stream_dirs(spark, name):
-    base = f"{shared_dir(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    base = f"{run_folder(spark)}/streams/{name}-{uuid.uuid4().hex}"
     return f"{base}/out", f"{base}/checkpoint"
 
 

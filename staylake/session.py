@@ -81,13 +81,26 @@ def shared_dir(spark: SparkSession) -> str:
     return configured or sc.getCheckpointDir()
 
 
+_FOLDERS: dict[str, str] = {}  # application id -> the folder of its own below the shared one
+
+
+def run_folder(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; the JVM deletes it when the application ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _FOLDERS:
+        _FOLDERS[app] = f"{shared_dir(spark)}/staylake-{uuid.uuid4().hex}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return _FOLDERS[app]
+
+
 def cut_lineage(df: DataFrame, *by: str) -> DataFrame:
-    """Write ``df`` once to the shared checkpoint folder and go on from the written table, in folders ``by`` the named columns.
+    """Write ``df`` once to the run's folder below the shared checkpoint folder and go on from the written table, in folders ``by`` the named columns.
 
     Decisions that depend on order are written this way before several outputs are built on
     them: they are made once, and a lost executor only reads them again.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut/{uuid.uuid4().hex}"
+    path = f"{run_folder(spark)}/cut/{uuid.uuid4().hex}"
     df.write.partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -119,3 +119,26 @@ def test_snapshot_round_trip(spark, tmp_path):
     assert sorted(back["bookings"].collect()) == sorted(t["bookings"].collect())
     append_to_snapshot(t["rooms"].limit(1).withColumn("id", F.lit(99)), path, "rooms")
     assert scan_tables(spark, path)["rooms"].count() == 15
+
+
+def test_an_application_leaves_nothing_behind(tmp_path):
+    """Written tables, snapshots and stream folders are below the application's own folder, which is gone after it ends."""
+    import os
+    import subprocess
+    import sys
+
+    home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = f"""
+import os, sys
+sys.path.insert(0, {home!r})
+from pyspark.sql import SparkSession
+import __spark_entry__ as entry
+spark = SparkSession.builder.master("local[2]").config("spark.checkpoint.dir", {str(tmp_path)!r}).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+assert entry.queries()["customer_intake"](spark, "/root/testdata/sf0.001").count()
+assert entry.queries()["scan_tables"](spark, "/root/testdata/sf0.001").count()
+written = [f for at, _, names in os.walk({str(tmp_path)!r}) for f in names if f.endswith(".parquet")]
+assert len(written) > 2
+spark.stop()
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    assert [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")] == []
