@@ -90,7 +90,9 @@ def run_folder(spark: SparkSession) -> str:
     if app not in _FOLDERS:
         _FOLDERS[app] = f"{shared_dir(spark)}/staylake-{uuid.uuid4().hex}"
         path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_FOLDERS[app])
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
+        files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(path)  # only a folder that is there can be marked
+        files.deleteOnExit(path)
     return _FOLDERS[app]
 
 

@@ -126,6 +126,7 @@ def test_an_application_leaves_nothing_behind(tmp_path):
     import os
     import subprocess
     import sys
+    import time
 
     home = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"""
@@ -141,4 +142,8 @@ assert len(written) > 2
 spark.stop()
 """
     subprocess.run([sys.executable, "-c", code], check=True, timeout=300, capture_output=True)
+    for _ in range(60):  # the JVM ends a little after Python
+        if not any(n.startswith("staylake-") for n in os.listdir(tmp_path)):
+            break
+        time.sleep(1)
     assert [f for _, _, names in os.walk(tmp_path) for f in names if f.endswith(".parquet")] == []
