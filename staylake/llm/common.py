@@ -25,7 +25,9 @@ def run_folder(spark: SparkSession) -> str:
         _FOLDERS[app] = path
         jvm = spark.sparkContext._jvm
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+        files = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        files.mkdirs(hadoop)  # only a folder that is there can be marked
+        files.deleteOnExit(hadoop)
         atexit.register(_FOLDERS.pop, app, None)
     return _FOLDERS[app]
 
