@@ -276,9 +276,9 @@ class Register(Walker):
 
 
 def _walk(walker: type[Walker], keys: list[str], carry: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    decision, state_row, n = list(DECISION.values()), list(ROW.values()), len(keys)
-    schema = pa.schema([(c, _ARROW_TYPES[t]) for c, t in _written(keys).items()])
-    no_state, no_decision = (None,) * (n + len(ROW)), (None,) * len(DECISION)
+    n = len(keys)
+    schema = pa.schema([(c, _ARROW_TYPES[t]) for c, t in _written(keys, carry).items()])
+    no_state, no_decision = (None,) * (len(schema) - len(DECISION)), (None,) * len(DECISION)
 
     def emit(rows: list) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -299,19 +299,20 @@ def _walk(walker: type[Walker], keys: list[str], carry: bool) -> Callable[[Itera
                     key, group = row[:n], walker()
                 group.add(row[n:], out)
                 if len(out) + len(left) >= 50_000:
-                    yield emit([d + no_state for d in out] + left)
+                    yield emit([d + no_state for d in out] + left if carry else out)
                     out.clear(), left.clear()
         if group is not None:
             close()
         if out or left:
-            yield emit([d + no_state for d in out] + left)
+            yield emit([d + no_state for d in out] + left if carry else out)
 
     return run
 
 
-def _written(keys: list[str]) -> dict[str, str]:
-    """Columns of a walk's output: a decision, or (state columns, prefixed) one row of state."""
-    return {**DECISION, **{f"s_{k}": "bigint" for k in keys}, **{f"s_{c}": t for c, t in ROW.items()}}
+def _written(keys: list[str], carry: bool) -> dict[str, str]:
+    """Columns of a walk's output: a decision and, if state is handed on, the prefixed columns of one row of it."""
+    state = {**{f"s_{k}": "bigint" for k in keys}, **{f"s_{c}": t for c, t in ROW.items()}}
+    return {**DECISION, **(state if carry else {})}
 
 
 def decide_in_order(
@@ -325,12 +326,11 @@ def decide_in_order(
     reads besides its own asks. However many slices there are, none looks at earlier decisions. Group columns are whole numbers.
     """
     names = [*group, *ROW]
-    written = _written(group)
 
     def walk(part: DataFrame, meets: DataFrame, carry: bool) -> DataFrame:
         rows = part.select(*names).unionByName(meets.select(*names)).withColumns({g: F.col(g).cast("bigint") for g in group})
         lined_up = rows.repartition(*group).sortWithinPartitions(*group, *SORT)
-        return cut_lineage(lined_up.mapInArrow(_walk(walker, group, carry), ", ".join(f"{c} {t}" for c, t in written.items())))
+        return cut_lineage(lined_up.mapInArrow(_walk(walker, group, carry), ", ".join(f"{c} {t}" for c, t in _written(group, carry).items())))
 
     asks = cut_lineage(asks)
     sizes = asks.groupBy(*group).count()
@@ -345,8 +345,8 @@ def decide_in_order(
     ranked = ranked.select(*group, *order, F.floor((F.col("_upto") - 1) / group_rows).cast("int").alias("_slice"))
     sliced = cut_lineage(rows.join(ranked, [*group, *order]), "_slice")
     meets, last = state.join(large, group, "left_semi"), sliced.agg(F.max("_slice")).first()[0]
-    for k in range(last + 1):
-        out = walk(sliced.filter(F.col("_slice") == k), meets, k < last)
+    for k in range(last):
+        out = walk(sliced.filter(F.col("_slice") == k), meets, True)
         decided = decided.unionByName(out.filter("s_kind IS NULL").select(*DECISION))
         meets = out.filter("s_kind IS NOT NULL").select(*[F.col(f"s_{c}").alias(c) for c in names])
-    return decided
+    return decided.unionByName(walk(sliced.filter(F.col("_slice") == last), meets, False))
