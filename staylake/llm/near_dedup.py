@@ -7,25 +7,26 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import stored, texts
+from .common import discard, stored, texts
 from .words import hashes, list_parts, lists, mix, slices, windows
 
 CHUNKS, WIDTH, ERRORS = 6, 6, 2  # a signature has CHUNKS * WIDTH values; so many values of one chunk may differ
 VALUES = CHUNKS * WIDTH
 REACH = CHUNKS * (ERRORS + 1) - 1  # pairs whose signatures differ in at most so many values all meet (pigeonhole)
-FAR = 22  # pairs that meet by chance and differ in more values are not read: at the threshold, under 1e-8 of pairs do
-EAGER = 4  # all open pairs are listed once they are no more than so many for each class
+GAIN = 20  # classes go on meeting pivots while one meeting in so many is a link; the rest is compared by rare differences
 
 _RNG = np.random.default_rng(20240)
 _XOR, _MUL = (_RNG.integers(0, 1 << 63, VALUES, dtype=np.uint64) << np.uint64(1) | np.uint64(1) for _ in range(2))
 
 
-def shingles(words: list[bytes]) -> np.ndarray:
-    """Sorted hashes of the distinct two-word shingles; one word alone is one shingle of its own kind."""
+def shingles(words: list[bytes], size: int = 2) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of ``size`` words; fewer words are one shingle of their own kind."""
     h = hashes(words)
-    return np.unique(windows(h, 2) if len(h) > 1 else mix(h, np.full(len(h), 1, np.uint64)))
+    if len(h) >= size:
+        return np.unique(windows(h, size))
+    return mix(windows(h, max(len(h), 1)), np.full(min(len(h), 1), len(h), np.uint64))
 
 
 def signature(s: np.ndarray) -> np.ndarray:
@@ -36,46 +37,53 @@ def signature(s: np.ndarray) -> np.ndarray:
     return (low ^ (low >> np.uint64(32))).astype(np.uint64) * _MUL >> np.uint64(48)
 
 
-def _describe(batches):
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            sets = [shingles(t.encode().lower().split()) for t in batch["text"].to_pylist()]
-            yield pa.record_batch(
-                [
-                    batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
-                    lists([signature(s).astype(np.int32) if len(s) else np.zeros(0, np.int32) for s in sets], np.int32),
-                ],
-                ["doc_id", "n_shingles", "print", "sig"],
-            )
+def _cut(text: str, size: int) -> np.ndarray:
+    return shingles(text.encode().lower().split(), size)
 
 
-def _linked(percent: int):
+def _describe(size: int):
     def run(batches):
-        last: tuple = (None, None)
         for whole in batches:
-            for batch in slices(whole, "text_b"):
-                a, b = [], []
-                for x, y, tx, ty in zip(*(batch[c].to_pylist() for c in ("a", "b", "text_a", "text_b"))):
-                    if last[0] != ty:
-                        last = ty, shingles(ty.encode().lower().split())
-                    sx, sy = shingles(tx.encode().lower().split()), last[1]
-                    both = len(np.intersect1d(sx, sy, assume_unique=True))
-                    if 100 * both >= percent * (len(sx) + len(sy) - both):
-                        a.append(x), b.append(y)
-                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            for batch in slices(whole, "text"):
+                sets = [_cut(t, size) for t in batch["text"].to_pylist()]
+                yield pa.record_batch(
+                    [
+                        batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets], pa.binary()),
+                        lists([signature(s).astype(np.int32) if len(s) else np.zeros(0, np.int32) for s in sets], np.int32),
+                    ],
+                    ["doc_id", "n_shingles", "print", "sig"],
+                )
 
     return run
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Of (a, b), the pairs whose full sets reach the similarity. Texts travel only for documents in pairs."""
-    asked = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    own = stored(docs.join(asked, "doc_id", "left_semi"))
-    left = own.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    right = own.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return stored(both.mapInArrow(_linked(percent), "a long, b long").distinct())
+def _spell(size: int):
+    def run(batches):
+        for whole in batches:
+            for batch in slices(whole, "text"):
+                sets = [_cut(t, size).view(np.int64) for t in batch["text"].to_pylist()]
+                yield pa.record_batch([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), lists(sets, np.int64)], ["node", "n", "s"])
+
+    return run
+
+
+def _sides(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Pairs (a, b) with the columns of both nodes, suffixed."""
+    for c in ("a", "b"):
+        pairs = pairs.join(own.select(F.col("node").alias(c), *(F.col(x).alias(f"{x}_{c}") for x in own.columns if x != "node")), c)
+    return pairs
+
+
+def _reach(both: Column | str, percent: int) -> Column:
+    """Whether sets of n_a and n_b members, of which ``both`` are in both, reach the similarity."""
+    return F.expr(f"100 * ({both}) >= {percent} * (n_a + n_b - ({both}))")
+
+
+def confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
+    """Of (a, b), the pairs whose full sets in ``own`` (node, n, s) reach the similarity."""
+    met = _sides(pairs.select("a", "b"), own).filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    return stored(met.filter(_reach("size(array_intersect(s_a, s_b))", percent)).select("a", "b").distinct())
 
 
 def _moved(labels: DataFrame | None, step: DataFrame) -> DataFrame:
@@ -135,8 +143,73 @@ def _keys(nodes: DataFrame) -> DataFrame:
     return keys.select("node", F.posexplode("keys").alias("slot", "key")).select("slot", "key", "node")
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80) -> DataFrame:
-    """Link documents whose sets of two-word shingles have Jaccard similarity ``percent`` / 100 or more.
+def _groups(mates: DataFrame) -> DataFrame:
+    """(node, g): the component of each class over shared keys. Linked classes that share a key are of one group."""
+    low = mates.groupBy("slot", "key").agg(F.min("node").alias("a"))
+    edges = stored(mates.join(low, ["slot", "key"]).select("a", F.col("node").alias("b")).distinct())
+    labels = components(edges.filter("a <> b"))
+    nodes = edges.select(F.col("b").alias("node")).distinct()
+    grouped = stored(nodes.join(labels, "node", "left").select("node", F.coalesce("root", "node").alias("g")))
+    discard(edges)
+    return grouped
+
+
+def differences(own: DataFrame, percent: int) -> DataFrame:
+    """Sets (node, g, root, n, s) as differences from what most sets of their group hold.
+
+    Returns node, g, root, n, d (the size of the difference: members that most do not have, and members of most that
+    are missing), e (those that another set of the group shares: held ones, then missing ones, each rarest first) and a = (100 + percent) d - (100 - percent) n.
+    Two sets differ in exactly the members in which their differences differ.
+    """
+    own = own.withColumn("print", F.xxhash64("s"))  # an id may repeat with other texts
+    sizes = own.groupBy("g").agg(F.count(F.lit(1)).alias("members"))
+    common = own.select("g", F.explode("s").alias("x")).groupBy("g", "x").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
+    common = stored(common.join(sizes, "g"))
+    ranked = F.array_sort(F.collect_list(F.struct("w", "x")))
+    # every one of ``most`` is in over half of the sets, so it is at most twice as long as a mean set
+    most = common.filter("2 * df > members").withColumn("w", F.col("members") - F.col("df")).groupBy("g").agg(ranked.alias("most"))
+    # what only one set misses is in no other difference
+    most = stored(most.select("g", F.expr("most.x as most"), F.expr("filter(most, m -> m.w > 1).x as missed")))
+    rare = common.filter("2 * df <= members").select("g", "x", F.col("df").alias("w"))
+    held = own.select("node", "print", "g", F.explode("s").alias("x")).join(rare, ["g", "x"]).groupBy("node", "print").agg(ranked.alias("held"))
+    held = stored(held.select("node", "print", F.expr("held.x as held")))
+    none = F.expr("cast(array() as array<bigint>)")
+    full = own.join(most, "g", "left").join(held, ["node", "print"], "left")
+    full = full.select("node", "g", "root", "n", "s", *(F.coalesce(c, none).alias(c) for c in ("most", "missed", "held")))
+    full = full.withColumn("d", F.expr("n - size(most) + 2 * size(array_except(most, s))"))
+    a = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
+    out = stored(full.select("node", "g", "root", "n", "d", F.expr("concat(held, array_except(missed, s))").alias("e"), a.alias("a")))
+    discard(common, most, held)
+    return out
+
+
+def _last_links(own: DataFrame, percent: int) -> DataFrame:
+    """All links between classes of different roots in one group, as edges that give the same components."""
+    delta = differences(own, percent)
+    # a class near the middle links to every class whose difference is small enough, whatever the two differences hold
+    middle = delta.groupBy("g").agg(F.min(F.struct("a", "node", "root")).alias("m"))
+    close = delta.join(middle, "g").filter("a + m.a <= 0 and root <> m.root").select(F.col("m.node").alias("a"), F.col("node").alias("b"))
+    # all others share a member of their differences, and so one of the rarest of each
+    probe = F.expr(f"cast(floor({100 - percent} * n / {100 + percent}) as int) + 1 - (d - size(e))")
+    reach = F.expr(f"cast(floor({100 - percent} * n / {percent}) as int) + 1 - (d - size(e))")
+    head = delta.withColumn("probe", probe).withColumn("reach", reach).filter("reach > 0")
+    head = stored(head.select("g", "node", "root", "n", "a", "probe", F.posexplode(F.expr("slice(e, 1, reach)")).alias("at", "x")).withColumn("asks", F.expr("at < probe")))
+    cells = head.groupBy("g", "x").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("asks").alias("asked")).filter("low < high and asked")
+    head_ = stored(head.join(cells.select("g", "x"), ["g", "x"], "left_semi"))
+    left, right = (head_.select("g", "x", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "a", "asks"))) for k in ("a", "b"))
+    pairs = left.filter("asks_a").join(right, ["g", "x"]).filter(
+        f"root_a <> root_b and (a_a < a_b or (a_a = a_b and node_a < node_b)) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+    )
+    pairs = stored(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+    met = _sides(pairs, delta.select("node", "n", "d", "e"))
+    links = met.filter(f"{100 + percent} * (d_a + d_b - 2 * size(array_intersect(e_a, e_b))) <= {100 - percent} * (n_a + n_b)")
+    out = stored(links.select("a", "b").unionByName(close).distinct())
+    discard(delta, head, head_, pairs)
+    return out
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 80, size: int = 2) -> DataFrame:
+    """Link documents whose sets of shingles of ``size`` words have Jaccard similarity ``percent`` / 100 or more.
 
     Returns per row: doc_id, n_shingles, component_id (the smallest doc_id reachable over links), kept.
 
@@ -146,75 +219,59 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     all such pairs share a key. At the threshold a pair differs in more values with probability below 1e-4, and still
     meets in all but one case of a million.
 
-    Pairs of one key are not listed: first every class meets the smallest class of its keys; pairs confirmed on the full
-    sets are joined into components; keys whose classes are of one component are done. Keys still open get new pivots,
-    until the open pairs are few, and these are then all confirmed. Components are found in tables, in a number of
-    rounds that grows with the logarithm of the longest chain. Hot keys are aggregated before the shuffle and joined from
-    written tables, where Spark splits them.
+    The classes of a key are not paired. Each class first meets one pivot, the smallest class of a key, of its keys the
+    one it shares most keys with; pairs confirmed on the full sets are joined into components, and what still shares
+    keys with other components meets other pivots as long as that finds links. Then the rest is settled exactly: sets
+    are written as differences from what most sets of their group (classes connected over keys) hold. Linked sets have
+    differences that are both small, which is seen from their sizes, or share one of their rarest members (prefix
+    filter), and only those are compared. Components are found in tables, in a number of rounds that grows with the
+    logarithm of the longest chain.
 
-    Null and empty texts and texts without words have an empty set and are linked with nothing. A text of one word is one
-    shingle. Rows that repeat a doc_id count as one node; each is returned with its own n_shingles, and kept. Rows
+    Null and empty texts and texts without words have an empty set and are linked with nothing. A text of fewer words
+    than ``size`` is one shingle. Rows that repeat a doc_id count as one node; each is returned with its own n_shingles, and kept. Rows
     with a null doc_id stand alone (component_id null, kept). An empty table gives an empty result. Other columns are not
     looked at.
     """
     docs = texts(docs, id_col, text_col)
-    sets = stored(docs.mapInArrow(_describe, "doc_id long, n_shingles long, print binary, sig array<int>"))
+    sets = stored(docs.mapInArrow(_describe(size), "doc_id long, n_shingles long, print binary, sig array<int>"))
     some = sets.filter("print is not null and doc_id is not null")
     classes = stored(some.groupBy("print").agg(F.min("doc_id").alias("node")))
-    nodes = stored(some.join(classes.withColumnRenamed("node", "doc_id"), ["print", "doc_id"]).select(F.col("doc_id").alias("node"), "n_shingles", "sig").distinct())
+    nodes = some.join(classes.withColumnRenamed("node", "doc_id"), ["print", "doc_id"]).select(F.col("doc_id").alias("node"), "sig").distinct()
     # an id that repeats with other texts is one node: it links the classes of its texts
     torn = some.groupBy("doc_id").agg(F.min("print").alias("low"), F.max("print").alias("high")).filter("low < high")
     torn = stored(some.join(torn.select("doc_id"), "doc_id", "left_semi").join(classes, "print").filter("doc_id <> node").select(F.col("node").alias("a"), F.col("doc_id").alias("b")).distinct())
-    keys = _keys(nodes)
-    shared = stored(keys.groupBy("slot", "key").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).filter("pivot < last").drop("last"))
-    mates = stored(keys.join(shared, ["slot", "key"]))
-
-    near = F.expr(f"size(filter(zip_with(sa, sb, (x, y) -> x <> y), d -> d)) <= {FAR}")
-    sized = F.expr(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-
-    def promising(pairs: DataFrame, tried: DataFrame | None) -> DataFrame:
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        for c in ("a", "b"):
-            pairs = pairs.join(nodes.select(F.col("node").alias(c), F.col("n_shingles").alias(f"n{c}"), F.col("sig").alias(f"s{c}")), c)
-        return stored(pairs.filter(sized & near).select("a", "b"))
-
-    pairs = stored(mates.filter("node > pivot").groupBy(F.col("node").alias("b")).agg(F.min("pivot").alias("a")).select("a", "b"))
-    tried = pairs
-    labels = components(confirm(promising(pairs, None), docs, percent))
-    step, idle, most_pairs = 0, False, EAGER * nodes.count()
+    keys = stored(_keys(nodes))
+    shared = keys.groupBy("slot", "key").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low < high")
+    mates = stored(keys.join(shared.select("slot", "key"), ["slot", "key"], "left_semi"))
+    discard(keys)
+    asked = mates.select(F.col("node").alias("doc_id")).distinct()
+    own = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_spell(size), "node long, n long, s array<long>"))
+    rooted, labels, step = mates.withColumn("root", F.col("node")), None, 0
     while True:
-        if labels is None:
-            rooted = mates.select("slot", "key", "node", F.col("node").alias("root"))
-        else:
-            rooted = mates.select("slot", "key", "node").join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        rooted = stored(rooted)
-        order = F.struct(F.xxhash64("node", F.lit(step)).alias("h"), "node", "root")
-        members = rooted.groupBy("slot", "key", "root").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("m"))
-        buckets = stored(members.groupBy("slot", "key").agg(
-            F.count(F.lit(1)).alias("roots"), F.sum("n").alias("all"), F.sum(F.col("n") * F.col("n")).alias("same"), F.min("m").alias("m")
-        ).filter("roots > 1").select(
-            "slot", "key", F.col("m.node").alias("pivot"), F.col("m.root").alias("pivot_root"), ((F.col("all") * F.col("all") - F.col("same")) / 2).alias("pairs")
-        ))
-        mates = stored(rooted.join(buckets.drop("pairs"), ["slot", "key"]))
-        open_pairs = buckets.agg(F.sum("pairs")).first()[0]
-        if not open_pairs:
-            break
-        last = idle or open_pairs <= most_pairs
-        if last:
-            a, b = (mates.select("slot", "key", F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in ("a", "b"))
-            found = a.join(b, ["slot", "key"]).filter("a < b and ra <> rb")
-        else:
-            found = mates.filter("root <> pivot_root").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b"))
-        pairs = stored(found.select("a", "b").distinct())
-        links = confirm(promising(pairs, tried), docs, percent)
-        if last:
-            labels = components(links, labels)
-            break
-        tried = stored(tried.unionByName(pairs).distinct())
-        idle = links.isEmpty()
+        order = F.struct((F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))).alias("h"), "node", "root")
+        pivots = rooted.groupBy("slot", "key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.min(order).alias("m")).filter("low < high")
+        met = stored(rooted.join(pivots.select("slot", "key", F.col("m.node").alias("pivot"), F.col("m.root").alias("pivot_root")), ["slot", "key"]))
+        often = met.filter("root <> pivot_root").groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("n"))
+        pairs = stored(often.groupBy("node").agg(F.max(F.struct("n", (-F.col("pivot")).alias("p"))).alias("m")).select(F.col("node").alias("b"), (-F.col("m.p")).alias("a")))
+        links = confirm(pairs, own, percent)
         labels = components(links, labels)
+        tried, found = pairs.count(), links.count()
+        discard(mates, pairs, links)
+        mates = met.select("slot", "key", "node")
+        mates._stored_at = met._stored_at
+        rooted = mates if labels is None else mates.join(labels, "node", "left")
+        rooted = rooted.withColumn("root", F.coalesce("root", "node") if labels is not None else F.col("node"))
+        if not tried or GAIN * found < tried:
+            break
         step += 1
+    still = rooted.groupBy("slot", "key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
+    rest = stored(rooted.join(still.select("slot", "key"), ["slot", "key"], "left_semi"))
+    if not rest.isEmpty():
+        groups = _groups(rest).join(rest.select("node", "root").distinct(), "node")
+        left = stored(own.join(groups, "node"))
+        labels = components(_last_links(left, percent), labels)
+        discard(left)
+    discard(mates, rest, own)
 
     if not torn.isEmpty():
         labels = components(torn, labels)

@@ -50,11 +50,11 @@ def substrings(rows: list[tuple], size: int = 13) -> dict:
     return out
 
 
-def near(rows: list[tuple]) -> dict:
+def near(rows: list[tuple], size: int = 2) -> dict:
     sets = {}
     for d, t in rows:
         w = words(lower(t or ""))
-        sets[d] = set(zip(w, w[1:])) if len(w) > 1 else {tuple(w)} if w else set()
+        sets[d] = set(zip(*(w[i:] for i in range(size)))) if len(w) >= size else {tuple(w)} if w else set()
     up = {d: d for d in sets}
 
     def root(x):

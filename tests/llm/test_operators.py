@@ -73,6 +73,24 @@ def test_near_dedup_large_groups(docs_of):
     assert answer(near_dedup.near_dedup(docs_of(rows)), "n_shingles", "component_id", "kept") == brute.near(rows)
 
 
+def test_near_dedup_by_differences(docs_of):
+    """Edits of one source that are mostly no links of each other, with links and copies among them, in rows of shingles of two and five words."""
+    rng = np.random.default_rng(11)
+    words = [f"v{i}" for i in range(200)]
+    rows = [(5000, " ".join(words))]
+    for d in range(300):
+        w = list(words)
+        for i in rng.choice(200, 9, replace=False):
+            w[i] = f"e{d}_{i}"
+        rows.append((d, " ".join(w)))
+        if d % 10 == 0:  # a text near this one only, and an exact copy of it
+            w[(d * 7) % 200] = f"n{d}"
+            rows += [(1000 + d, " ".join(w)), (2000 + d, " ".join(w))]
+    rows += [(6000 + d, " ".join(f"u{d}_{i % 150}" for i in range(150 + d))) for d in range(20)]
+    for size in (2, 5):
+        assert answer(near_dedup.near_dedup(docs_of(rows), size=size), "n_shingles", "component_id", "kept") == brute.near(rows, size)
+
+
 def test_signature_keys():
     """Signatures that differ in at most REACH values share a key, wherever the differences are."""
     import pyarrow as pa
