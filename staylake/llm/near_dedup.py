@@ -15,6 +15,7 @@ from .words import hashes, list_parts, lists, mix, slices, windows
 CHUNKS, WIDTH, ERRORS = 6, 6, 2  # a signature has CHUNKS * WIDTH values; so many values of one chunk may differ
 VALUES = CHUNKS * WIDTH
 REACH = CHUNKS * (ERRORS + 1) - 1  # pairs whose signatures differ in at most so many values all meet (pigeonhole)
+PARITY = 8  # longs of a set's parity sketch
 GAIN = 20  # classes go on meeting pivots while one meeting in so many is a link; the rest is compared by rare differences
 
 _RNG = np.random.default_rng(20240)
@@ -58,12 +59,22 @@ def _describe(size: int):
     return run
 
 
+def parity(s: np.ndarray) -> np.ndarray:
+    """One bit per bucket of hashes: whether it holds an odd number of members.
+
+    Two sketches differ in at most as many bits as the sets have members of their own.
+    """
+    odd = np.bincount((s >> np.uint64(64 - (PARITY * 64 - 1).bit_length())).astype(np.int64), minlength=PARITY * 64) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _spell(size: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                sets = [_cut(t, size).view(np.int64) for t in batch["text"].to_pylist()]
-                yield pa.record_batch([batch["doc_id"], pa.array([len(s) for s in sets], pa.int64()), lists(sets, np.int64)], ["node", "n", "s"])
+                sets = [_cut(t, size) for t in batch["text"].to_pylist()]
+                columns = [pa.array([len(s) for s in sets], pa.int64()), lists([s.view(np.int64) for s in sets], np.int64), lists([parity(s) for s in sets], np.int64)]
+                yield pa.record_batch([batch["doc_id"], *columns], ["node", "n", "s", "odd"])
 
     return run
 
@@ -82,7 +93,7 @@ def _reach(both: Column | str, percent: int) -> Column:
 
 def confirm(pairs: DataFrame, own: DataFrame, percent: int) -> DataFrame:
     """Of (a, b), the pairs whose full sets in ``own`` (node, n, s) reach the similarity."""
-    met = _sides(pairs.select("a", "b"), own).filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
+    met = _sides(pairs.select("a", "b"), own.select("node", "n", "s")).filter(f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)")
     return stored(met.filter(_reach("size(array_intersect(s_a, s_b))", percent)).select("a", "b").distinct())
 
 
@@ -155,9 +166,9 @@ def _groups(mates: DataFrame) -> DataFrame:
 
 
 def differences(own: DataFrame, percent: int) -> DataFrame:
-    """Sets (node, g, root, n, s) as differences from what most sets of their group hold.
+    """Sets (node, g, root, n, s, odd) as differences from what most sets of their group hold.
 
-    Returns node, g, root, n, d (the size of the difference: members that most do not have, and members of most that
+    Returns node, g, root, n, odd, d (the size of the difference: members that most do not have, and members of most that
     are missing), e (those that another set of the group shares: held ones, then missing ones, each rarest first) and a = (100 + percent) d - (100 - percent) n.
     Two sets differ in exactly the members in which their differences differ.
     """
@@ -175,10 +186,10 @@ def differences(own: DataFrame, percent: int) -> DataFrame:
     held = stored(held.select("node", "print", F.expr("held.x as held")))
     none = F.expr("cast(array() as array<bigint>)")
     full = own.join(most, "g", "left").join(held, ["node", "print"], "left")
-    full = full.select("node", "g", "root", "n", "s", *(F.coalesce(c, none).alias(c) for c in ("most", "missed", "held")))
+    full = full.select("node", "g", "root", "n", "s", "odd", *(F.coalesce(c, none).alias(c) for c in ("most", "missed", "held")))
     full = full.withColumn("d", F.expr("n - size(most) + 2 * size(array_except(most, s))"))
     a = (100 + percent) * F.col("d") - (100 - percent) * F.col("n")
-    out = stored(full.select("node", "g", "root", "n", "d", F.expr("concat(held, array_except(missed, s))").alias("e"), a.alias("a")))
+    out = stored(full.select("node", "g", "root", "n", "odd", "d", F.expr("concat(held, array_except(missed, s))").alias("e"), a.alias("a")))
     discard(common, most, held)
     return out
 
@@ -193,12 +204,16 @@ def _last_links(own: DataFrame, percent: int) -> DataFrame:
     probe = F.expr(f"cast(floor({100 - percent} * n / {100 + percent}) as int) + 1 - (d - size(e))")
     reach = F.expr(f"cast(floor({100 - percent} * n / {percent}) as int) + 1 - (d - size(e))")
     head = delta.withColumn("probe", probe).withColumn("reach", reach).filter("reach > 0")
-    head = stored(head.select("g", "node", "root", "n", "a", "probe", F.posexplode(F.expr("slice(e, 1, reach)")).alias("at", "x")).withColumn("asks", F.expr("at < probe")))
+    head = head.select("g", "node", "root", "n", "a", "odd", "probe", F.size("e").alias("es"), F.posexplode(F.expr("slice(e, 1, reach)")).alias("at", "x"))
+    head = stored(head.withColumn("asks", F.expr("at < probe")).withColumn("more", F.expr("es - at")).drop("probe", "es", "at"))
     cells = head.groupBy("g", "x").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.max("asks").alias("asked")).filter("low < high and asked")
     head_ = stored(head.join(cells.select("g", "x"), ["g", "x"], "left_semi"))
-    left, right = (head_.select("g", "x", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "a", "asks"))) for k in ("a", "b"))
+    left, right = (head_.select("g", "x", *(F.col(c).alias(f"{c}_{k}") for c in ("node", "root", "n", "a", "odd", "asks", "more"))) for k in ("a", "b"))
+    # exact bounds: sizes, members left from the first shared one on, bits in which the sketches differ
+    bits = " + ".join(f"bit_count(odd_a[{i}] ^ odd_b[{i}])" for i in range(PARITY))
     pairs = left.filter("asks_a").join(right, ["g", "x"]).filter(
         f"root_a <> root_b and (a_a < a_b or (a_a = a_b and node_a < node_b)) and 100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
+        f" and a_a + a_b <= {2 * (100 + percent)} * least(more_a, more_b) and {100 + percent} * ({bits}) <= {100 - percent} * (n_a + n_b)"
     )
     pairs = stored(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
     met = _sides(pairs, delta.select("node", "n", "d", "e"))
@@ -224,7 +239,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     keys with other components meets other pivots as long as that finds links. Then the rest is settled exactly: sets
     are written as differences from what most sets of their group (classes connected over keys) hold. Linked sets have
     differences that are both small, which is seen from their sizes, or share one of their rarest members (prefix
-    filter), and only those are compared. Components are found in tables, in a number of rounds that grows with the
+    filter) and have parity sketches that differ in few bits; only those are compared. Components are found in tables, in a number of rounds that grows with the
     logarithm of the longest chain.
 
     Null and empty texts and texts without words have an empty set and are linked with nothing. A text of fewer words
@@ -245,7 +260,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     mates = stored(keys.join(shared.select("slot", "key"), ["slot", "key"], "left_semi"))
     discard(keys)
     asked = mates.select(F.col("node").alias("doc_id")).distinct()
-    own = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_spell(size), "node long, n long, s array<long>"))
+    own = stored(docs.join(asked, "doc_id", "left_semi").mapInArrow(_spell(size), "node long, n long, s array<long>, odd array<long>"))
     rooted, labels, step = mates.withColumn("root", F.col("node")), None, 0
     while True:
         order = F.struct((F.col("node") if step == 0 else F.xxhash64("node", F.lit(step))).alias("h"), "node", "root")
