@@ -37,8 +37,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies."""
-    return _without(docs, near_dedup.near_dedup(docs).filter("not kept"))
+    """One document of each component of near copies: shingles of five words, similarity 0.8."""
+    return _without(docs, near_dedup.near_dedup(docs, size=5).filter("not kept"))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
