@@ -91,6 +91,25 @@ def test_near_dedup_by_differences(docs_of):
         assert answer(near_dedup.near_dedup(docs_of(rows), size=size), "n_shingles", "component_id", "kept") == brute.near(rows, size)
 
 
+def test_parity_bounds_difference():
+    """Sketches differ in at most as many bits as the sets differ in members, and in nearly as many where that is few."""
+    rng = np.random.default_rng(3)
+    for own in (0, 1, 5, 40, 3000):
+        both, a, b = (rng.integers(0, 1 << 64, n, dtype=np.uint64) for n in (200, own, own))
+        x, y = (near_dedup.parity(np.unique(np.concatenate([both, z]))).view(np.uint64) for z in (a, b))
+        bits = int(np.bitwise_count(x ^ y).sum())
+        assert len(x) == near_dedup.PARITY and bits <= 2 * own and (own > 5 or bits >= 2 * own - 4)
+
+
+def test_shingle_sizes():
+    cut = lambda text, size: set(near_dedup.shingles(text.encode().split(), size).tolist())
+    assert cut("", 2) == cut("", 5) == set()
+    for size in (2, 5):
+        assert len(cut("a b c d e f", size)) == 7 - size and len(cut("a a a a a a", size)) == 1
+        assert len({*cut("a", size), *cut("b", size)}) == 2
+    assert len(cut("a b c", 5)) == 1 and cut("a b c", 5) != cut("a b d", 5) and not cut("a b c d", 5) & cut("a b c d e", 5)
+
+
 def test_signature_keys():
     """Signatures that differ in at most REACH values share a key, wherever the differences are."""
     import pyarrow as pa

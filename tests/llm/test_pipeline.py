@@ -50,7 +50,7 @@ def test_stages(spark, odd_docs):
     assert rows_of(docs) == want and 5004 in want and len(want) < len(have)
 
     have, docs = want, apply("near dedup")
-    kept = brute.near([(d, t) for d, t in have.items() if d is not None])
+    kept = brute.near([(d, t) for d, t in have.items() if d is not None], 5)
     want = {d: t for d, t in have.items() if d is None or kept[d][2]}
     assert rows_of(docs) == want and 5005 not in want and None in want
 
