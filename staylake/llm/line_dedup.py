@@ -21,7 +21,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     A null text counts as empty; an empty text has one empty line. Texts with fewer lines than the window stay as
     they are. Rows that repeat a doc_id count as one document for first occurrences, and each loses the lines that any
-    of them loses. A null doc_id sorts before all others; such rows are left whole. Other columns are not looked at.
+    of them loses. A null doc_id sorts before all others; such rows are left whole. An empty table gives an empty
+    result. Other columns are not looked at.
     """
     own = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.split(F.coalesce(F.col(text_col), F.lit("")), "\n", -1).alias("_lines"))
     starts = F.expr(f"if(size(_lines) >= {window}, sequence(0, size(_lines) - {window}), array())")
