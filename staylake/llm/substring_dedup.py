@@ -6,10 +6,11 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, stored, texts
-from .words import hashes, list_parts, lists, slices, windows
+from .words import hashes, list_parts, lists, mix, slices, windows
 
 MIN_WORDS = 13
 
@@ -60,7 +61,8 @@ def _second_pass(min_words: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[list] = [[] for _ in range(7)]
+                out: list[list] = [[] for _ in range(3)]
+                row = [xxhash.xxh64_intdigest(text.encode()) for text in batch["text"].to_pylist()]  # rows may repeat a doc_id
                 for text, repeated in zip(batch["text"].to_pylist(), list_parts(batch["anchors"])):
                     words = hashes(text.encode().split())
                     h = windows(words, half)
@@ -70,19 +72,29 @@ def _second_pass(min_words: int):
                     at = np.flatnonzero(np.isin(low, repeated.view(np.uint64)))
                     full = windows(h, min_words, half)[at]
                     other = windows(words[::-1], min_words)[::-1][at]  # an independent hash: the words in reverse
-                    rows, level = ([], [], []), 2 * min_words
-                    longer = windows(h, min_words, half)
-                    while level <= len(words) and len(at):
-                        longer = windows(longer, level, level // 2)
-                        marked = np.flatnonzero(minimizers(h, level)[: len(longer)])
-                        rows[0].append(np.full(len(marked), level)), rows[1].append(marked), rows[2].append(longer[marked].view(np.int64))
-                        level *= 2
-                    grown = [np.concatenate(r) if r else np.zeros(0, np.int64) for r in rows]
-                    for column, value in zip(out, (at, full.view(np.int64), (other >> np.uint64(33)).astype(np.int32), *grown)):
+                    for column, value in zip(out, (at, full.view(np.int64), (other >> np.uint64(33)).astype(np.int32))):
                         column.append(value)
-                kinds = (np.int32, np.int64, np.int32, np.int32, np.int32, np.int64)
-                names = ["at", "h1", "h2", "level", "level_at", "level_h"]
-                yield pa.record_batch([batch["doc_id"], *[lists(c, k) for c, k in zip(out, kinds)]], ["doc_id", *names])
+                kinds = (np.int32, np.int64, np.int32)
+                columns = [pa.array(np.array(row, np.uint64).view(np.int64)), *[lists(c, k) for c, k in zip(out, kinds)]]
+                yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", "row", "at", "h1", "h2"])
+
+    return run
+
+
+def _doubled(size: int):
+    """From the places and hashes of a text's repeated windows of ``size`` words, those of all windows of twice the length made of two of them."""
+
+    def run(batches):
+        for batch in batches:
+            places, found = [], []
+            for at, h in zip(list_parts(batch["at"]), list_parts(batch["h"])):
+                at, first = np.unique(at, return_index=True)
+                h = h[first].view(np.uint64)
+                to = np.searchsorted(at, at + size)
+                both = to < len(at)
+                both[both] = at[to[both]] == at[both] + size
+                places.append(at[both]), found.append(mix(h[both], h[to[both]]).view(np.int64))
+            yield pa.record_batch([batch["doc_id"], batch["row"], lists(places, np.int32), lists(found, np.int64)], ["doc_id", "row", "at", "h"])
 
     return run
 
@@ -123,9 +135,8 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Level by level: windows of half the length come first, of which only content-chosen anchors are compared (the
     smallest hash of each full window, so equal windows bring equal anchors and nothing is lost). Full windows around
     repeated anchors are hashed next (96 bits); those that repeat decide what is removed. Windows repeated at one
-    length are then extended to twice the length, again at content-chosen starts, until none survive: longest_repeat is
-    the longest such level with a copy in another document (0: none); a repeated stretch of 2n words or more has a start
-    for length n.
+    length are then joined to windows of twice the length, wherever two of them follow each other, until none survive:
+    longest_repeat is the longest such level with a copy in another document (0: none). Every place is looked at.
 
     Each level counts by an aggregate with map-side combine and returns to the documents by a join on written tables,
     which Spark splits on a hot window; no group is gathered.
@@ -141,31 +152,38 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     repeated = stored(_repeated(single, "h").select("h"))
     own = stored(single.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("h").alias("anchors")))
     discard(anchors, repeated)
-    names = "at array<int>, h1 array<long>, h2 array<int>, level array<int>, level_at array<int>, level_h array<long>"
-    hashed = stored(known.join(own, "doc_id").mapInArrow(_second_pass(min_words), f"doc_id long, {names}"))
+    hashed = stored(known.join(own, "doc_id").mapInArrow(_second_pass(min_words), "doc_id long, row long, at array<int>, h1 array<long>, h2 array<int>"))
     discard(own)
-    levels = stored(
-        hashed.select("doc_id", F.explode(F.arrays_zip("level", "level_at", "level_h")).alias("w")).select("doc_id", "w.*")
-    )
-    full = hashed.select("doc_id", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "w.*")
+    full = hashed.select("doc_id", "row", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "row", "w.*")
     first = stored(_repeated(full, "h1", "h2"))
     later = F.when(F.col("doc_id") > F.col("first"), F.col("at"))  # null, and so not collected, where the window starts first
-    base = stored(full.join(first, ["h1", "h2"]).groupBy("doc_id").agg(F.collect_set(later).alias("at"), F.lit(min_words).alias("longest")))
+    base = stored(
+        full.join(first, ["h1", "h2"]).groupBy("doc_id", "row")
+        .agg(F.collect_set(later).alias("marks"), F.collect_list(F.struct("at", F.col("h1").alias("h"))).alias("w"))
+        .select("doc_id", "row", "marks", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+    )
     discard(hashed, first)
 
-    alive, longest, level = None, [base.select("doc_id", "longest")], 2 * min_words
+    alive, longest, level = base, [base.select("doc_id", F.lit(min_words).alias("longest"))], min_words
     while True:
-        rows = levels.filter(F.col("level") == level)
-        if alive is not None:
-            rows = rows.join(alive, ["doc_id", "level_at"], "left_semi")
-        again = stored(_repeated(rows, "level_h").select("level_h"))
+        pairs = alive.select("doc_id", "row", "at", "h").mapInArrow(_doubled(level), "doc_id long, row long, at array<int>, h array<long>")
+        pairs = stored(pairs.filter(F.size("at") > 0))
+        rows = pairs.select("doc_id", "row", F.explode(F.arrays_zip("at", "h")).alias("w")).select("doc_id", "row", "w.*")
+        again = stored(_repeated(rows, "h").select("h"))
+        if alive is not base:
+            discard(alive)
         if again.isEmpty():
             break
-        alive = stored(rows.join(again, "level_h").select("doc_id", "level_at").distinct())
-        longest.append(alive.groupBy("doc_id").agg(F.lit(level).alias("longest")))
         level *= 2
+        alive = stored(
+            rows.join(again, "h").groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "h")).alias("w"))
+            .select("doc_id", "row", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
+        )
+        discard(pairs, again)
+        longest.append(stored(alive.select("doc_id", F.lit(level).alias("longest"))))
     most = reduce(DataFrame.unionByName, longest).groupBy("doc_id").agg(F.max("longest").cast("bigint").alias("longest"))
-    marks = stored(base.drop("longest").join(most, "doc_id", "full"))
+    marks = stored(base.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("at")).join(most, "doc_id", "full"))
+    discard(base)
     return docs.join(marks, "doc_id", "left").select(
         "doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("longest", F.lit(0).cast("bigint")).alias("longest")
     ).mapInArrow(_removal(min_words), "doc_id long, n_words long, n_removed long, kept_text string, longest_repeat long")

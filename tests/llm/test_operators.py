@@ -261,6 +261,18 @@ def test_line_dedup(docs_of, small, odd):
         assert {d: (n, k, hashlib.sha256(t.encode()).hexdigest()) for d, (n, k, t) in got.items()} == brute.lines(rows)
 
 
+def test_longest_repeat_looks_at_every_place(docs_of):
+    """Stretches shared by two texts in other surroundings, each with the level of its length; rows of one doc_id do not mix."""
+    sizes = [13, 25, 26, 27, 30, 40, 51, 52, 60, 103, 104]
+    text = lambda who, i, n: " ".join([*(f"{who}{i}a{k}" for k in range(20 + i)), *(f"s{i}x{k}" for k in range(n)), *(f"{who}{i}z{k}" for k in range(31))])
+    rows = [(2 * i + side, text("lr"[side], i, n)) for i, n in enumerate(sizes * 3) for side in (0, 1)]
+    halves = [" ".join(f"{c}{k}" for k in range(13)) for c in "pqrs"]
+    rows += [(900, f"{halves[0]} {halves[1]}"), (900, f"{halves[2]} {halves[3]}"), (901, f"{halves[0]} {halves[3]}")]
+    got = {(r[0], r[1]) for r in substring_dedup.substring_dedup(docs_of(rows)).select("doc_id", "longest_repeat").collect()}
+    want = {(2 * i + side, max(m for m in (13, 26, 52, 104) if m <= n)) for i, n in enumerate(sizes * 3) for side in (0, 1)}
+    assert got == want | {(900, 13), (901, 13)}
+
+
 def test_pii(spark, docs_of, small, odd):
     models = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     for df, rows in ((QUERIES["op8_pii"](spark, SF), small), (pii.find_pii(docs_of(odd), models), odd)):
