@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import texts
+from ..functions.windows import running
+from .common import discard, stored, texts
 from .words import slices
 
 KINDS = ("email", "ip", "card", "phone")
@@ -31,9 +33,8 @@ CUES = {
     "email": ("mail", "email", "contact", "write", "address"), "ip": ("ip", "host", "server", "address", "from", "ping"),
     "card": ("card", "visa", "mastercard", "amex", "credit", "account"), "phone": ("phone", "tel", "call", "mobile", "fax", "cell", "dial"),
 }
-FIT_DOCS = 2_000  # documents that the trees are fitted on, drawn by a hash of the id
-FIT_CANDIDATES = 40_000  # and candidates of these
 ROUNDS, DEPTH, BINS, SHRINK = 40, 3, 32, 0.2
+UNIT = 1 << 24  # gradients are summed as whole numbers of 1 / UNIT, so that sums do not depend on the order of rows
 PRECISION, LEAST = 0.98, 20  # a threshold must reach this precision on rows kept from the fit, over so many of them
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -116,55 +117,89 @@ def describe(text: str, kind: int, start: int, end: int) -> list[float]:
 
 
 class Boosted:
-    """Gradient-boosted trees of a fixed depth for a yes-or-no label, over binned features."""
+    """Gradient-boosted trees of a fixed depth for a yes-or-no label, over binned features.
+
+    Trees grow by levels: ``sums`` gives the gradient sums of some rows, ``grow`` takes those of all rows.
+    """
 
     def __init__(self, x: np.ndarray, y: np.ndarray):
-        self.edges = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
+        self.begin([np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1]) for c in x.T], y.mean())
         b = self.binned(x)
-        share = np.clip(y.mean(), 1e-3, 1 - 1e-3)
+        while not self.full():
+            self.grow(*self.sums(b, np.ones(len(y)), y))
+
+    @classmethod
+    def begun(cls, quantiles: list, share: float) -> "Boosted":
+        """No tree yet; ``quantiles`` of each feature and the share of right rows."""
+        self = cls.__new__(cls)
+        self.begin(quantiles, share)
+        return self
+
+    def begin(self, quantiles: list, share: float) -> None:
+        self.edges = [np.unique(q) for q in quantiles]
+        share = np.clip(share, 1e-3, 1 - 1e-3)
         self.start, self.trees = float(np.log(share / (1 - share))), []
-        z = np.full(len(y), self.start)
-        for _ in range(ROUNDS):
-            p = 1 / (1 + np.exp(-z))
-            tree = self._grow(b, p - y, p * (1 - p))
-            self.trees.append(tree)
-            z += self._apply(tree, b)
+        self._plant()
+
+    def full(self) -> bool:
+        return len(self.trees) == ROUNDS
+
+    def _plant(self) -> None:
+        inner = (1 << DEPTH) - 1
+        self.level, self.feature, self.cut = 0, np.zeros(inner, int), np.full(inner, BINS, int)
 
     def binned(self, x: np.ndarray) -> np.ndarray:
         return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(self.edges, x.T)], axis=1)
 
-    @staticmethod
-    def _grow(b: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple:
-        inner = (1 << DEPTH) - 1
-        feature, cut, node = np.zeros(inner, int), np.full(inner, BINS, int), np.zeros(len(b), int)
-        for level in range(DEPTH):
-            first, n = (1 << level) - 1, 1 << level
-            best = np.zeros(n)
-            at = node - first
-            total_g, total_h = np.bincount(at, g, n), np.bincount(at, h, n)
-            for f in range(b.shape[1]):
-                code = at * (BINS + 1) + b[:, f]
-                left_g = np.bincount(code, g, n * (BINS + 1)).reshape(n, -1).cumsum(axis=1)
-                left_h = np.bincount(code, h, n * (BINS + 1)).reshape(n, -1).cumsum(axis=1)
-                right_g, right_h = total_g[:, None] - left_g, total_h[:, None] - left_h
-                gain = left_g**2 / (left_h + 1) + right_g**2 / (right_h + 1) - (total_g**2 / (total_h + 1))[:, None]
-                gain[(left_h < 1) | (right_h < 1)] = 0
-                c = gain.argmax(axis=1)
-                better = gain[np.arange(n), c] > best + 1e-9
-                best = np.where(better, gain[np.arange(n), c], best)
-                feature[first : first + n][better], cut[first : first + n][better] = f, c[better]
-            node = 2 * node + 1 + (b[np.arange(len(b)), feature[node]] > cut[node])
-        leaf = node - inner
-        value = -SHRINK * np.bincount(leaf, g, inner + 1) / (np.bincount(leaf, h, inner + 1) + 1)
-        return feature, cut, value
+    def sums(self, b: np.ndarray, n: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and second derivatives, summed per node of the current level, feature and bin, over rows that stand for ``n`` examples, ``right`` of them positive."""
+        z = np.full(len(b), self.start)
+        for tree in self.trees:
+            z += self._apply(tree, b)
+        p = 1 / (1 + np.exp(-z))
+        g, h = np.rint(UNIT * (n * p - right)), np.rint(UNIT * n * p * (1 - p))
+        at, nodes = self._node(self.feature, self.cut, b, self.level) - (1 << self.level) + 1, 1 << self.level
+        found = np.zeros((2, nodes, b.shape[1], BINS + 1), np.int64)
+        for f in range(b.shape[1]):
+            code = at * (BINS + 1) + b[:, f]
+            for i, w in enumerate((g, h)):
+                found[i, :, f] = np.bincount(code, w, nodes * (BINS + 1)).reshape(nodes, -1)
+        return found[0], found[1]
+
+    def grow(self, g: np.ndarray, h: np.ndarray) -> None:
+        """Split the nodes of the current level by the sums over all rows; after the last level the tree is done."""
+        left_g, left_h = g.cumsum(axis=2) / UNIT, h.cumsum(axis=2) / UNIT
+        total_g, total_h = left_g[:, :1, -1:], left_h[:, :1, -1:]
+        right_g, right_h = total_g - left_g, total_h - left_h
+        gain = left_g**2 / (left_h + 1) + right_g**2 / (right_h + 1) - total_g**2 / (total_h + 1)
+        gain[(left_h < 1) | (right_h < 1)] = 0
+        first, n = (1 << self.level) - 1, 1 << self.level
+        leaves = []
+        for node in range(n):
+            f, c = 0, BINS
+            for k in range(gain.shape[1]):
+                j = int(gain[node, k].argmax())
+                if gain[node, k, j] > (gain[node, f, c] if c < BINS else 0) + 1e-9:
+                    f, c = k, j
+            self.feature[first + node], self.cut[first + node] = f, c
+            for side_g, side_h in ((left_g, left_h), (right_g, right_h)):
+                leaves.append(-SHRINK * side_g[node, f, c] / (side_h[node, f, c] + 1))
+        self.level += 1
+        if self.level == DEPTH:
+            self.trees.append((self.feature, self.cut, np.array(leaves)))
+            self._plant()
 
     @staticmethod
-    def _apply(tree: tuple, b: np.ndarray) -> np.ndarray:
+    def _node(feature: np.ndarray, cut: np.ndarray, b: np.ndarray, levels: int) -> np.ndarray:
+        node, rows = np.zeros(len(b), int), np.arange(len(b))
+        for _ in range(levels):
+            node = 2 * node + 1 + (b[rows, feature[node]] > cut[node])
+        return node
+
+    @classmethod
+    def _apply(cls, tree: tuple, b: np.ndarray) -> np.ndarray:
         feature, cut, value = tree
-        node = np.zeros(len(b), int)
-        for _ in range(DEPTH):
-            node = 2 * node + 1 + (b[np.arange(len(b)), feature[node]] > cut[node])
-        return value[node - len(feature)]
+        return value[cls._node(feature, cut, b, DEPTH) - len(feature)]
 
     def predict(self, x: np.ndarray) -> np.ndarray:
         b = self.binned(x)
@@ -201,47 +236,135 @@ class Taken:
         self.starts.insert(i, start), self.ends.insert(i, end)
 
 
-def _labelled(batches):
+def _examples(batches):
+    """Candidates of the texts by kind, half of the documents and features: how many there are and how many a fixed pattern matches."""
     for whole in batches:
         for batch in slices(whole, "text"):
-            kinds, labels, rows, odd = [], [], [], []
-            for h, text in zip(batch["h"].to_pylist(), batch["text"].to_pylist()):
+            every, right = Counter(), Counter()
+            for half, text in zip(batch["half"].to_pylist(), batch["text"].to_pylist()):
                 sure = base_spans(text)
                 by_kind = [[(s, e) for s, k, e in sure if k == n] for n in range(len(KINDS))]
                 for start, kind, end in candidates(text):
                     own = by_kind[kind]
                     i = bisect_left(own, (end, 0))
                     near = own[max(i - 2, 0) : i]
-                    kinds.append(kind)
-                    labels.append(any(min(e, end) - max(s, start) >= 0.8 * (max(e, end) - min(s, start)) for s, e in near))
-                    rows.append(describe(text, kind, start, end))
-                    odd.append(h)
-            yield pa.record_batch(
-                [pa.array(odd, pa.int64()), pa.array(kinds, pa.int32()), pa.array(labels, pa.bool_()), pa.array(rows, pa.list_(pa.float64()))], ["h", "kind", "label", "x"]
-            )
+                    x = kind, half, np.array(describe(text, kind, start, end), "<f8").tobytes()
+                    every[x] += 1
+                    right[x] += any(min(e, end) - max(s, start) >= 0.8 * (max(e, end) - min(s, start)) for s, e in near)
+            kinds, halves, rows = zip(*every) if every else ((), (), ())
+            columns = [(kinds, pa.int32()), (halves, pa.bool_()), (rows, pa.binary()), (every.values(), pa.int64()), ([right[x] for x in every], pa.int64())]
+            yield pa.record_batch([pa.array(list(c), t) for c, t in columns], ["kind", "half", "x", "n", "right"])
+
+
+def _by_kind(batch: pa.RecordBatch, column: str, dtype: str):
+    """(kind, matrix of the coded rows, n, right) for each kind of a batch."""
+    kinds, n, right = (batch[c].to_numpy() for c in ("kind", "n", "right"))
+    coded = np.array(batch[column].to_pylist(), object)
+    for kind in np.unique(kinds).tolist():
+        own = kinds == kind
+        yield kind, np.frombuffer(b"".join(coded[own]), dtype).reshape(int(own.sum()), -1), n[own], right[own]
+
+
+def _values(batches):
+    """How often each feature has each value."""
+    for batch in batches:
+        for kind, x, n, _ in _by_kind(batch, "x", "<f8"):
+            for f in range(x.shape[1]):
+                v, at = np.unique(x[:, f], return_inverse=True)
+                times = np.bincount(at, n, len(v)).astype(np.int64)
+                yield pa.record_batch([pa.array(np.full(len(v), c, np.int32)) for c in (kind, f)] + [pa.array(v), pa.array(times)], ["kind", "feature", "v", "n"])
+
+
+def _binned(models: dict):
+    def run(batches):
+        for batch in batches:
+            for kind, x, n, right in _by_kind(batch, "x", "<f8"):
+                b = models[kind].binned(x).astype(np.uint8)
+                yield pa.record_batch([pa.array(np.full(len(b), kind, np.int32)), pa.array([r.tobytes() for r in b], pa.binary()), pa.array(n), pa.array(right)], ["kind", "b", "n", "right"])
+
+    return run
+
+
+def _level_sums(models: dict):
+    """A task's gradient sums for the current level of each kind's current tree, cell by cell."""
+
+    def run(batches):
+        found: dict = {}
+        for batch in batches:
+            for kind, b, n, right in _by_kind(batch, "b", "u1"):
+                part = np.stack(models[kind].sums(b.astype(int), n, right))
+                found[kind] = found.get(kind, 0) + part
+        for kind, part in found.items():
+            g, h = part.reshape(2, -1)
+            cell = np.flatnonzero(g | h)
+            yield pa.record_batch([pa.array(np.full(len(cell), kind, np.int32)), pa.array(cell.astype(np.int32)), pa.array(g[cell]), pa.array(h[cell])], ["kind", "cell", "g", "h"])
+
+    return run
+
+
+def _scores(models: dict):
+    def run(batches):
+        for batch in batches:
+            for kind, x, n, right in _by_kind(batch, "x", "<f8"):
+                yield pa.record_batch([pa.array(np.full(len(x), kind, np.int32)), pa.array(models[kind].predict(x)), pa.array(n), pa.array(right)], ["kind", "p", "n", "right"])
+
+    return run
+
+
+def _begun(examples: DataFrame) -> dict[int, Boosted]:
+    """Models without trees for the kinds that have both sorts of examples in the half that fits, and any in the other."""
+    sizes = {(r["kind"], r["half"]): (r["n"], r["right"]) for r in examples.groupBy("kind", "half").agg(F.sum("n").alias("n"), F.sum("right").alias("right")).collect()}
+    usable = [k for k in range(len(KINDS)) if (k, False) in sizes and 0 < sizes.get((k, True), (0, 0))[1] < sizes[k, True][0]]
+    if not usable:
+        return {}
+    counts = examples.filter(F.col("half") & F.col("kind").isin(usable)).select("kind", "x", "n", "right").mapInArrow(_values, "kind int, feature int, v double, n long")
+    at = np.linspace(0, 1, BINS + 1)[1:-1].tolist()
+    edges = counts.groupBy("kind", "feature", "v").agg(F.sum("n").alias("n")).groupBy("kind", "feature").agg(F.percentile("v", at, F.col("n")).alias("q")).collect()
+    found = {(r["kind"], r["feature"]): r["q"] for r in edges}
+    width = 1 + max(f for _, f in found)
+    return {k: Boosted.begun([found[k, f] for f in range(width)], sizes[k, True][1] / sizes[k, True][0]) for k in usable}
+
+
+def _thresholds(examples: DataFrame, models: dict[int, Boosted]) -> dict[int, float]:
+    """What ``threshold`` gives over all candidates of the half that did not fit the trees; kinds without a threshold are left out."""
+    held = examples.filter(~F.col("half") & F.col("kind").isin(list(models))).select("kind", "x", "n", "right")
+    scored = held.mapInArrow(_scores(models), "kind int, p double, n long, right long").groupBy("kind", "p").agg(F.sum("n").alias("n"), F.sum("right").alias("right"))
+    ranked = running(stored(scored), ["kind"], F.floor(F.col("p") * -10_000), [F.desc("p")], {"upto": ("sum", "n", 0), "good": ("sum", "right", 0)}, inclusive=True)
+    least = ranked.filter((F.col("good") / F.col("upto") >= PRECISION) & (F.col("upto") >= LEAST)).groupBy("kind").agg(F.min("p").alias("p"))
+    return {r["kind"]: r["p"] for r in least.collect()}
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> dict[int, tuple[Boosted, float]]:
-    """Trees and threshold per kind, fitted on candidates of at most ``FIT_DOCS`` documents.
+    """Trees and threshold per kind, fitted on all candidates of all documents.
 
     The valid matches of the fixed patterns are the positive examples, all other candidates the negative ones. Half of the
     documents fit the trees; the other half sets the threshold. A kind without both sorts of examples has no trees.
+
+    Equal examples are counted, not kept. Bin edges are quantiles over all examples; each level of each tree is one job in which every
+    task sums the gradients of its examples, for all kinds at once. The driver sees sums per node, feature and bin only.
     """
-    rows = texts(docs, id_col, text_col).filter(F.col("text").rlike("[0-9@]")).withColumn("h", F.xxhash64("doc_id"))
-    last = rows.select("h").orderBy("h").limit(FIT_DOCS).agg(F.max("h")).first()[0]
-    if last is None:
+    half = F.shiftright(F.xxhash64("doc_id"), 7).bitwiseAND(F.lit(1)) == 1
+    # texts without any of these have no candidates
+    rows = texts(docs, id_col, text_col).filter(F.col("text").rlike(r"[0-9@]|at[)\]}]|::")).select(half.alias("half"), "text")
+    found = rows.mapInArrow(_examples, "kind int, half boolean, x binary, n long, right long")
+    examples = stored(found.groupBy("kind", "half", "x").agg(F.sum("n").alias("n"), F.sum("right").alias("right")))
+    models = _begun(examples)
+    if not models:
         return {}
-    found = rows.filter(F.col("h") <= last).select("h", "text").mapInArrow(_labelled, "h long, kind int, label boolean, x array<double>")
-    sample = found.orderBy("h", "kind", "x").limit(FIT_CANDIDATES).collect()
-    models = {}
-    for kind in range(len(KINDS)):
-        own = [r for r in sample if r["kind"] == kind]
-        x, y = np.array([r["x"] for r in own], float), np.array([r["label"] for r in own], float)
-        half = np.array([(r["h"] >> 7) & 1 for r in own], bool)
-        if len(own) and 0 < y[half].sum() < half.sum() and (~half).any():
-            trees = Boosted(x[half], y[half])
-            models[kind] = trees, threshold(trees.predict(x[~half]), y[~half])
-    return models
+    fitted = examples.filter(F.col("half") & F.col("kind").isin(list(models))).select("kind", "x", "n", "right")
+    fitted = fitted.mapInArrow(_binned(models), "kind int, b binary, n long, right long")
+    fitted = stored(fitted.groupBy("kind", "b").agg(F.sum("n").alias("n"), F.sum("right").alias("right")))
+    while not all(m.full() for m in models.values()):
+        cells = fitted.mapInArrow(_level_sums(models), "kind int, cell int, g long, h long").groupBy("kind", "cell").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).toArrow()
+        kinds, cell, g, h = (cells[c].to_numpy() for c in ("kind", "cell", "g", "h"))
+        for kind, model in models.items():
+            sums = np.zeros((2, 1 << model.level, len(model.edges), BINS + 1), np.int64)
+            own = kinds == kind
+            sums.reshape(2, -1)[:, cell[own]] = g[own], h[own]
+            model.grow(*sums)
+    least = _thresholds(examples, models)
+    discard(examples, fitted)
+    return {kind: (model, least.get(kind, float("inf"))) for kind, model in models.items()}
 
 
 def added(text: str, sure: list[tuple[int, int, int]], models: dict) -> list[tuple[int, int, int]]:

@@ -302,6 +302,28 @@ def test_pii_trees_add_spans(docs_of):
     assert got == {1: ("phone:13:29", 0, "you may call <phone> now"), 2: ("", 0, "we counted 123456789 of them"), 3: ("", 0, "")}
 
 
+def test_pii_fit_reads_all(docs_of):
+    """Trees and thresholds are those of all candidates: more than 40,000 of them, in more than 2,000 documents."""
+    rng = np.random.default_rng(11)
+    rows = [(d, " ".join(f"{'call +' if rng.random() < 0.4 else 'item '}{rng.integers(10**8, 10**10)} of" for _ in range(20))) for d in range(2500)]
+    examples = Counter()
+    for r in pii._examples([docs_of(rows).selectExpr("shiftright(xxhash64(doc_id), 7) & 1 = 1 half", "text").toArrow().combine_chunks().to_batches()[0]]):
+        for kind, half, x, n, right in zip(*(r[c].to_pylist() for c in ("kind", "half", "x", "n", "right"))):
+            examples[kind, half, x, True] += right
+            examples[kind, half, x, False] += n - right
+    assert sum(examples.values()) >= 50_000
+    models = pii.fit(docs_of(rows))
+    (trees, least), part = models[3], {}
+    for half in (True, False):
+        own = [(x, y) for (kind, h, x, y), n in examples.items() if (kind, h) == (3, half) for _ in range(n)]
+        part[half] = np.array([np.frombuffer(x) for x, _ in own]), np.array([y for _, y in own], float)
+    want = pii.Boosted(*part[True])
+    assert trees.start == want.start and all(np.allclose(a, b) for a, b in zip(trees.edges, want.edges))
+    got, expected = (m.predict(part[False][0]) for m in (trees, want))
+    assert np.allclose(got, expected, atol=1e-6)
+    assert least == pytest.approx(pii.threshold(got, part[False][1]), abs=1e-6)
+
+
 def test_boosting():
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2000, 4))
