@@ -167,23 +167,22 @@ def dq_missing_columns(t: Mapping) -> DataFrame:
 
 
 def dq_unique(t: Mapping) -> DataFrame:
-    """Keys stored more than once, with the count as detail. Keys with a null part never collide."""
+    """Keys stored more than once, with the count as detail. Keys with a null part never collide.
+
+    Each key is counted by its columns as they are stored; only those found twice are written out as texts.
+    """
     parts = []
     for name, keys in UNIQUE.items():
         df = t[name]
-        usable = [k for k in keys if all(c in df.columns for c in k)]
-        if not usable:
-            continue
-        entries = [
-            F.when(
-                reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in k]),
-                F.struct(F.lit("unique_" + "_".join(k)).alias("rule"), _text(df, k).alias("key")),
+        for k in keys:
+            if not all(c in df.columns for c in k):
+                continue
+            dup = df.select(*k).dropna().groupBy(*k).agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+            parts.append(
+                dup.select(
+                    F.lit("unique_" + "_".join(k)).alias("rule"), F.lit(name).alias("table_name"), _text(df, k).alias("key"), F.col("_n").cast("string").alias("detail")
+                )
             )
-            for k in usable
-        ]
-        rows = df.select(F.explode(F.array_compact(F.array(*entries))).alias("e")).select("e.rule", "e.key")
-        dup = rows.groupBy("rule", "key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        parts.append(dup.select("rule", F.lit(name).alias("table_name"), "key", F.col("n").cast("string").alias("detail")))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -29,3 +29,12 @@ def test_row_rules_filter_in_the_scan(services):
 def test_unknown_conditions_are_no_violation(services):
     found = quality._row_rules({"services": services}, {"services": [("negative", quality.F.expr("unit_price < 0"), quality.F.lit("x"))]})
     assert [(r["key"], r["rule"]) for r in found.collect()] == [("2", "negative")]
+
+
+def test_keys_are_counted_as_stored(services, monkeypatch):
+    monkeypatch.setattr(quality, "UNIQUE", {"services": [["id"], ["hotel_id", "name"], ["not_there"]]})
+    found = quality.dq_unique({"services": services})
+    shuffled = plan(found)
+    assert "hashpartitioning(id" in shuffled and "hashpartitioning(hotel_id" in shuffled and "Generate" not in shuffled
+    got = {(r["rule"], r["table_name"], r["key"], r["detail"]) for r in found.collect()}
+    assert got == {("unique_id", "services", "4", "2"), ("unique_hotel_id_name", "services", "1|a|b", "2")}
