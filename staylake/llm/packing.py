@@ -8,6 +8,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored, texts
@@ -16,13 +17,24 @@ from .words import slices
 MAX_TOKENS = 4096
 END_ID = 1
 TOKENIZER = "word_bpe_49k.json"
-KNOWN_WORDS = 500_000  # words whose ids a worker remembers; beyond that it starts anew
+KNOWN_WORDS = 500_000  # units whose ids a worker remembers; beyond that it starts anew
+CUT_BYTES = 4 << 20  # text cut into units at once
 MARKS = ".,;:!?*$%&#|"  # marks that never join a letter before them, nor a contraction
 RANK_ROWS = 20_000  # mean number of rows that one ranking task group holds
 SEARCH_NODES = 200  # nodes of the search for one greedy filling; its best filling so far is kept
 PLAN_NODES = 20_000  # nodes of the search for a whole plan, those of its fillings included; the best plan so far is kept
 
-LATIN = re.compile("[a-zA-ZÀ-ÖØ-öø-ÿ]+")
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+BLANKS = b" \n"
+BLANK, LETTER, DIGIT, MARK, ODD = range(5)  # kinds of bytes
+
+
+def _kind(b: int) -> int:
+    c = bytes([b])
+    return BLANK if c in BLANKS else LETTER if c.isalpha() else DIGIT if c.isdigit() else MARK if 0x20 < b < 0x7F and c != b"'" else ODD
+
+
+KIND = bytes(map(_kind, range(256)))
 # Byte-level vocabularies write a byte as the character of that number if it can be seen, else as one from 256 on, in order.
 _SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
@@ -37,10 +49,12 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """Ids of blank-separated words as little-endian uint32 bytes.
+    """Ids of the tokenizer's units (runs of letters, single digits, runs of marks) as little-endian uint32 bytes.
 
-    The tokenizer never joins characters over a blank or a line break, so ids of a text are those of its words. A text that holds
-    one of the tokenizer's added tokens (such as an end-of-text mark) goes to the tokenizer whole: an added token has its own id wherever it stands.
+    The tokenizer merges inside a unit only. Units are cut on whole columns of text and each different one is looked up once.
+    A blank-separated word with anything but ASCII and the letters from À to ÿ, or with an apostrophe, is a unit as it stands; the
+    tokenizer cuts it. A text that holds one of the tokenizer's added tokens (such as an end-of-text mark) goes to the tokenizer
+    whole: an added token has its own id wherever it stands.
     """
 
     def __init__(self, path: str):
@@ -54,50 +68,95 @@ class WordIds(dict):
             raise ValueError("added tokens that are looked for in folded text cannot be told from a text as it stands")
         self.merge = self.tokenizer.model.tokenize
 
-    def learn(self, words: set[str]) -> None:
-        """A word that ends in a letter and then marks is cut before the marks, as the tokenizer does; it also folds case."""
-        new = [w for w in words if w not in self]
-        if len(self) + 2 * len(new) > KNOWN_WORDS:
-            self.clear()
-            new = list(words)
-        lone, joined = set(), []
-        for w in new:
-            stem, tail = w.rstrip(MARKS), ""
-            if stem and stem[-1].isalpha():
-                tail = w[len(stem) :]
-            else:
-                stem = w
-            if stem.isascii():
-                low = stem.lower()
-                # a word that only reads as an added token in lower case stays as it is
-                stem = low if low.isalpha() or not any(a in low for a in self.added) else stem
-            lone.add(stem)
-            if tail:
-                lone.add(tail)
-            if tail or stem != w:
-                joined.append((w, stem, tail))
-        merge, other = self.merge, []
-        for w in lone:
-            if w in self:
-                continue
-            if LATIN.fullmatch(w):  # one unit of the tokenizer, so its merges can be asked for directly
-                low = w if w.isascii() else w.lower().encode().decode("latin-1").translate(BYTE_CHARS)
-                self[w] = array("I", [t.id for t in merge(low)]).tobytes()
+    def learn(self, units: list[bytes]) -> None:
+        """An odd word that ends in a letter and then marks is cut before the marks, as the tokenizer does."""
+        merge, other, joined = self.merge, set(), []
+        for u in units:
+            if u.isalpha():  # ASCII letters
+                self[u] = array("I", [t.id for t in merge(u.decode())]).tobytes()
+            elif LATIN.fullmatch(u):
+                self[u] = array("I", [t.id for t in merge(u.decode("latin-1").translate(BYTE_CHARS))]).tobytes()
+            elif u[0] in BLANKS:
+                self[u] = b""
             else:
-                other.append(w)
-        for w, e in zip(other, self.tokenizer.encode_batch_fast(other, add_special_tokens=False)):
-            self[w] = array("I", e.ids).tobytes()
-        for w, stem, tail in joined:
-            self[w] = self[stem] + self[tail] if tail else self[stem]
-
-    def encode(self, batch: list[str]) -> list[bytes]:
-        whole = [any(a in t for a in self.added) for t in batch]
-        cut = [[] if w else t.replace("\n", " ").split(" ") for w, t in zip(whole, batch)]
-        self.learn(set().union(*cut))
-        return [
-            array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes() if w else b"".join(map(self.__getitem__, ws))
-            for w, t, ws in zip(whole, batch, cut)
-        ]
+                w = u.decode()
+                stem = w.rstrip(MARKS)
+                if stem != w and stem.lower()[-1:].isalpha():  # İ ends in a mark once it is lower-cased
+                    parts = stem.encode(), w[len(stem) :].encode()
+                    joined.append((u, *parts))
+                    other.update(p for p in parts if p not in self)
+                else:
+                    other.add(u)
+        other = list(other)
+        for u, e in zip(other, self.tokenizer.encode_batch_fast([u.decode() for u in other], add_special_tokens=False)):
+            self[u] = array("I", e.ids).tobytes()
+        for u, stem, tail in joined:
+            self[u] = self[stem] + self[tail]
+
+    def find(self, units: list[bytes]) -> list[bytes]:
+        found = list(map(self.get, units))
+        new = [u for u, f in zip(units, found) if f is None]
+        if new:
+            if len(self) + len(new) > KNOWN_WORDS:
+                self.clear()
+                new = units
+            self.learn(new)
+            found = list(map(self.__getitem__, units))
+        return found
+
+    def encode(self, batch: list[str] | pa.Array) -> list[bytes]:
+        batch = pa.array(batch, pa.string())
+        at, units, places = cut_units(batch)
+        if not len(places):
+            return [b""] * len(batch)
+        found = self.find(units)
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        own = size[places]
+        end = np.cumsum(own)
+        shift = (np.cumsum(size) - size)[places] - (end - own)
+        ids = flat[np.repeat(shift, own) + np.arange(end[-1])]
+        bounds = np.concatenate([[0], end])[at]
+        out = [ids[a:b].tobytes() for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+        for token in self.added:
+            for i in np.flatnonzero(pc.match_substring(batch, token).to_numpy(zero_copy_only=False)).tolist():
+                out[i] = array("I", self.tokenizer.encode(batch[i].as_py(), add_special_tokens=False).ids).tobytes()
+        return out
+
+
+def cut_units(texts: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray]:
+    """The units of texts, A-Z and À-Þ lower-cased: where each text's units begin, the different units, and which one stands at each place."""
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    starts = offsets - offsets[0]
+    if not len(data):
+        return np.zeros(len(texts) + 1, np.int64), [], np.zeros(0, np.int64)
+    raw = bytearray(data)
+    kind, low = (np.frombuffer(x, np.uint8) for x in (raw.translate(KIND), raw.lower()))
+    after = np.flatnonzero(data == 0xC3) + 1  # in UTF-8 the byte after it is there, and with it a character from À to ÿ
+    if len(after):
+        second = data[after]
+        after, second = after[(second != 0x97) & (second != 0xB7)], second[(second != 0x97) & (second != 0xB7)]  # × and ÷ are no letters
+        low[after] += (second < 0x9F).astype(np.uint8) * np.uint8(0x20)
+        kind[after] = kind[after - 1] = LETTER
+    odd = np.flatnonzero(kind == ODD)
+    if len(odd):  # the whole word is odd, and stays as it is
+        blank = np.flatnonzero(kind == BLANK)
+        cuts = np.unique(np.concatenate([blank, blank + 1, starts]))
+        word = np.unique(np.searchsorted(cuts, odd, side="right"))
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[cuts[word - 1]] += 1
+        inside[cuts[word]] -= 1
+        inside = np.cumsum(inside[:-1], dtype=np.int8).view(bool)
+        kind[inside] = ODD
+        low[inside] = data[inside]
+    first = np.empty(len(data) + 1, bool)
+    first[1:-1] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+    first[0] = first[-1] = True
+    first[starts] = True
+    cut = np.flatnonzero(first)
+    units = pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer(cut.astype(np.int32)), pa.py_buffer(low)]).dictionary_encode()
+    return np.searchsorted(cut, starts), units.dictionary.to_pylist(), units.indices.to_numpy()
 
 
 def word_ids(path: str) -> WordIds:
@@ -122,9 +181,9 @@ def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", to
         known = word_ids(path)
         end, width = np.asarray([END_ID], "<u4").tobytes(), 4 * max_tokens
         for whole in batches:
-            for batch in slices(whole, "text"):
+            for batch in slices(whole, "text", CUT_BYTES):
                 out: tuple = ([], [], [], [], [])
-                for doc, ids in zip(batch["doc_id"].to_pylist(), known.encode(batch["text"].to_pylist())):
+                for doc, ids in zip(batch["doc_id"].to_pylist(), known.encode(batch["text"])):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), width)):
                         part = ids[at : at + width]

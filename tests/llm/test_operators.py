@@ -185,6 +185,19 @@ def test_tokens_of_odd_texts():
     assert np.frombuffer(want[-5], "<u4").tolist() == [320, 49407, 321]
 
 
+def test_tokens_by_units():
+    """Each different unit of a column is looked up once, whatever marks stand around it, and ids are those of the tokenizer."""
+    import pyarrow as pa
+
+    texts = ["x", "aİ| İ. |İ|", "The the, THE. (the) the\nthe", "ÀÉ×é÷ÿ É9é12 é", "\n\n \n", "it's 'a' b", "國.| 1a²", ""] * 3
+    known = packing.WordIds(packing.default_tokenizer())
+    want = [np.asarray(e.ids, "<u4").tobytes() for e in known.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert known.encode(pa.array(texts).slice(1)) == want[1:]
+    at, units, places = packing.cut_units(pa.array(["The the, THE.", "", "the it's 7é7"]))
+    assert sorted(units) == sorted([b"the", b" ", b",", b".", b"it's", b"7", "é".encode()])
+    assert at.tolist() == [0, 7, 7, 14] and len(places) == 14
+
+
 def test_decontaminate(spark, docs_of, small, odd):
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
     plain = {i: " ".join(t.lower().split()) for i, t in items}
