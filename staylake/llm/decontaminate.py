@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import slices
+from .words import kept, slices
 
 Q = 8  # characters per q-gram
 RATE = 0.1  # edits allowed per character of an item
@@ -15,7 +15,6 @@ BITS = 22  # of the table that tells q-grams which no item has
 FIELDS = "array<struct<item_id:bigint,distance:int>>"
 
 _MUL = np.uint64(0x9E3779B97F4A7C15)
-_INDEX: dict = {}
 
 
 def normal(text: str) -> np.ndarray:
@@ -137,11 +136,7 @@ class Index:
 
 def _index(items: list, q: int, rate: float) -> Index:
     """The worker's index of a block; it outlives a task."""
-    key = (hash(tuple(items)), q, rate)
-    if key not in _INDEX:
-        _INDEX.clear()
-        _INDEX[key] = Index(items, q, rate)
-    return _INDEX[key]
+    return kept(("items", hash(tuple(items)), q, rate), lambda: Index(items, q, rate))
 
 
 def decontaminate(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import crc_mod
-from .words import slices
+from .words import kept, slices
 
 SAMPLE_CHARS = 40_000  # labelled text per language, at most this much
 STRETCH = 4_000  # characters that a longer text gives, from a place drawn by a hash; shorter texts are taken whole
@@ -17,8 +17,6 @@ SEGMENT = 256  # characters after which parsing restarts, so that many stretches
 DENSE = 1 << 23  # cells of a full transition table, states by letters; automata over more letters are kept as sorted edges
 UNKNOWN = "und"
 
-_MODELS: dict = {}
-
 
 def _first(rows: list[tuple[int, str]]) -> list[tuple[int, str]]:
     """The first different texts by hash that hold ``SAMPLE_CHARS`` characters, or all; no part of the rows loses a row of the whole's."""
@@ -209,11 +207,7 @@ class Model:
 
 def _model(sample: dict[str, str]) -> Model:
     """The worker's model of a sample; it outlives a task."""
-    key = hash(tuple(sorted(sample.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(sample)
-    return _MODELS[key]
+    return kept(("languages", hash(tuple(sorted(sample.items())))), lambda: Model(sample))
 
 
 def language_id(docs: DataFrame, sample: dict[str, str], text_col: str = "text", pred_col: str = "lang_pred", score_col: str = "score") -> DataFrame:

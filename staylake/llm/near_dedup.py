@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import discard, stored, texts
-from .words import hashes, list_parts, lists, mix, slices, windows
+from .words import forget, hashes, list_parts, lists, mix, slices, windows
 
 CHUNKS, WIDTH, ERRORS = 6, 6, 2  # a signature has CHUNKS * WIDTH values; so many values of one chunk may differ
 VALUES = CHUNKS * WIDTH
@@ -44,6 +44,7 @@ def _cut(text: str, size: int) -> np.ndarray:
 
 def _describe(size: int):
     def run(batches):
+        forget()
         for whole in batches:
             for batch in slices(whole, "text"):
                 sets = [_cut(t, size) for t in batch["text"].to_pylist()]

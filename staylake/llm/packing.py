@@ -12,7 +12,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .common import stored, texts
-from .words import slices
+from .words import kept, slices
 
 MAX_TOKENS = 4096
 END_ID = 1
@@ -39,8 +39,6 @@ KIND = bytes(map(_kind, range(256)))
 _SEEN = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SEEN)}
 
-_TOKENIZERS: dict = {}
-
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -164,9 +162,7 @@ def word_ids(path: str) -> WordIds:
     import os
 
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    if path not in _TOKENIZERS:
-        _TOKENIZERS[path] = WordIds(path)
-    return _TOKENIZERS[path]
+    return kept(("tokenizer", path), lambda: WordIds(path))
 
 
 def tokenize(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, max_tokens: int = MAX_TOKENS) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Hashable, Iterator
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +15,21 @@ SLICE_BYTES = 8 << 20  # text worked on at once
 _A, _B, _C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 _SHIFT = np.uint64(29)
 
+_KEPT: dict = {}  # what this worker keeps between tasks
+
+
+def kept(key: Hashable, make: Callable[[], Any]) -> Any:
+    """What an operator's tasks keep in a worker, such as its model: one thing at a time, workers outlive the stages of a pipeline."""
+    if key not in _KEPT:
+        forget()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
+def forget() -> None:
+    """Drop what tasks of earlier stages kept in this worker."""
+    _KEPT.clear()
+
 
 def hashes(words: list[bytes]) -> np.ndarray:
     """64-bit hashes of words given as bytes."""

@@ -82,3 +82,15 @@ def test_empty_documents(spark, odd_docs):
 def test_nothing_learned_keeps_all(spark):
     docs = spark.createDataFrame([(1, "some text", None), (2, "more text", None)], "doc_id bigint, text string, lang string")
     assert corpus_pipeline.detect_language(spark, docs, SF).count() == 2
+
+
+def test_workers_keep_one_model():
+    """A worker's models of one stage are gone when the next one runs."""
+    from staylake.llm import language_id, near_dedup, packing, words
+
+    sample = {"aa": "ab ba", "bb": "cd dc"}
+    model = language_id._model(sample)
+    assert language_id._model(sample) is model and len(words._KEPT) == 1
+    known = packing.word_ids(packing.default_tokenizer())
+    assert packing.word_ids(packing.default_tokenizer()) is known and list(words._KEPT.values()) == [known]
+    assert list(near_dedup._describe(2)([])) == [] and not words._KEPT
