@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -42,16 +42,26 @@ def tokens(text: str) -> list[bytes]:
     return found
 
 
-def features(h: np.ndarray, sizes: tuple[int, ...] = ROWS) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Class of each token, and the rows of its three context features, which have ``sizes`` rows."""
-    start = np.zeros(2, np.uint64)
-    before = np.concatenate([start, h])[:-1]
+def features(h: np.ndarray, sizes: tuple[int, ...] = ROWS, starts: np.ndarray | None = None) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Class of each token, and the rows of its three context features, which have ``sizes`` rows. Texts begin at ``starts``: none is 0 alone."""
+    before = np.concatenate([np.zeros(2, np.uint64), h])[:-1]
     one, two = before[1:], before[:-1]
+    if starts is not None:
+        one, two = one.copy(), two.copy()
+        one[starts] = two[starts] = 0
+        two[starts[starts + 1 < len(h)] + 1] = 0
     parts = ((one, 0), (two, sizes[0]), (mix(two, one), sizes[0] + sizes[1]))
     rows = [((x >> np.uint64(20)) & np.uint64(n - 1)).astype(np.int64) + at for (x, at), n in zip(parts, sizes)]
     return (h & np.uint64(CLASSES - 1)).astype(np.int64), rows
 
 
+def coded(cut: list[list[bytes]], sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Number of tokens of each text, and the ``features`` of all tokens one after another."""
+    size = np.fromiter(map(len, cut), np.int64, len(cut))
+    h = hashes(list(chain.from_iterable(cut)))
+    return size, *features(h, sizes, np.cumsum(size) - size)
+
+
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
     flat = m.astype("<f4").ravel()
     used = [i for i in range(len(flat) // CHUNK) if flat[i * CHUNK : (i + 1) * CHUNK].any()]
@@ -89,16 +99,12 @@ def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np
         counts: Counter = Counter()
         seen = np.zeros(sum(sizes) * CLASSES, np.int64)
         for whole in batches:
-            for batch in slices(whole, "text"):
-                cells = []
-                for text in batch["text"].to_pylist():
-                    words = tokens(text)
-                    counts.update(words)
-                    cls, rows = features(hashes(words), sizes)
-                    cells += [r * CLASSES + cls for r in rows]
-                if cells:
-                    at, n = np.unique(np.concatenate(cells), return_counts=True)
-                    seen[at] += n
+            for batch in slices(whole, "text", SCORED_BYTES):
+                cut = [tokens(t) for t in batch["text"].to_pylist()]
+                counts.update(chain.from_iterable(cut))
+                _, cls, rows = coded(cut, sizes)
+                for r in rows:
+                    np.add.at(seen, r * CLASSES + cls, 1)
                 if len(counts) > FLUSH_WORDS:
                     yield word_rows(counts)
                     counts = Counter()
@@ -116,11 +122,15 @@ def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np
 class Weights:
     """Class scores: the log share of each class, kept in the rows of the first feature, plus a weight row per context feature."""
 
-    def __init__(self, share: np.ndarray, weight: np.ndarray, sizes: tuple[int, ...] = ROWS):
+    def __init__(self, share: np.ndarray, weight: np.ndarray, sizes: tuple[int, ...] = ROWS, seen: np.ndarray | None = None):
         self.sizes = sizes
+        self.seen = seen  # how often each class follows each context in the training texts, where that is known
         self.weight = np.clip(weight, -STEEP, STEEP).astype(np.float32)
         self.weight[: sizes[0]] += np.log(share).astype(np.float32)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"seen": None}  # tasks need no counts
+
     def odds(self, rows: list[np.ndarray]) -> np.ndarray:
         """Unnormalised class probabilities of tokens."""
         z = self.weight.take(rows[0], axis=0)
@@ -130,12 +140,13 @@ class Weights:
 
 
 def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
-    """Seen minus expected classes after each context row, over all texts of ``docs``.
+    """Seen minus expected classes after each context row, over all texts of ``docs``; those seen are counted unless the model has them.
 
     Tokens with the same three rows have the same expected classes, so each such group is worked out once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sizes = model.sizes
+    seen = count(docs, sizes)[1] if model.seen is None else model.seen
     _, second, third = (n.bit_length() - 1 for n in sizes)
     firsts = np.cumsum([0, *sizes[:-1]])
 
@@ -145,32 +156,34 @@ def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
 
         def add(codes: list) -> None:
             alike, times = np.unique(np.concatenate(codes), return_counts=True)
-            rows = [(alike >> (second + third)) + firsts[0], (alike >> third & (sizes[1] - 1)) + firsts[1], (alike & (sizes[2] - 1)) + firsts[2]]
             for a in range(0, len(alike), SUMMED):
-                m = min(SUMMED, len(alike) - a)
+                code, n = alike[a : a + SUMMED], times[a : a + SUMMED]
+                m = len(code)
+                rows = [(code >> (second + third)) + firsts[0], (code >> third & (sizes[1] - 1)) + firsts[1], (code & (sizes[2] - 1)) + firsts[2]]
                 for b in range(0, m, TOKENS):
-                    part = slice(a + b, a + min(b + TOKENS, m))
+                    part = slice(b, b + TOKENS)
                     p = shared.value.odds([r[part] for r in rows])
-                    p *= (-times[part] / p.sum(axis=1))[:, None]
+                    p *= (-n[part] / p.sum(axis=1))[:, None]
                     block[:, b : b + len(p)] = p.T
-                for r in rows:
-                    own, at = np.unique(r[a : a + m], return_inverse=True)
+                at = np.flatnonzero(np.concatenate([[True], rows[0][1:] != rows[0][:-1]]))  # codes are sorted, and so is the first feature
+                total[:, rows[0][at]] += np.add.reduceat(block[:, :m], at, axis=1)
+                for r, first, size in zip(rows[1:], firsts[1:], sizes[1:]):
+                    own, at, width = slice(first, first + size), r - first, size
+                    if size > SUMMED:  # most contexts are not in this block
+                        own, at = np.unique(r, return_inverse=True)
+                        width = len(own)
                     for c in range(CLASSES):
-                        total[c, own] += np.bincount(at, block[c, :m], len(own))
+                        total[c, own] += np.bincount(at, block[c, :m], width)
 
         kept, n = [], 0
         for whole in batches:
-            for batch in slices(whole, "text"):
-                for text in batch["text"].to_pylist():
-                    cls, rows = features(hashes(tokens(text)), sizes)
-                    for r in rows:
-                        np.add.at(total.reshape(-1), cls * total.shape[1] + r, 1.0)
-                    one, two, both = (r - first for r, first in zip(rows, firsts))
-                    kept.append(((one << second) | two) << third | both)
-                    n += len(cls)
-                    if n >= GATHERED:
-                        add(kept)
-                        kept, n = [], 0
+            for batch in slices(whole, "text", SCORED_BYTES):
+                _, cls, (one, two, both) = coded([tokens(t) for t in batch["text"].to_pylist()], sizes)
+                kept.append((((one << second) | (two - firsts[1])) << third) | (both - firsts[2]))
+                n += len(cls)
+                if n >= GATHERED:
+                    add(kept)
+                    kept, n = [], 0
         if kept:
             add(kept)
         for first in range(0, sum(sizes), ROWS[0]):
@@ -178,7 +191,7 @@ def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
             at = pa.array(part["chunk"].to_numpy() + first * CLASSES // CHUNK, pa.int32())
             yield pa.record_batch([at, part["cells"]], ["chunk", "cells"])
 
-    return _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"), sizes)
+    return seen + _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"), sizes)
 
 
 def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STEPS, sizes: tuple[int, ...] = ROWS) -> Weights:
@@ -190,7 +203,7 @@ def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STE
     n = seen.sum(axis=1, keepdims=True)
     weight = np.log((seen + PRIOR * share) / (n + PRIOR) / share) / len(ROWS)
     for _ in range(steps if n.any() else 0):
-        gradient = _gradient(docs, Weights(share, weight, sizes))
+        gradient = _gradient(docs, Weights(share, weight, sizes, seen))
         weight = weight + RATE * gradient / (0.5 * len(ROWS) * n + PRIOR)
     return Weights(share, weight, sizes)
 
@@ -238,17 +251,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
         for whole in batches:
             for batch in slices(whole, "text", SCORED_BYTES):
                 cut = [tokens(t) for t in batch["text"].to_pylist()]
-                size = np.fromiter(map(len, cut), np.int64, len(cut))
-                coded = [features(hashes(ws), sizes) for ws in cut]
-                cls = np.concatenate([c for c, _ in coded])
-                rows = [np.concatenate(r) for r in zip(*(r for _, r in coded))]
+                size, cls, rows = coded(cut, sizes)
                 logp = np.empty(len(cls))
                 for a in range(0, len(cls), TOKENS):
                     c = cls[a : a + TOKENS]
                     p = weights.odds([r[a : a + TOKENS] for r in rows])
                     logp[a : a + TOKENS] = np.log10(p[np.arange(len(c)), c]) - np.log10(p.sum(axis=1, dtype=np.float64)) - class_log[c]
-                at = np.concatenate([[0], np.cumsum(size)[:-1]])
-                score = np.add.reduceat(logp, at)
+                score = np.add.reduceat(logp, np.cumsum(size) - size)
                 common_log, known, rare, times = [], [], [], []
                 for ws in cut:
                     found = np.fromiter(map(look_up, ws, repeat(np.nan)), float, len(ws))

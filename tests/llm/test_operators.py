@@ -515,6 +515,22 @@ def test_lm_gradient(docs_of, small):
     assert np.allclose(got, want, atol=1e-3)
 
 
+def test_lm_known_counts_are_not_counted_again(docs_of, small, monkeypatch):
+    """Texts are coded side by side as they are one by one, and a pass with known counts only sums what is expected."""
+    cut = [lm_score.tokens(t or "") for _, t in small[:20]] + [lm_score.tokens(""), lm_score.tokens("one"), lm_score.tokens("")]
+    size, cls, rows = lm_score.coded(cut, lm_score.ROWS)
+    alone = [lm_score.features(lm_score.hashes(ws)) for ws in cut]
+    assert size.tolist() == list(map(len, cut)) and (cls == np.concatenate([c for c, _ in alone])).all()
+    assert all((r == np.concatenate([rs[i] for _, rs in alone])).all() for i, r in enumerate(rows))
+    docs, seen = docs_of(small[:40]).repartition(3), lm_score.count(docs_of(small[:40]))[1]
+    given = np.full(lm_score.CLASSES, 1 / lm_score.CLASSES), np.zeros((sum(lm_score.ROWS), lm_score.CLASSES)), lm_score.ROWS
+    want = lm_score._gradient(docs, lm_score.Weights(*given))
+    monkeypatch.setattr(lm_score, "count", None)
+    assert np.allclose(lm_score._gradient(docs, lm_score.Weights(*given, seen)), want, atol=1e-3)
+    monkeypatch.setattr(lm_score, "SUMMED", lm_score.TOKENS)  # as with many contexts
+    assert np.allclose(lm_score._gradient(docs, lm_score.Weights(*given, seen)), want, atol=1e-3)
+
+
 def test_lm_updates_read_all_texts(docs_of, small, monkeypatch):
     """Each update is over all training texts, and the contexts grow with the text."""
     read, whole = [], lm_score._gradient
