@@ -62,54 +62,90 @@ def _second_pass(min_words: int):
         for whole in batches:
             for batch in slices(whole, "text"):
                 out: list[list] = [[] for _ in range(3)]
-                row = [xxhash.xxh64_intdigest(text.encode()) for text in batch["text"].to_pylist()]  # rows may repeat a doc_id
-                for text, repeated in zip(batch["text"].to_pylist(), list_parts(batch["anchors"])):
+                for text, sole in zip(batch["text"].to_pylist(), list_parts(batch["sole"])):
                     words = hashes(text.encode().split())
                     h = windows(words, half)
-                    # a window survives if its own anchor, the smallest hash in it, is repeated
+                    # a window survives unless its own anchor, the smallest hash in it, is of this document alone
                     span = min_words - half + 1
                     low = sliding_min(h, span) if len(h) >= span else h[:0]
-                    at = np.flatnonzero(np.isin(low, repeated.view(np.uint64)))
+                    at = np.flatnonzero(_others(low, sole.view(np.uint64)))
                     full = windows(h, min_words, half)[at]
                     other = windows(words[::-1], min_words)[::-1][at]  # an independent hash: the words in reverse
                     for column, value in zip(out, (at, full.view(np.int64), (other >> np.uint64(33)).astype(np.int32))):
                         column.append(value)
-                kinds = (np.int32, np.int64, np.int32)
-                columns = [pa.array(np.array(row, np.uint64).view(np.int64)), *[lists(c, k) for c, k in zip(out, kinds)]]
-                yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", "row", "at", "h1", "h2"])
+                columns = [lists(c, k) for c, k in zip(out, (np.int32, np.int64, np.int32))]
+                yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", "at", "h1", "h2"])
+
+    return run
+
+
+def _others(h: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """Which values are not among ``gone``."""
+    return ~np.isin(h, gone) if len(gone) else np.ones(len(h), bool)
+
+
+def _pairs(at: np.ndarray, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """From the places, which ascend, and hashes of windows of ``size`` words those of all windows of twice the length made of two of them."""
+    to = np.searchsorted(at, at + size)
+    both = to < len(at)
+    both[both] = at[to[both]] == at[both] + size
+    return at[both], mix(h[both].view(np.uint64), h[to[both]].view(np.uint64)).view(np.int64)
+
+
+def _stretches(at: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where the stretches of words begin and end that windows of ``size`` words at the places ``at`` cover."""
+    if not len(at):
+        return at, at
+    gap = np.flatnonzero(np.diff(at) > size)
+    return at[np.concatenate([[0], gap + 1])], at[np.concatenate([gap, [len(at) - 1]])] + size
+
+
+def _covered(min_words: int):
+    """The stretches that a text loses, and the windows of twice the length made of its repeated ones."""
+
+    def run(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in range(4)]
+            repeats = []
+            for at, h, sole, lead in zip(*map(list_parts, (batch["at"], batch["h1"], batch["sole"], batch["lead"]))):
+                alive = _others(h, sole)
+                at, h = at[alive], h[alive]
+                repeats.append(len(at) > 0)
+                for column, value in zip(out, (*_stretches(at[_others(h, lead)], min_words), *_pairs(at, h, min_words))):
+                    column.append(value)
+            columns = [lists(c, k) for c, k in zip(out, (np.int32, np.int32, np.int32, np.int64))]
+            yield pa.record_batch([batch["doc_id"], pa.array(repeats, pa.bool_()), *columns], ["doc_id", "repeats", "begins", "ends", "at", "h"])
 
     return run
 
 
 def _doubled(size: int):
-    """From the places and hashes of a text's repeated windows of ``size`` words, those of all windows of twice the length made of two of them."""
+    """Leaves out the windows of ``size`` words of one document alone and makes those of twice the length from the others."""
 
     def run(batches):
         for batch in batches:
-            places, found = [], []
-            for at, h in zip(list_parts(batch["at"]), list_parts(batch["h"])):
-                at, first = np.unique(at, return_index=True)
-                h = h[first].view(np.uint64)
-                to = np.searchsorted(at, at + size)
-                both = to < len(at)
-                both[both] = at[to[both]] == at[both] + size
-                places.append(at[both]), found.append(mix(h[both], h[to[both]]).view(np.int64))
-            yield pa.record_batch([batch["doc_id"], batch["row"], lists(places, np.int32), lists(found, np.int64)], ["doc_id", "row", "at", "h"])
+            repeats, places, found = [], [], []
+            for at, h, sole in zip(*map(list_parts, (batch["at"], batch["h"], batch["sole"]))):
+                alive = _others(h, sole)
+                repeats.append(bool(alive.any()))
+                at, h = _pairs(at[alive], h[alive], size)
+                places.append(at), found.append(h)
+            yield pa.record_batch([batch["doc_id"], pa.array(repeats, pa.bool_()), lists(places, np.int32), lists(found, np.int64)], ["doc_id", "repeats", "at", "h"])
 
     return run
 
 
-def _removal(min_words: int):
+def _removal():
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
                 n_words, n_removed, kept = [], [], []
-                for text, at in zip(batch["text"].to_pylist(), list_parts(batch["at"])):
+                for text, begins, ends in zip(batch["text"].to_pylist(), list_parts(batch["begins"]), list_parts(batch["ends"])):
                     words = text.encode().split()
                     n_words.append(len(words))
                     gone = np.zeros(len(words) + 1, np.int64)
-                    np.add.at(gone, at, 1)
-                    np.add.at(gone, np.minimum(at + min_words, len(words)), -1)
+                    np.add.at(gone, np.minimum(begins, len(words)), 1)
+                    np.add.at(gone, np.minimum(ends, len(words)), -1)
                     stays = np.cumsum(gone)[:-1] == 0
                     n_removed.append(int(len(words) - stays.sum()))
                     kept.append(b" ".join(w for w, s in zip(words, stays.tolist()) if s) if n_removed[-1] else b" ".join(words))
@@ -121,9 +157,15 @@ def _removal(min_words: int):
     return run
 
 
-def _repeated(rows: DataFrame, *key: str) -> DataFrame:
-    """Keys seen in more than one document, with the smallest doc_id."""
-    return rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").drop("last")
+def _owners(rows: DataFrame, *key: str) -> DataFrame:
+    """Keys with the smallest doc_id that has them, as ``doc_id``, and whether it alone does (``only``)."""
+    ends = rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    return ends.select(F.col("first").alias("doc_id"), (F.col("first") == F.col("last")).alias("only"), *key)
+
+
+def _sole(rows: DataFrame, key: str) -> DataFrame:
+    """For each document the keys (``sole``) that no other document has."""
+    return _owners(rows, key).filter("only").groupBy("doc_id").agg(F.collect_list(key).alias("sole"))
 
 
 def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -138,8 +180,9 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     length are then joined to windows of twice the length, wherever two of them follow each other, until none survive:
     longest_repeat is the longest such level with a copy in another document (0: none). Every place is looked at.
 
-    Each level counts by an aggregate with map-side combine and returns to the documents by a join on written tables,
-    which Spark splits on a hot window; no group is gathered.
+    Each level counts by an aggregate with map-side combine, which ends in one row per window however often it occurs. A
+    window of one document alone, and the first document of any other, is known by that row, so these go back to their
+    document as lists, by 64 bits of their hash; what is not listed repeats. Windows themselves never return by a join, and no group is gathered.
 
     Null texts have no words. Texts shorter than the window keep all words. Rows that repeat a doc_id count as one
     document, and each loses the words that any of them loses at the same places; rows with a null doc_id lose none.
@@ -148,42 +191,36 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = texts(docs, id_col, text_col)
     known = docs.filter("doc_id is not null")
     anchors = stored(known.mapInArrow(_first_pass(min_words), "doc_id long, anchors array<long>"))
-    single = anchors.select("doc_id", F.explode("anchors").alias("h"))
-    repeated = stored(_repeated(single, "h").select("h"))
-    own = stored(single.join(repeated, "h").groupBy("doc_id").agg(F.collect_list("h").alias("anchors")))
-    discard(anchors, repeated)
-    hashed = stored(known.join(own, "doc_id").mapInArrow(_second_pass(min_words), "doc_id long, row long, at array<int>, h1 array<long>, h2 array<int>"))
-    discard(own)
-    full = hashed.select("doc_id", "row", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w")).select("doc_id", "row", "w.*")
-    first = stored(_repeated(full, "h1", "h2"))
-    later = F.when(F.col("doc_id") > F.col("first"), F.col("at"))  # null, and so not collected, where the window starts first
-    base = stored(
-        full.join(first, ["h1", "h2"]).groupBy("doc_id", "row")
-        .agg(F.collect_set(later).alias("marks"), F.collect_list(F.struct("at", F.col("h1").alias("h"))).alias("w"))
-        .select("doc_id", "row", "marks", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
-    )
-    discard(hashed, first)
-
-    alive, longest, level = base, [base.select("doc_id", F.lit(min_words).alias("longest"))], min_words
-    while True:
-        pairs = alive.select("doc_id", "row", "at", "h").mapInArrow(_doubled(level), "doc_id long, row long, at array<int>, h array<long>")
-        pairs = stored(pairs.filter(F.size("at") > 0))
-        rows = pairs.select("doc_id", "row", F.explode(F.arrays_zip("at", "h")).alias("w")).select("doc_id", "row", "w.*")
-        again = stored(_repeated(rows, "h").select("h"))
-        if alive is not base:
-            discard(alive)
-        if again.isEmpty():
-            break
-        level *= 2
-        alive = stored(
-            rows.join(again, "h").groupBy("doc_id", "row").agg(F.collect_list(F.struct("at", "h")).alias("w"))
-            .select("doc_id", "row", F.col("w.at").alias("at"), F.col("w.h").alias("h"))
-        )
-        discard(pairs, again)
+    sole = stored(_sole(anchors.select("doc_id", F.explode("anchors").alias("h")), "h"))
+    discard(anchors)
+    hashed = known.join(sole, "doc_id", "left").mapInArrow(_second_pass(min_words), "doc_id long, at array<int>, h1 array<long>, h2 array<int>")
+    hashed = stored(hashed.filter(F.size("at") > 0))
+    discard(sole)
+    full = hashed.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.*")
+    h1 = lambda only: F.collect_list(F.when(F.col("only") == only, F.col("h1")))
+    owned = stored(_owners(full, "h1", "h2").groupBy("doc_id").agg(h1(True).alias("sole"), h1(False).alias("lead")))
+    schema = "doc_id long, repeats boolean, begins array<int>, ends array<int>, at array<int>, h array<long>"
+    base = stored(hashed.drop("h2").join(owned, "doc_id", "left").mapInArrow(_covered(min_words), schema).filter("repeats"))
+    discard(hashed, owned)
+    marks = stored(base.select("doc_id", "begins", "ends").filter(F.size("begins") > 0))
+
+    alive, longest, level = base, [], min_words
+    while not alive.isEmpty():
         longest.append(stored(alive.select("doc_id", F.lit(level).alias("longest"))))
-    most = reduce(DataFrame.unionByName, longest).groupBy("doc_id").agg(F.max("longest").cast("bigint").alias("longest"))
-    marks = stored(base.groupBy("doc_id").agg(F.flatten(F.collect_list("marks")).alias("at")).join(most, "doc_id", "full"))
-    discard(base)
-    return docs.join(marks, "doc_id", "left").select(
-        "doc_id", "text", F.coalesce("at", F.array().cast("array<int>")).alias("at"), F.coalesce("longest", F.lit(0).cast("bigint")).alias("longest")
-    ).mapInArrow(_removal(min_words), "doc_id long, n_words long, n_removed long, kept_text string, longest_repeat long")
+        level *= 2
+        pairs = alive.select("doc_id", "at", "h").filter(F.size("at") > 0)
+        sole = stored(_sole(pairs.select("doc_id", F.explode("h").alias("h")), "h"))
+        doubled = pairs.join(sole, "doc_id", "left").mapInArrow(_doubled(level), "doc_id long, repeats boolean, at array<int>, h array<long>")
+        after = stored(doubled.filter("repeats"))
+        discard(alive, sole)
+        alive = after
+    marks = marks.groupBy("doc_id").agg(F.flatten(F.collect_list("begins")).alias("begins"), F.flatten(F.collect_list("ends")).alias("ends"))
+    if longest:
+        most = reduce(DataFrame.unionByName, longest).groupBy("doc_id").agg(F.max("longest").cast("bigint").alias("longest"))
+        marks = marks.join(most, "doc_id", "full")
+    else:
+        marks = marks.withColumn("longest", F.lit(0).cast("bigint"))
+    none = F.array().cast("array<int>")
+    return docs.join(stored(marks), "doc_id", "left").select(
+        "doc_id", "text", F.coalesce("begins", none).alias("begins"), F.coalesce("ends", none).alias("ends"), F.coalesce("longest", F.lit(0).cast("bigint")).alias("longest")
+    ).mapInArrow(_removal(), "doc_id long, n_words long, n_removed long, kept_text string, longest_repeat long")

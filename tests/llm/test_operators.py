@@ -286,6 +286,16 @@ def test_longest_repeat_looks_at_every_place(docs_of):
     assert got == want | {(900, 13), (901, 13)}
 
 
+def test_substring_tables_hold_no_row_per_window(docs_of, monkeypatch):
+    """Windows go back to their documents as lists: no written table has more rows than there are texts and levels."""
+    rows = [(i, " ".join(f"w{k}" for k in range(i % 5, 300 + i % 7))) for i in range(12)]
+    sizes, write = [], substring_dedup.stored
+    monkeypatch.setattr(substring_dedup, "stored", lambda df: sizes.append((t := write(df)).count()) or t)
+    got = answer(substring_dedup.substring_dedup(docs_of(rows)), "n_words", "n_removed", "longest_repeat")
+    assert max(sizes) <= len(rows)
+    assert got[0] == (300, 0, 208) and all(g[2] == 208 for g in got.values()) and got[5][:2] == (305, 304)
+
+
 def test_pii(spark, docs_of, small, odd):
     models = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     for df, rows in ((QUERIES["op8_pii"](spark, SF), small), (pii.find_pii(docs_of(odd), models), odd)):
