@@ -6,11 +6,10 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from .common import discard, stored, texts
-from .words import hashes, list_parts, lists, mix, slices, windows
+from .words import list_parts, lists, mix, slices, windows, word_hashes
 
 MIN_WORDS = 13
 
@@ -25,32 +24,42 @@ def sliding_min(h: np.ndarray, w: int) -> np.ndarray:
     return h
 
 
-def minimizers(h: np.ndarray, w: int) -> np.ndarray:
-    """Which values are the minimum of some ``w`` consecutive ones. Equal stretches of ``w`` values mark the same places."""
-    if len(h) < w:
-        return np.zeros(len(h), bool)
-    low = sliding_min(h, w)
-    edge = np.zeros(w - 1, h.dtype)
-    back = np.concatenate([edge, low, edge])
-    return ~sliding_min(~back, w) == h  # the largest of the minima over all windows that hold the place
+def _halves(texts: pa.Array, min_words: int) -> tuple[np.ndarray, ...]:
+    """Of texts side by side: the words of each, hashes of all words and of the windows of half the length, the smallest of those
+    in each window of ``min_words`` words, and which of these windows lie in one text."""
+    n, h = word_hashes(texts)
+    half = (min_words + 1) // 2
+    halves = windows(h, half)
+    span = min_words - half + 1
+    low = sliding_min(halves, span) if len(halves) >= span else halves[:0]
+    ends = np.repeat(np.cumsum(n), n)[: len(low)]
+    return n, h, halves, low, np.arange(min_words, min_words + len(low)) <= ends
 
 
-def _anchors(h: np.ndarray, half: int, size: int) -> np.ndarray:
-    """Marks over the windows of ``half`` words: one at least within every window of ``size`` words."""
-    return minimizers(h, size - half + 1)
+def _anchors(halves: np.ndarray, low: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Which windows of half the length are the smallest in some whole window. Equal windows mark the same places."""
+    if not len(low):
+        return np.zeros(len(halves), bool)
+    w = len(halves) - len(low) + 1
+    edge = np.zeros(w - 1, low.dtype)
+    back = np.concatenate([edge, np.where(whole, low, np.uint64(0)), edge])
+    return ~sliding_min(~back, w) == halves  # the largest of the minima over all windows that hold the place
 
 
-def _first_pass(min_words: int):
-    half = (min_words + 1) // 2
+def _parted(flat: np.ndarray, of: np.ndarray, n: int, dtype) -> pa.ListArray:
+    """Values as one list for each of ``n`` texts; ``of`` tells whose they are and ascends."""
+    offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(dtype, copy=False)))
 
+
+def _first_pass(min_words: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                found = []
-                for text in batch["text"].to_pylist():
-                    h = windows(hashes(text.encode().split()), half)
-                    found.append(np.unique(h[_anchors(h, half, min_words)]).view(np.int64))
-                yield pa.record_batch([batch["doc_id"], lists(found, np.int64)], ["doc_id", "anchors"])
+                n, _, halves, low, inside = _halves(batch["text"], min_words)
+                marks = np.flatnonzero(_anchors(halves, low, inside))
+                of = np.repeat(np.arange(len(n)), n)[marks]
+                yield pa.record_batch([batch["doc_id"], _parted(halves[marks].view(np.int64), of, len(n), np.int64)], ["doc_id", "anchors"])
 
     return run
 
@@ -61,20 +70,18 @@ def _second_pass(min_words: int):
     def run(batches):
         for whole in batches:
             for batch in slices(whole, "text"):
-                out: list[list] = [[] for _ in range(3)]
-                for text, sole in zip(batch["text"].to_pylist(), list_parts(batch["sole"])):
-                    words = hashes(text.encode().split())
-                    h = windows(words, half)
-                    # a window survives unless its own anchor, the smallest hash in it, is of this document alone
-                    span = min_words - half + 1
-                    low = sliding_min(h, span) if len(h) >= span else h[:0]
-                    at = np.flatnonzero(_others(low, sole.view(np.uint64)))
-                    full = windows(h, min_words, half)[at]
-                    other = windows(words[::-1], min_words)[::-1][at]  # an independent hash: the words in reverse
-                    for column, value in zip(out, (at, full.view(np.int64), (other >> np.uint64(33)).astype(np.int32))):
-                        column.append(value)
-                columns = [lists(c, k) for c, k in zip(out, (np.int32, np.int64, np.int32))]
-                yield pa.record_batch([batch["doc_id"], *columns], ["doc_id", "at", "h1", "h2"])
+                n, h, halves, low, inside = _halves(batch["text"], min_words)
+                begins = np.cumsum(n) - n
+                # a window survives unless its own anchor, the smallest hash in it, is of this document alone
+                for a, b, sole in zip(begins.tolist(), (begins + n - min_words + 1).tolist(), list_parts(batch["sole"])):
+                    if b > a and len(sole):
+                        inside[a:b] = _others(low[a:b], sole.view(np.uint64))
+                at = np.flatnonzero(inside)
+                full = windows(halves, min_words, half)[at]
+                other = windows(h[::-1], min_words)[::-1][at]  # an independent hash: the words in reverse
+                of = np.repeat(np.arange(len(n)), n)[at]
+                values = (at - begins[of], np.int32), (full.view(np.int64), np.int64), ((other >> np.uint64(33)).astype(np.int32), np.int32)
+                yield pa.record_batch([batch["doc_id"], *(_parted(v, of, len(n), kind) for v, kind in values)], ["doc_id", "at", "h1", "h2"])
 
     return run
 
@@ -193,14 +200,14 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     anchors = stored(known.mapInArrow(_first_pass(min_words), "doc_id long, anchors array<long>"))
     sole = stored(_sole(anchors.select("doc_id", F.explode("anchors").alias("h")), "h"))
     discard(anchors)
-    hashed = known.join(sole, "doc_id", "left").mapInArrow(_second_pass(min_words), "doc_id long, at array<int>, h1 array<long>, h2 array<int>")
+    hashed = known.join(sole.hint("merge"), "doc_id", "left").mapInArrow(_second_pass(min_words), "doc_id long, at array<int>, h1 array<long>, h2 array<int>")
     hashed = stored(hashed.filter(F.size("at") > 0))
     discard(sole)
     full = hashed.select("doc_id", F.explode(F.arrays_zip("h1", "h2")).alias("w")).select("doc_id", "w.*")
     h1 = lambda only: F.collect_list(F.when(F.col("only") == only, F.col("h1")))
     owned = stored(_owners(full, "h1", "h2").groupBy("doc_id").agg(h1(True).alias("sole"), h1(False).alias("lead")))
     schema = "doc_id long, repeats boolean, begins array<int>, ends array<int>, at array<int>, h array<long>"
-    base = stored(hashed.drop("h2").join(owned, "doc_id", "left").mapInArrow(_covered(min_words), schema).filter("repeats"))
+    base = stored(hashed.drop("h2").join(owned.hint("merge"), "doc_id", "left").mapInArrow(_covered(min_words), schema).filter("repeats"))
     discard(hashed, owned)
     marks = stored(base.select("doc_id", "begins", "ends").filter(F.size("begins") > 0))
 
@@ -210,7 +217,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         level *= 2
         pairs = alive.select("doc_id", "at", "h").filter(F.size("at") > 0)
         sole = stored(_sole(pairs.select("doc_id", F.explode("h").alias("h")), "h"))
-        doubled = pairs.join(sole, "doc_id", "left").mapInArrow(_doubled(level), "doc_id long, repeats boolean, at array<int>, h array<long>")
+        doubled = pairs.join(sole.hint("merge"), "doc_id", "left").mapInArrow(_doubled(level), "doc_id long, repeats boolean, at array<int>, h array<long>")
         after = stored(doubled.filter("repeats"))
         discard(alive, sole)
         alive = after

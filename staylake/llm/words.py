@@ -55,6 +55,35 @@ def windows(h: np.ndarray, size: int, have: int = 1) -> np.ndarray:
     return h
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+_LONG = 64  # bytes of a word that are hashed side by side with other words; longer ones are hashed alone
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Number of words (other characters than blank and \\t-\\r) of each text, and 64-bit hashes of all words one after another.
+
+    Not the hashes of ``hashes``: eight bytes at a time are mixed in, for all words at once.
+    """
+    encoded = [t.encode() for t in texts.to_pylist()]
+    raw = b" ".join([b"", *encoded, b" " * 8])
+    n = len(raw) - 8
+    gap = _SPACE[np.frombuffer(raw, np.uint8, n + 1)]
+    begins = np.flatnonzero(gap[:-1] & ~gap[1:]) + 1
+    sizes = np.flatnonzero(~gap[:-1] & gap[1:]) + 1 - begins
+    until = np.searchsorted(begins, np.cumsum([len(t) + 1 for t in encoded], dtype=np.int64) + 1)
+    eight = np.ndarray((n + 1,), "<u8", raw, strides=(1,))  # the eight bytes at every place
+    h = mix(sizes.astype(np.uint64), eight[begins] & _MASKS[np.minimum(sizes, 8)])
+    for i in np.flatnonzero(sizes > _LONG).tolist():
+        h[i] = xxhash.xxh64_intdigest(raw[begins[i] : begins[i] + sizes[i]])
+    more = np.flatnonzero((sizes > 8) & (sizes <= _LONG))
+    for at in range(8, _LONG, 8):
+        h[more] = mix(h[more], eight[begins[more] + at] & _MASKS[np.minimum(sizes[more] - at, 8)])
+        more = more[sizes[more] > at + 8]
+    return np.diff(until, prepend=0), h
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Parts of a batch that hold about ``most`` bytes of text each, one row at least."""
     if not batch.num_rows:

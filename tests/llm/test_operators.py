@@ -6,11 +6,13 @@ from collections import Counter, defaultdict
 
 import brute
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import SF
 
 from staylake.llm import decontaminate, exact_dedup, language_id, license_scan, line_dedup, lm_score, near_dedup, packing, pii, substring_dedup
 from staylake.llm.queries import QUERIES
+from staylake.llm.words import word_hashes
 
 
 def answer(df, *columns):
@@ -296,6 +298,16 @@ def test_substring_tables_hold_no_row_per_window(docs_of, monkeypatch):
     assert got[0] == (300, 0, 208) and all(g[2] == 208 for g in got.values()) and got[5][:2] == (305, 304)
 
 
+def test_word_hashes_of_texts_side_by_side():
+    """Words are cut as bytes.split() does, and equal words alone have equal hashes, wherever they stand."""
+    texts = ["", " ", "a", " a\tbb  ", "a\x00", "\x1cx\xa0é\x85 日\x0b本\x0cé"] + ["x" * n + " " + "x" * (n + 1) for n in range(1, 140)]
+    sizes, h = word_hashes(pa.array(texts))
+    words = [w for t in texts for w in t.encode().split()]
+    assert sizes.tolist() == [len(t.encode().split()) for t in texts]
+    assert len(set(zip(words, h.tolist()))) == len(set(words)) == len(set(h.tolist()))
+    assert [len(x) for x in word_hashes(pa.array([], pa.string()))] == [0, 0]
+
+
 def test_pii(spark, docs_of, small, odd):
     models = pii.fit(spark.read.parquet(f"{SF}/documents.parquet"))
     for df, rows in ((QUERIES["op8_pii"](spark, SF), small), (pii.find_pii(docs_of(odd), models), odd)):
