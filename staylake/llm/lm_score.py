@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import crc_mod, stored, texts
+from .common import crc_mod, discard, stored, texts
 from .words import hashes, lists, mix, slices
 
 CLASSES = 64  # word classes, a power of two: a word's class is its hash modulo this
@@ -62,6 +62,21 @@ def coded(cut: list[list[bytes]], sizes: tuple[int, ...]) -> tuple[np.ndarray, n
     return size, *features(h, sizes, np.cumsum(size) - size)
 
 
+def context_codes(rows: list[np.ndarray], sizes: tuple[int, ...]) -> np.ndarray:
+    """The three context rows of each token as one number."""
+    _, second, third = (n.bit_length() - 1 for n in sizes)
+    return (((rows[0] << second) | (rows[1] - sizes[0])) << third) | (rows[2] - sizes[0] - sizes[1])
+
+
+def _packed(codes: np.ndarray) -> bytes:
+    """Numbers byte by byte, lowest bytes first, so that the bytes that are all zero compress to nothing."""
+    return codes.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unpacked(cells: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(cells, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def _matrix_rows(m: np.ndarray) -> pa.RecordBatch:
     flat = m.astype("<f4").ravel()
     used = [i for i in range(len(flat) // CHUNK) if flat[i * CHUNK : (i + 1) * CHUNK].any()]
@@ -86,14 +101,18 @@ def _sum_chunks(rows: DataFrame, sizes: tuple[int, ...]) -> np.ndarray:
     return total.reshape(-1, CLASSES)
 
 
-def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np.ndarray]:
-    """Word counts (word, cls, n) of all texts, and how often each class follows each context row."""
+def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np.ndarray, DataFrame]:
+    """Word counts (word, cls, n) of all texts, how often each class follows each context row, and a written table in which
+    each text has its tokens' ``context_codes`` (other rows have null codes)."""
+    schema = {"word": pa.binary(), "cls": pa.int32(), "n": pa.int64(), "chunk": pa.int32(), "cells": pa.binary(), "codes": pa.binary()}
+
+    def made(size: int, **columns: pa.Array) -> pa.RecordBatch:
+        return pa.record_batch([columns[c] if c in columns else pa.nulls(size, t) for c, t in schema.items()], list(schema))
 
     def word_rows(counts: Counter) -> pa.RecordBatch:
         words = list(counts)
         cls = (hashes(words) % np.uint64(CLASSES)).astype(np.int32)
-        none = pa.nulls(len(words), pa.int32()), pa.nulls(len(words), pa.binary())
-        return pa.record_batch([pa.array(words, pa.binary()), pa.array(cls), pa.array(list(counts.values()), pa.int64()), *none], ["word", "cls", "n", "chunk", "cells"])
+        return made(len(words), word=pa.array(words, pa.binary()), cls=pa.array(cls), n=pa.array(list(counts.values()), pa.int64()))
 
     def run(batches):
         counts: Counter = Counter()
@@ -102,21 +121,22 @@ def count(docs: DataFrame, sizes: tuple[int, ...] = ROWS) -> tuple[DataFrame, np
             for batch in slices(whole, "text", SCORED_BYTES):
                 cut = [tokens(t) for t in batch["text"].to_pylist()]
                 counts.update(chain.from_iterable(cut))
-                _, cls, rows = coded(cut, sizes)
+                size, cls, rows = coded(cut, sizes)
                 for r in rows:
                     np.add.at(seen, r * CLASSES + cls, 1)
+                codes, ends = context_codes(rows, sizes), np.cumsum(size).tolist()
+                yield made(len(cut), codes=pa.array([_packed(codes[a:b]) for a, b in zip([0, *ends], ends)], pa.binary()))
                 if len(counts) > FLUSH_WORDS:
                     yield word_rows(counts)
                     counts = Counter()
         if counts:
             yield word_rows(counts)
         m = _matrix_rows(seen)
-        k = m.num_rows
-        yield pa.record_batch([pa.nulls(k, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int64()), *m.columns], ["word", "cls", "n", "chunk", "cells"])
+        yield made(m.num_rows, chunk=m["chunk"], cells=m["cells"])
 
-    rows = stored(docs.select("text").mapInArrow(run, "word binary, cls int, n long, chunk int, cells binary"))
+    rows = stored(docs.select("text").mapInArrow(run, "word binary, cls int, n long, chunk int, cells binary, codes binary"))
     words = stored(rows.filter("word is not null").groupBy("word", "cls").agg(F.sum("n").alias("n")))
-    return words, _sum_chunks(rows.filter("chunk is not null").select("chunk", "cells"), sizes)
+    return words, _sum_chunks(rows.filter("chunk is not null").select("chunk", "cells"), sizes), rows
 
 
 class Weights:
@@ -142,10 +162,11 @@ class Weights:
 def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
     """Seen minus expected classes after each context row, over all texts of ``docs``; those seen are counted unless the model has them.
 
-    Tokens with the same three rows have the same expected classes, so each such group is worked out once.
+    ``docs`` are texts, or only what ``count`` wrote of them (``codes``), which spares cutting and hashing them again. Tokens with the same three rows have the same expected classes, so each such group is worked out once.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     sizes = model.sizes
+    known = docs.columns == ["codes"]
     seen = count(docs, sizes)[1] if model.seen is None else model.seen
     _, second, third = (n.bit_length() - 1 for n in sizes)
     firsts = np.cumsum([0, *sizes[:-1]])
@@ -177,10 +198,13 @@ def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
 
         kept, n = [], 0
         for whole in batches:
-            for batch in slices(whole, "text", SCORED_BYTES):
-                _, cls, (one, two, both) = coded([tokens(t) for t in batch["text"].to_pylist()], sizes)
-                kept.append((((one << second) | (two - firsts[1])) << third) | (both - firsts[2]))
-                n += len(cls)
+            for batch in slices(whole, "codes" if known else "text", SCORED_BYTES):
+                if known:
+                    kept += map(_unpacked, batch["codes"].to_pylist())
+                    n = sum(map(len, kept))
+                else:
+                    kept.append(context_codes(coded([tokens(t) for t in batch["text"].to_pylist()], sizes)[2], sizes))
+                    n += len(kept[-1])
                 if n >= GATHERED:
                     add(kept)
                     kept, n = [], 0
@@ -191,11 +215,11 @@ def _gradient(docs: DataFrame, model: Weights) -> np.ndarray:
             at = pa.array(part["chunk"].to_numpy() + first * CLASSES // CHUNK, pa.int32())
             yield pa.record_batch([at, part["cells"]], ["chunk", "cells"])
 
-    return seen + _sum_chunks(docs.select("text").mapInArrow(run, "chunk int, cells binary"), sizes)
+    return seen + _sum_chunks(docs.select("codes" if known else "text").mapInArrow(run, "chunk int, cells binary"), sizes)
 
 
 def train(docs: DataFrame, seen: np.ndarray, share: np.ndarray, steps: int = STEPS, sizes: tuple[int, ...] = ROWS) -> Weights:
-    """Weights after ``steps`` updates along the gradient of the likelihood, each over all texts.
+    """Weights after ``steps`` updates along the gradient of the likelihood, each over all texts (``docs``: texts or their codes).
 
     They start from the smoothed log odds of each context over all texts, a third for each of the three features. A step
     is scaled for each context by the curvature bound of its tokens.
@@ -234,12 +258,13 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
     docs = texts(docs, id_col, text_col).withColumn("held_out", held_out())
     training = docs.filter("not held_out")
     sizes = sized(training.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    words, seen = count(training, sizes)
+    words, seen, contexts = count(training, sizes)
     by_class = {r["cls"]: (r["n"], r["v"]) for r in words.groupBy("cls").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()}
     n_class = np.array([by_class.get(k, (0, 0))[0] for k in range(CLASSES)], float)
     v_class = np.array([by_class.get(k, (0, 0))[1] for k in range(CLASSES)], float)
     total, distinct = int(n_class.sum()), int(v_class.sum())
-    model = train(training, seen, (n_class + 1) / (total + CLASSES), steps, sizes)
+    model = train(contexts.select("codes").filter("codes is not null"), seen, (n_class + 1) / (total + CLASSES), steps, sizes)
+    discard(contexts)
     spark = docs.sparkSession
     common = words.filter(F.col("n") * FREQUENT >= total).select("word", "n")
     frequent = spark.sparkContext.broadcast({bytes(r["word"]): float(np.log10(r["n"] + 1)) for r in common.toLocalIterator()})

@@ -553,6 +553,20 @@ def test_lm_known_counts_are_not_counted_again(docs_of, small, monkeypatch):
     assert np.allclose(lm_score._gradient(docs, lm_score.Weights(*given, seen)), want, atol=1e-3)
 
 
+def test_lm_updates_cut_no_text(docs_of, small, monkeypatch):
+    """Updates read the contexts that the counting pass wrote, one row per text, and give what the texts give."""
+    docs = docs_of(small[:40]).repartition(3)
+    _, seen, contexts = lm_score.count(docs)
+    codes = contexts.select("codes").filter("codes is not null")
+    assert codes.count() == 40
+    model = lm_score.Weights(np.full(lm_score.CLASSES, 1 / lm_score.CLASSES), np.zeros((sum(lm_score.ROWS), lm_score.CLASSES)), lm_score.ROWS, seen)
+    assert np.allclose(lm_score._gradient(codes, model), lm_score._gradient(docs, model), atol=1e-3)
+    read, whole = [], lm_score._gradient
+    monkeypatch.setattr(lm_score, "_gradient", lambda docs, model: read.append(docs.columns) or whole(docs, model))
+    lm_score.lm_score(docs)
+    assert read == [["codes"]] * lm_score.STEPS
+
+
 def test_lm_updates_read_all_texts(docs_of, small, monkeypatch):
     """Each update is over all training texts, and the contexts grow with the text."""
     read, whole = [], lm_score._gradient
