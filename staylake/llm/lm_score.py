@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections import Counter
-from itertools import chain, repeat
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -289,7 +289,7 @@ def lm_score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", st
                     miss = np.isnan(found)
                     known.append(int(len(ws) - miss.sum()))
                     common_log.append(float(found[~miss].sum()))
-                    others = Counter(ws[i] for i in np.flatnonzero(miss))
+                    others = Counter(compress(ws, miss.tolist()))
                     rare.append(list(others))
                     times.append(np.fromiter(others.values(), np.int32, len(others)))
                 yield pa.record_batch(
