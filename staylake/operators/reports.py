@@ -154,14 +154,11 @@ def booking_children(t: Mapping) -> DataFrame:
     )
 
 
-CHILDREN_SHOWN = 1000  # entries of one list; its count says how many there are
-
-
-def booking_details_nested(t: Mapping, most: int = CHILDREN_SHOWN) -> DataFrame:
+def booking_details_nested(t: Mapping, most: int | None = None) -> DataFrame:
     """A row per booking with its children as sorted lists: surcharges, room_assignments, services, each beside its count.
 
-    Lists hold every column of the child table, rooms also their number, services their name and price. A list shows the first ``most``
-    entries: further ones are cut before they are shuffled, so a booking with a long history is no long row.
+    Lists hold every column of the child table, rooms also their number, services their name and price, and every child: a list is as
+    long as its count. A caller who shows only the first ``most`` entries names their number; further ones are then cut before they are shuffled.
     """
     rooms = t["rooms"].select(F.col("id").alias("room_id"), "room_number")
     services = t["services"].select(F.col("id").alias("service_id"), F.col("name").alias("service_name"), "unit_price")
@@ -174,10 +171,13 @@ def booking_details_nested(t: Mapping, most: int = CHILDREN_SHOWN) -> DataFrame:
     for name, (df, order) in children.items():
         order = [c for c in order if c in df.columns]
         entry = F.struct(*order, *[c for c in df.columns if c not in (*order, "booking_id")])
-        first = df.withColumn("_n", F.row_number().over(Window.partitionBy("booking_id").orderBy(*order))).filter(F.col("_n") <= most)
-        lists = first.groupBy("booking_id").agg(F.sort_array(F.collect_list(entry)).alias(name))
-        counts = df.groupBy("booking_id").agg(F.count(F.lit(1)).alias(f"n_{name}"))
-        out = out.join(counts.join(lists, "booking_id"), "booking_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
+        count, listed = F.count(F.lit(1)).alias(f"n_{name}"), F.sort_array(F.collect_list(entry)).alias(name)
+        if most is None:
+            lists = df.groupBy("booking_id").agg(count, listed)
+        else:
+            first = df.withColumn("_n", F.row_number().over(Window.partitionBy("booking_id").orderBy(*order))).filter(F.col("_n") <= most)
+            lists = df.groupBy("booking_id").agg(count).join(first.groupBy("booking_id").agg(listed), "booking_id")
+        out = out.join(lists, "booking_id", "left").withColumn(f"n_{name}", F.coalesce(f"n_{name}", F.lit(0)))
     return out.select("booking_id", *[c for n in children for c in (f"n_{n}", n)])
 
 

@@ -45,6 +45,14 @@ def test_long_lists_are_cut_before_the_shuffle(spark):
     assert "WindowGroupLimit" in df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_long_lists_are_whole(spark):
+    t = golden.seed(spark, service_usage=drinks(2402), services=BAR)
+    rows = {r.booking_id: r for r in reports.booking_details_nested(t).collect()}
+    for b in (1, 2):
+        assert rows[b].n_services == len(rows[b].services) == 1201
+        assert [(x.quantity, x.id) for x in rows[b].services] == sorted((x["quantity"], x["id"]) for x in drinks(2402) if x["booking_id"] == b)
+
+
 def test_moves_into_other_types(spark):
     t = golden.seed(spark)
     d = t["booking_details"].select("booking_id", "room_type_id").collect()
