@@ -35,6 +35,8 @@ BAD_AMOUNT = "INVALID_AMOUNT"
 TOO_MUCH = "OVERPAYMENT"
 BAD_CUT = "ASSIGNMENT_PERIOD"
 
+BLOCK_DAYS = 7  # spans of days meet in blocks of so many: most stays reach into one or two
+
 
 def derived_key(*columns: str) -> Column:
     """A key worked out from a request's content: equal requests have equal keys, in any batch and on any machine.
@@ -134,6 +136,17 @@ def within_reach(stays: DataFrame, bounds) -> DataFrame:
 
 
 def in_runs(stays: DataFrame, run_days: DataFrame, keys: list[str]) -> DataFrame:
-    """Other stays of the same keys, once for each run they reach into."""
-    days = stays.withColumn("day", F.explode(touched_days()))
-    return days.join(run_days, [*keys, "day"]).drop("day").distinct()
+    """Other stays of the same keys, once for each run they reach into.
+
+    The days of a run follow each other without a gap, so a run is a span. Both sides meet in blocks of days, which are fewer
+    rows than the days of all stays, and a pair counts on its first common block only.
+    """
+    block = lambda day: F.floor(F.unix_date(day) / BLOCK_DAYS).cast("int")
+    spread = lambda df, a, z: df.withColumn("_block", F.explode(F.sequence(block(a), block(z))))
+    spans = run_days.groupBy(*keys, "run").agg(F.min("day").alias("_run_first"), F.max("day").alias("_run_last"))
+    days = stays.withColumns({"_first": F.to_date("check_in"), "_last": F.to_date("check_out")}).filter("_first <= _last")
+    met = spread(days, "_first", "_last").join(spread(spans, "_run_first", "_run_last"), [*keys, "_block"]).filter(
+        (F.col("_first") <= F.col("_run_last")) & (F.col("_run_first") <= F.col("_last"))
+        & (F.col("_block") == F.greatest(block("_first"), block("_run_first")))
+    )
+    return met.drop("_first", "_last", "_run_first", "_run_last", "_block").distinct()
