@@ -41,8 +41,8 @@ def latest(spark: SparkSession, out_dir: str, schema: str, keys: list[str], valu
     if not paths:
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(f"{schema}, batch bigint").option("basePath", out_dir).parquet(*paths)
-    newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v"))
-    return newest.select(*keys, *[F.col(f"_v.{v}").alias(v) for v in values])
+    # value by value, not as one struct: numbers are kept in a hash table, structs would be sorted
+    return rows.groupBy(*keys).agg(*[F.max_by(v, "batch").alias(v) for v in values])
 
 
 def compact(spark: SparkSession, out_dir: str, schema: str, keys: list[str], values: list[str], keep=None) -> int:
@@ -65,6 +65,7 @@ def compact(spark: SparkSession, out_dir: str, schema: str, keys: list[str], val
     return len(done) - 1
 
 
+KEPT_VERSIONS = "spark.sql.streaming.maxBatchesToRetainInMemory"
 TOTALS_SCHEMA = "booking_id bigint, total_amount decimal(18,2)"
 OCCUPANCY_SCHEMA = "room_type_id bigint, date date, reserved bigint"
 
@@ -85,15 +86,29 @@ def child_changes(old: DataFrame | None, new: DataFrame | None, part: str) -> Da
 def stream_totals(changes: DataFrame, out_dir: str, checkpoint: str) -> StreamingQuery:
     """Totals of bookings kept up to date by signed changes of their children (booking_id, part, change).
 
-    State is four sums per booking: price of one night, surcharges, services, nights. A batch touches the bookings it names and
-    nothing else; in which order changes arrive does not matter. State stays as long as bookings can change, which has no end here.
+    State is four sums per booking: price of one night, surcharges, services, nights, each a whole number of hundredths: as decimals they would be
+    three times as long and summed as objects. A batch touches the bookings it names and nothing else; in which order changes
+    arrive does not matter. State stays as long as bookings can change, which has no end here; executors hold its newest version only.
     """
+    hundredths = (F.col("change").cast("decimal(18,2)") * 100).cast("bigint")
+
     def sum_of(part: str):
-        return F.sum(F.when(F.col("part") == part, F.col("change")).otherwise(F.lit(0).cast("decimal(18,2)")))
+        return F.sum(F.when(F.col("part") == part, hundredths).otherwise(F.lit(0).cast("bigint")))
 
     sums = changes.groupBy("booking_id").agg(*[sum_of(p).alias(p) for p in (ROOM, SURCHARGE, SERVICE, NIGHTS)])
-    total = (F.col(ROOM) * F.col(NIGHTS).cast("int") + F.col(SURCHARGE) + F.col(SERVICE)).cast("decimal(18,2)")
-    return _start(sums.select("booking_id", total.alias("total_amount")), _per_batch(out_dir), checkpoint, "update")
+    whole = lambda p: F.col(p).cast("decimal(19,0)")
+    nights = F.expr(f"{NIGHTS} DIV 100").cast("int")
+    total = ((whole(ROOM) * nights + whole(SURCHARGE) + whole(SERVICE)) * F.expr("0.01BD")).cast("decimal(18,2)")
+    spark = changes.sparkSession
+    before = spark.conf.get(KEPT_VERSIONS, None)
+    spark.conf.set(KEPT_VERSIONS, "1")
+    try:
+        return _start(sums.select("booking_id", total.alias("total_amount")), _per_batch(out_dir), checkpoint, "update")
+    finally:
+        if before is None:
+            spark.conf.unset(KEPT_VERSIONS)
+        else:
+            spark.conf.set(KEPT_VERSIONS, before)
 
 
 def read_totals(spark: SparkSession, out_dir: str) -> DataFrame:

@@ -113,3 +113,31 @@ def test_totals_from_changes(spark, tmp_path):
     assert after[moved.booking_id] == before[moved.booking_id] - moved.amount and after[target] == before[target] + 2 * moved.amount
     assert {b: x for b, x in after.items() if b not in (moved.booking_id, target)} == {b: x for b, x in before.items() if b not in (moved.booking_id, target)}
     assert all(isinstance(x, D) for x in after.values())
+
+
+CHANGES = "booking_id bigint, part string, change decimal(18,2)"
+
+
+def test_totals_are_exact_and_their_state_is_small(spark, tmp_path):
+    """Three batches over the same bookings: large, negative and missing amounts count to the cent, state is whole numbers in one version."""
+    feed, out, checkpoint = (f"{tmp_path}/{n}" for n in ("feed", "out", "checkpoint"))
+    odd = [
+        (-1, jobs.ROOM, D("9007199254740993.01")), (-1, jobs.NIGHTS, D("1.00")), (-1, jobs.SERVICE, D("-0.02")), (-1, jobs.SURCHARGE, None),
+        (-2, jobs.ROOM, D("100.10")), (-2, jobs.NIGHTS, D("3.99")), (-2, "unknown", D("7.00")),
+        (-3, jobs.ROOM, D("-50.05")), (-3, jobs.NIGHTS, D("-2.50")), (-4, jobs.ROOM, None), (None, jobs.SERVICE, D("0.07")),
+    ]
+    n = 20_000
+    for batch in range(3):
+        rows = [(i, part, D(i * 7 + batch) / 100) for i in range(n) for part in ((jobs.ROOM, jobs.SERVICE, jobs.NIGHTS)[batch],)]
+        df = spark.createDataFrame(rows + (odd if batch == 1 else []), CHANGES)
+        df.coalesce(1).write.mode("append").parquet(feed)
+    changes = spark.readStream.schema(CHANGES).option("maxFilesPerTrigger", 1).parquet(feed)
+    before = spark.conf.get(jobs.KEPT_VERSIONS, None)
+    query = jobs.stream_totals(changes, out, checkpoint)
+    query.awaitTermination()
+    assert spark.conf.get(jobs.KEPT_VERSIONS, None) == before
+    state = [p for p in query.recentProgress if p["stateOperators"]][-1]["stateOperators"][0]
+    assert state["numRowsTotal"] == n + 5 and state["memoryUsedBytes"] < 300 * n
+    got = {r.booking_id: r.total_amount for r in jobs.read_totals(spark, out).collect()}
+    assert {b: got[b] for b in (-1, -2, -3, -4, None)} == {-1: D("9007199254740992.99"), -2: D("300.30"), -3: D("100.10"), -4: None, None: D("0.07")}
+    assert all(got[i] == D(i * 7) / 100 * ((i * 7 + 2) // 100) + D(i * 7 + 1) / 100 for i in range(n))
