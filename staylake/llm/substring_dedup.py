@@ -46,6 +46,12 @@ def _anchors(halves: np.ndarray, low: np.ndarray, whole: np.ndarray) -> np.ndarr
     return ~sliding_min(~back, w) == halves  # the largest of the minima over all windows that hold the place
 
 
+def minimizers(h: np.ndarray, w: int) -> np.ndarray:
+    """Which values are the minimum of some ``w`` consecutive ones."""
+    low = sliding_min(h, w) if len(h) >= w else h[:0]
+    return _anchors(h, low, np.ones(len(low), bool))
+
+
 def _parted(flat: np.ndarray, of: np.ndarray, n: int, dtype) -> pa.ListArray:
     """Values as one list for each of ``n`` texts; ``of`` tells whose they are and ascends."""
     offsets = np.searchsorted(of, np.arange(n + 1)).astype(np.int32)
